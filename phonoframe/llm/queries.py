@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, simhash, urls
+from . import bpe, exact_dedup, language, packing, quality, simhash, urls
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,6 +32,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -38,7 +46,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op4_simhash, op6_token_counts, op9_quality_rules, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op6_token_counts, op8_language_id, op9_quality_rules, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
