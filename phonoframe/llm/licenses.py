@@ -68,6 +68,8 @@ class Scanner:
         self.containment = containment
         self.sets = {name: np.unique(shingles(words_of(t))) for name, t in sorted(templates.items())}
         self.by_window: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: by the low 16 bits of a value: whether any template may have it
+        self.likely: dict[int, np.ndarray] = {}
         sized: dict[int, list[str]] = {}
         for name, s in self.sets.items():
             sized.setdefault(1 << max(1, int(np.ceil(np.log2(2 * len(s))))), []).append(name)
@@ -77,6 +79,8 @@ class Scanner:
             owner = np.repeat([self.names.index(n) for n in names], bands)
             order = np.argsort(values, kind="stable")
             self.by_window[size] = values[order], owner[order]
+            self.likely[size] = np.zeros(1 << 16, bool)
+            self.likely[size][(values & np.uint64(0xFFFF)).astype(np.uint16)] = True
 
     def permuted(self, s: np.ndarray) -> np.ndarray:
         x = s[None, :] * self.times[:, None] + self.plus[:, None]
@@ -114,9 +118,10 @@ class Scanner:
                 lows = np.pad(lows, ((0, 0), (0, pad)), constant_values=np.uint64(2**64 - 1))
             lows, width = lows.reshape(len(lows), -1, half // width).min(axis=2), half
             windows = np.minimum(lows, np.pad(lows[:, 1:], ((0, 0), (0, 1)), constant_values=np.uint64(2**64 - 1)))
-            at = np.minimum(np.searchsorted(values, windows), len(values) - 1)
-            _, place = np.nonzero(values[at] == windows)
-            for w in np.unique(place):
+            band, place = np.nonzero(self.likely[size][(windows & np.uint64(0xFFFF)).astype(np.uint16)])
+            low = windows[band, place]
+            at = np.minimum(np.searchsorted(values, low), len(values) - 1)
+            for w in np.unique(place[values[at] == low]):
                 seen = np.unique(windows[:, w])
                 lo, hi = np.searchsorted(values, seen), np.searchsorted(values, seen, side="right")
                 a = start + int(w) * half

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, simhash, urls
+from . import bpe, exact_dedup, language, licenses, packing, quality, simhash, urls
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
@@ -46,7 +50,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op6_token_counts, op8_language_id, op9_quality_rules, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op8_language_id, op9_quality_rules, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
