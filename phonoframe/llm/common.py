@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` stored by checkpoint() in the shared folder of spark.checkpoint.dir.
-
-    Where that setting is absent (tests, one machine) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; where spark.checkpoint.dir is unset, a temporary one is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` stored by checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

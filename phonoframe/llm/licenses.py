@@ -18,6 +18,8 @@ WORDS, CONTAINMENT = 5, 0.8
 #: One MinHash value a band. A window is at most four times its template, so that the two share at least
 #: 0.8 / (4 + 0.2) of their shingles where the template is contained: 48 bands miss it once in 20,000 times.
 BANDS = 48
+#: Shingles looked at together.
+PART = 1 << 13
 _WORD = re.compile(rb"[a-z0-9]+")
 #: Notices and opening paragraphs of common licenses, as their publishers word them.
 TEMPLATES = {
@@ -80,45 +82,54 @@ class Scanner:
             order = np.argsort(values, kind="stable")
             self.by_window[size] = values[order], owner[order]
             self.likely[size] = np.zeros(1 << 16, bool)
-            self.likely[size][(values & np.uint64(0xFFFF)).astype(np.uint16)] = True
+            self.likely[size][values.astype(np.uint16)] = True
 
     def permuted(self, s: np.ndarray) -> np.ndarray:
         x = s[None, :] * self.times[:, None] + self.plus[:, None]
         return x ^ (x >> np.uint64(29))
 
-    def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(license, first word, words, containment) of each place, in order of license and place."""
-        words = words_of(text)
-        s = shingles(words)
-        hits: dict[str, list[tuple[int, int]]] = {}
-        for base in range(0, len(s), 1 << 15):  # long texts in overlapping parts that fit the cache
-            self._part(s, base, min(len(s), base + (1 << 15) + 2 * max(self.by_window)), hits)
-        out = []
-        for name in sorted(hits):
-            template, end = self.sets[name], -1
-            for a, b in sorted(set(hits[name])):
-                if a < end:
-                    continue  # the same place by the next window
-                found = np.flatnonzero(np.isin(s[a:b], template))
-                share = len(np.unique(s[a:b][found])) / len(template)
-                if share >= self.containment:
-                    first, last = a + int(found[0]), a + int(found[-1])
-                    if first >= end:
-                        out.append((name, first, min(last + WORDS, len(words)) - first, share))
-                    end = last + 1
-        return out
-
-    def _part(self, s: np.ndarray, start: int, stop: int, hits: dict[str, list[tuple[int, int]]]) -> None:
-        mixed, width = self.permuted(s[start:stop]), 1
-        lows = mixed
+    def scan(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        """For each text (license, first word, words, containment) of each place, in order of license and place.
+
+        The texts' shingles are looked at in a row; a window over the end of a text counts for both sides.
+        """
+        words = [words_of(t) for t in texts]
+        each = [shingles(w) for w in words]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(int)
+        s = np.concatenate([*each, np.zeros(0, np.uint64)])
+        hits: list[dict[str, set[tuple[int, int]]]] = [{} for _ in texts]
+        for base in range(0, len(s), PART):  # in overlapping parts that fit the cache
+            for name, a, b in self._part(s, base, min(len(s), base + PART + 2 * max(self.by_window))):
+                for i in range(int(np.searchsorted(edges, a, side="right")) - 1, int(np.searchsorted(edges, b))):
+                    lo, hi = max(a, edges[i]) - edges[i], min(b, edges[i + 1]) - edges[i]
+                    if lo < hi:
+                        hits[i].setdefault(name, set()).add((lo, hi))
+        return [[x for name in sorted(h) for x in self._places(name, h[name], e, len(w))] for h, e, w in zip(hits, each, words, strict=True)]
+
+    def _places(self, name: str, windows: set[tuple[int, int]], s: np.ndarray, n_words: int) -> Iterator[tuple[str, int, int, float]]:
+        template, end = self.sets[name], -1
+        for a, b in sorted(windows):
+            if a < end:
+                continue  # the same place by the next window
+            found = np.flatnonzero(np.isin(s[a:b], template))
+            share = len(np.unique(s[a:b][found])) / len(template)
+            if share >= self.containment:
+                first, last = a + int(found[0]), a + int(found[-1])
+                if first >= end:
+                    yield name, first, min(last + WORDS, n_words) - first, share
+                end = last + 1
+
+    def _part(self, s: np.ndarray, start: int, stop: int) -> Iterator[tuple[str, int, int]]:
+        """(license, from, to) of windows that share a MinHash value with it."""
+        lows, width = self.permuted(s[start:stop]), 1
         for size, (values, owner) in self.by_window.items():
             half = size // 2
-            pad = -lows.shape[1] % (half // width)
-            if pad:
-                lows = np.pad(lows, ((0, 0), (0, pad)), constant_values=np.uint64(2**64 - 1))
-            lows, width = lows.reshape(len(lows), -1, half // width).min(axis=2), half
-            windows = np.minimum(lows, np.pad(lows[:, 1:], ((0, 0), (0, 1)), constant_values=np.uint64(2**64 - 1)))
-            band, place = np.nonzero(self.likely[size][(windows & np.uint64(0xFFFF)).astype(np.uint16)])
+            while width < half:
+                if lows.shape[1] % 2:
+                    lows = np.hstack([lows, lows[:, -1:]])
+                lows, width = np.minimum(lows[:, ::2], lows[:, 1::2]), width * 2
+            windows = np.hstack([np.minimum(lows[:, :-1], lows[:, 1:]), lows[:, -1:]])
+            band, place = np.nonzero(self.likely[size][windows.astype(np.uint16)])
             low = windows[band, place]
             at = np.minimum(np.searchsorted(values, low), len(values) - 1)
             for w in np.unique(place[values[at] == low]):
@@ -126,7 +137,7 @@ class Scanner:
                 lo, hi = np.searchsorted(values, seen), np.searchsorted(values, seen, side="right")
                 a = start + int(w) * half
                 for i in {int(o) for x, y in zip(lo, hi, strict=True) for o in owner[x:y]}:
-                    hits.setdefault(self.names[i], []).append((a, min(a + size, len(s))))
+                    yield self.names[i], a, min(a + size, len(s))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
@@ -148,10 +159,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
         scanner = Scanner(shared.value, bands, containment)
         for texts in parts:
             rows = []
-            for t in texts:
+            for found in scanner.scan(list(texts)):
                 seen: dict[str, int] = {}
                 row = []
-                for name, first, n, share in scanner.scan(t):
+                for name, first, n, share in found:
                     row.append({"license": name, "place": seen.setdefault(name, 0), "first_word": first, "n_words": n, "containment": share})
                     seen[name] += 1
                 rows.append(row)

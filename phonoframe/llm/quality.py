@@ -166,11 +166,20 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.
     return rules
 
 
-def learn(stats: DataFrame, sample: int = SAMPLE, **options) -> list[Rule]:
-    """Rules from (label 0 for bad, BASE, MORE) rows that pass the base rules; label 1 is good."""
-    rows = stats.filter(~base_failed()).select("label", *[feature(f).alias(f) for f in FEATURES]).limit(2 * sample).toPandas()
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, **options) -> list[Rule]:
+    """Rules from the labelled rows of ``docs`` that pass the base rules; label 1 is good.
+
+    About ``sample`` labelled keys at most are taken, by a hash of the key. Of rows that share a
+    key one counts.
+    """
+    wanted = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("label"))
+    share = min(1.0, sample / max(1, wanted.count()))
+    wanted = cut(wanted.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))
+    wanted = F.broadcast(wanted) if wanted.count() <= 2 * sample else wanted
+    rows = docs.select(key, text).join(wanted, key).select(key, "label", statistics(docs, text).alias("s")).select(key, "label", "s.*")
+    rows = rows.filter(~base_failed()).groupBy(key).agg(F.min(F.struct("label", *[feature(f).alias(f) for f in FEATURES])).alias("x")).select("x.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")  # the order in which rows come doesn't matter
-    return learn_rules({f: rows[f].to_numpy() for f in FEATURES}, (rows["label"] == 0).to_numpy(), **options)
+    return learn_rules({f: rows[f].to_numpy(float) for f in FEATURES}, (rows["label"] == 0).to_numpy(bool), **options)
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -182,18 +191,19 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """``docs`` with a struct _quality: BASE, base_failed, kept, rule."""
+    names = docs.columns
+    counted = docs.select(F.struct(*names).alias("_row"), statistics(docs, text).alias("_s")).select("_row", "_s.*")
+    judged = counted.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return judged.select("_row.*", F.struct(*BASE, "base_failed", "kept", "rule").alias("_quality"))
+
+
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, BASE, base_failed, kept, rule int) for every row of ``docs``.
 
     A null text has no words and fails. Without labels nothing is learned and only the base rules
     decide. Repeated rows give one row each; other columns are ignored.
     """
-
-
-    rows = cut(docs.select(F.col(key), statistics(docs, text).alias("s")).select(key, "s.*"))
-    wanted = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("label"))
-    share = min(1.0, SAMPLE / max(1, wanted.count()))
-    wanted = wanted.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rules = learn(rows.join(wanted, key))
-    judged = rows.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return judged.select(key, *BASE, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    return judge(docs.select(key, text), learn(docs, labels, key, text), text).select(key, "_quality.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, licenses, packing, quality, simhash, urls
+from . import bpe, exact_dedup, language, licenses, packing, quality, repeats, simhash, urls
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op8_language_id, op9_quality_rules, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
