@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
+_MODULES = (text_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
