@@ -9,12 +9,15 @@ Most positions drop out before they become rows. Every T-byte string contains, w
 half, an anchor: the T/2-byte string of least hash among those it wholly contains. Equal strings
 have equal anchors, so where an anchor's string is unique in the corpus, so are all strings that
 it stands for, and only one rank for each anchor has to be counted. Positions that share an
-anchor form a block; blocks that are equal as a whole are repeated as a whole. Rank pairs are
-made and sorted for the positions of all other blocks, and for one of each set of equal ones.
+anchor form a block; blocks that are equal as a whole are repeated as a whole. All other blocks,
+and one of each set of equal ones, are cut to runs of a few positions, which share all but a few
+of their T bytes: where those are unique, so is the run, and runs that are equal as a whole are
+repeated as a whole. Rank pairs are made and sorted for the positions of what is left.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -30,6 +33,8 @@ from .common import cut, slices, whole
 THRESHOLD = 200
 #: Bytes that are hashed together, and the most of one text at a time.
 PIECE, SEGMENT = 1 << 19, 1 << 20
+#: Positions of a run.
+RUN = 8
 _BASE = 6364136223846793005
 _BACK = pow(_BASE, -1, 2**64)
 _TABLE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,18 +65,55 @@ class Blocks:
     anchor: np.ndarray
     name: np.ndarray
     _at: np.ndarray
+    _anchor_at: np.ndarray
     _sums: np.ndarray
 
+    def hashed(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return (self._sums[at + length] - self._sums[at]) * _powers(1)[1][at]
+
+    def runs(self, threshold: int, chosen: np.ndarray | None = None) -> Runs:
+        """The chosen blocks in runs of up to RUN positions, cut at the same places before their anchors."""
+        at, size, anchor = self._at, self.size, self._anchor_at
+        owner = np.arange(len(at)) if chosen is None else chosen
+        at, size, anchor = at[owner], size[owner], anchor[owner]
+        high, low = (anchor - at) // RUN, (anchor - at - size + 1) // RUN
+        n = high - low + 1
+        owner, step = np.repeat(owner, n), _steps(n)
+        q = np.repeat(high, n) - step
+        anchor, start = np.repeat(anchor, n), np.repeat(at, n)
+        first = np.maximum(start, anchor - RUN * q - RUN + 1)
+        last = np.minimum(start + np.repeat(size, n) - 1, anchor - RUN * q)
+        place = q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        core = _mix(self.hashed(anchor - RUN * q, threshold - RUN + 1) + place)
+        whole_ = _mix(self.hashed(first, last - first + threshold) + place + (last - first + RUN * (anchor - first)).astype(np.uint64))
+        return Runs(self.text[owner], self.first[owner] + first - start, last - first + 1, core, whole_, first, self)
+
+
+@dataclass
+class Runs:
+    """Runs of positions: as Blocks, with the names of what all of a run's strings share and of the whole."""
+
+    text: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    core: np.ndarray
+    name: np.ndarray
+    _at: np.ndarray
+    _blocks: Blocks
+
     def pairs(self, chosen: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position, rank here, rank at the last half) of all positions of the chosen blocks."""
+        """(text, position, rank here, rank at the last half) of all positions of the chosen runs."""
         size, half = self.size[chosen], -(-threshold // 2)
-        ends = np.cumsum(size)
-        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        step = _steps(size)
         at = np.repeat(self._at[chosen], size) + step
-        back = _powers(1)[1]
-        a = (self._sums[at + half] - self._sums[at]) * back[at]
-        b = (self._sums[at + threshold] - self._sums[at + threshold - half]) * back[at + threshold - half]
-        return np.repeat(self.text[chosen], size), np.repeat(self.first[chosen], size) + step, _mix(a), _mix(b)
+        here, ahead = self._blocks.hashed(at, half), self._blocks.hashed(at + threshold - half, half)
+        return np.repeat(self.text[chosen], size), np.repeat(self.first[chosen], size) + step, _mix(here), _mix(ahead)
+
+
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 def blocks(texts: list[bytes], threshold: int) -> Iterator[Blocks]:
@@ -103,8 +145,8 @@ def _blocks(parts: list[tuple[int, int, bytes]], threshold: int) -> Blocks:
     sizes = np.array([len(p[2]) for p in parts])
     starts = np.cumsum(sizes) - sizes
     # positions from which a whole string fits into its part
-    valid = np.repeat(sizes - threshold + 1, 1)
-    at = np.repeat(starts, valid) + np.arange(valid.sum()) - np.repeat(np.cumsum(valid) - valid, valid)
+    valid = sizes - threshold + 1
+    at = np.repeat(starts, valid) + _steps(valid)
     part = np.repeat(np.arange(len(parts)), valid)
     own = anchor[at]
     edge = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])))
@@ -114,7 +156,7 @@ def _blocks(parts: list[tuple[int, int, bytes]], threshold: int) -> Blocks:
     end = first + size - 1 + threshold
     name = _mix((sums[end] - sums[first]) * back[first] + _TABLE[(a - first) % 256] * size.astype(np.uint64))
     text, base = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-    return Blocks(text[of], first - starts[of] + base[of], size, _mix(ranks[a]), name, first, sums)
+    return Blocks(text[of], first - starts[of] + base[of], size, _mix(ranks[a]), name, first, a, sums)
 
 
 def row_key(docs: DataFrame, key: str, text: str) -> Column:
@@ -174,38 +216,80 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     shared = classes.groupBy("rank").agg(F.count(F.lit(1)).alias("classes"), F.count_if(F.col("n") == 1).alias("single")).filter("classes > 1 and single > 0")
     wanted = cut(classes.join(shared, "rank", "left_semi").select(F.col("block").bitwiseXOR(F.xxhash64("uid")).alias("probe")))
 
+    def runs(filters, part: int, parts_: int):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                uid, salt = pdf["uid"].to_numpy(), pdf["salt"].to_numpy().view(np.uint64)
+                for b in blocks(encode(pdf["text"]), threshold):
+                    r = b.runs(threshold, np.flatnonzero(_among(filters, part, parts_, b.name ^ salt[b.text])))
+                    yield pd.DataFrame({"core": r.core.view(np.int64), "run": r.name.view(np.int64), "uid": uid[r.text], "first": r.first, "size": r.size})
+
+        return run
+
+    made = [given.mapInPandas(runs(f, i, n), "core long, run long, uid long, first int, size int") for i, n, f in _filters(wanted, "probe")]
+    ordered = reduce(DataFrame.unionByName, made).repartition("core").sortWithinPartitions("core", "run")
+    # known: the whole run is repeated; open: its positions are to be looked at
+    judged = cut(ordered.mapInPandas(judge_runs, "run long, uid long, first int, size int, known boolean, open boolean"))
+    open_ = cut(judged.filter("open").select(F.col("run").bitwiseXOR(F.xxhash64("uid")).alias("probe")).distinct())
+
     def pairs(filters, part: int, parts_: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
                 uid, salt = pdf["uid"].to_numpy(), pdf["salt"].to_numpy().view(np.uint64)
                 for b in blocks(encode(pdf["text"]), threshold):
-                    chosen = np.flatnonzero(_among(filters, part, parts_, b.name ^ salt[b.text]))
-                    text, at, here, ahead = b.pairs(chosen, threshold)
+                    r = b.runs(threshold)
+                    text, at, here, ahead = r.pairs(np.flatnonzero(_among(filters, part, parts_, r.name ^ salt[r.text])), threshold)
                     yield pd.DataFrame({"here": here.view(np.int64), "ahead": ahead.view(np.int64), "uid": uid[text], "first": at.astype(np.int32)})
 
         return run
 
-    def equal_neighbours(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, met = None, False  # the last row so far, and whether it has been given out
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            a, b = pdf["here"].to_numpy(), pdf["ahead"].to_numpy()
-            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            out = np.append(False, same) | np.append(same, False)
-            last = bool(out[-1])
-            if held is not None and met:
-                out[0] = False
-            yield pdf[out][["uid", "first"]]
-            held, met = pdf.iloc[-1:], (last or (met and len(pdf) == 1))
-
-    made = [given.mapInPandas(pairs(f, i, n), "here long, ahead long, uid long, first int") for i, n, f in _filters(wanted, "probe")]
+    made = [given.mapInPandas(pairs(f, i, n), "here long, ahead long, uid long, first int") for i, n, f in _filters(open_, "probe")]
     ordered = reduce(DataFrame.unionByName, made).repartition("here", "ahead").sortWithinPartitions("here", "ahead")
     single = ordered.mapInPandas(equal_neighbours, "uid long, first int").select("uid", F.col("first").cast("long").alias("first"), F.lit(1).alias("size"))
     alike = found.join(classes.filter("n > 1").select("rank", "block"), ["rank", "block"]).select("uid", "first", "size")
-    return alike.unionByName(single)
+    return alike.unionByName(judged.filter("known").select("uid", F.col("first").cast("long").alias("first"), "size")).unionByName(single)
+
+
+def judge_runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of runs in order of (core, run): which are repeated as a whole, and which to open.
+
+    A run whose core is unique is neither. Runs with an equal are known. Runs without one are opened, and of equal ones the
+    first is, where others share their core. Beyond the rows at hand only the first row of the last
+    set of equal runs is held back.
+    """
+    held, seen, other = None, 0, False  # first row of the last set, its rows so far, whether other runs before share its core
+    columns = ["run", "uid", "first", "size", "known", "open"]
+    for pdf in itertools.chain(parts, [None]):
+        if pdf is not None and not len(pdf):
+            continue
+        if held is not None:
+            pdf = held if pdf is None else pd.concat([held, pdf], ignore_index=True)
+            final = len(pdf) == 1 and pdf is held
+        elif pdf is None:
+            break
+        else:
+            final = False
+        pdf = pdf.reset_index(drop=True)
+        core, run = pdf["core"].to_numpy(), pdf["run"].to_numpy()
+        edge = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (run[1:] != run[:-1])))
+        size = np.diff(np.append(edge, len(core)))
+        if held is not None:
+            size[0] += seen - 1  # rows of this set that have gone out
+        before = np.append(other if held is not None else False, core[edge][1:] == core[edge][:-1])
+        after = np.append(core[edge][1:] == core[edge][:-1], False)
+        shared = before | after
+        set_of = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(core))))
+        out = pdf.assign(known=(size > 1)[set_of], open=False)
+        out.loc[edge, "open"] = shared
+        out["open"] &= shared[set_of]
+        if final:
+            yield out[out["known"] | out["open"]][columns]
+            break
+        last = set_of == len(edge) - 1
+        held, seen, other = pdf.iloc[[edge[-1]]], int(size[-1]), bool(before[-1])
+        gone = out[last].iloc[1:].assign(known=True, open=False)  # equal rows after the first need no more looking at
+        out = out[~last]
+        yield pd.concat([out[out["known"] | out["open"]], gone])[columns]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -250,3 +334,21 @@ def cut_out(text: str | None, first, size, threshold: int) -> tuple[bytes | None
     removed = np.cumsum(depth)[:-1] > 0
     runs = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
     return data[~removed].tobytes(), int(removed.sum()), runs
+
+
+def equal_neighbours(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of (here, ahead): uid and first of those with an equal pair next to them."""
+    held, out_already = None, False  # the last row so far, and whether it has been given out
+    for pdf in parts:
+        if not len(pdf):
+            continue
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        a, b = pdf["here"].to_numpy(), pdf["ahead"].to_numpy()
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        out = np.append(False, same) | np.append(same, False)
+        last = bool(out[-1])
+        if held is not None and out_already:
+            out[0] = False
+        yield pdf[out][["uid", "first"]]
+        held, out_already = pdf.iloc[-1:], last
