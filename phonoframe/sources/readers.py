@@ -52,7 +52,7 @@ def json_manifest(spark: SparkSession, path: str, schema: str, array: bool = Fal
 
 def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, content): every file below a folder whose name fits."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return found.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
