@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What normalising deletes and replaces.
 STRIPPED = "[]/()"
@@ -58,7 +59,7 @@ def _named(*parts: str, start: bool = False, mark: bool = False) -> str:
 TONE, TONE_MARK, TILDE = _named("TONE"), _named("TONE", mark=True), _named("COMBINING TILDE", start=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode canonical decomposition; Spark has no function for it."""
     for texts in parts:

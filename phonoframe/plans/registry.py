@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, series_queries, text_queries
+from . import corpus_queries, page_queries, series_queries, text_queries
 
-_MODULES = (text_queries, corpus_queries, series_queries)
+_MODULES = (text_queries, corpus_queries, series_queries, page_queries)
 
 
 def queries() -> dict:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: frame length of waveforms in milliseconds.
 FRAME_MS = 10
@@ -112,7 +113,7 @@ def pcm_clips(regions: DataFrame, content: str = "content") -> DataFrame:
     return regions.select("segment_key", "start_ms", "end_ms", content).mapInPandas(slices, "segment_key string, start_ms long, end_ms long, pcm binary")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """A mono WAV file of float samples in [-1, 1]."""
     out = []
