@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,6 @@ ROWS_PER_LANGUAGE, DIMENSIONS = 400, 1 << 12
 UNKNOWN = "und"
 #: So many language codes may be broadcast; more are joined.
 MOST_BROADCAST = 20_000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -109,7 +107,7 @@ class Model:
     within: dict[str, Machines]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text):
+        if not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at = features(text)
         f, p = self.families.pick(at)
