@@ -121,7 +121,7 @@ class Vocabulary:
             self._automaton = ahocorasick.Automaton()
             special = set(self.special.values())
             for i, t in enumerate(self.token):
-                if t and i not in special:
+                if len(t) > 1 and i not in special:  # single bytes are tokens everywhere
                     self._automaton.add_word(t.decode("latin-1"), (len(t), i))
             self._automaton.make_automaton()
         return self._automaton
@@ -158,7 +158,7 @@ class Vocabulary:
         n = len(data)
         if n == 1:
             return [self.byte_id[data[0]]]
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # tokens that start here, shortest first
+        ends = [[(1, self.byte_id[b])] for b in data]  # tokens that start here, shortest first
         for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
             ends[end - size + 1].append((size, token))
         out: list[int] = []
@@ -300,33 +300,39 @@ def _id_bytes(v: Vocabulary) -> Callable[[str], bytes]:
     return lambda piece: np.array(v.encode(piece), "<u4").tobytes()
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text") -> Column:
-    """The ids of each whole text as little-endian unsigned 32-bit integers (binary)."""
+def encoded_and_decoded(docs: DataFrame, path: str, text: str = "text") -> Column:
+    """A struct of each whole text's ids, as little-endian unsigned 32-bit integers, and of the text that these ids give again."""
     shared = shared_vocabulary(docs, path)
 
-    @F.pandas_udf("binary")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids binary, decoded string")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = vocabulary(shared)
         held = once(f"ids {shared.value[0]}", lambda: Remembered(_id_bytes(v)))
+        offsets = once(f"offsets {shared.value[0]}", v.offsets)
         for texts in parts:
-            yield pd.Series([b"".join(held.all(v.pieces(t))) for t in texts], dtype=object)
+            ids = [b"".join(held.all(v.pieces(t))) for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [decoded(x, *offsets) for x in ids]})
 
     return of(whole(text))
 
 
 def decode_ids(docs: DataFrame, path: str, ids: Column) -> Column:
-    """The text of each row's ids (binary as of encode_texts); bytes that aren't UTF-8 become U+FFFD."""
+    """The text of each row's ids (binary); bytes that aren't UTF-8 become U+FFFD."""
     shared = shared_vocabulary(docs, path)
 
     @F.pandas_udf("string")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        data, start, size = once(f"offsets {shared.value[0]}", lambda: vocabulary(shared).offsets())
+        offsets = once(f"offsets {shared.value[0]}", lambda: vocabulary(shared).offsets())
         for rows in parts:
-            yield pd.Series([_bytes_of(np.frombuffer(r, "<u4"), data, start, size).decode("utf-8", "replace") if r is not None else None for r in rows], dtype=object)
+            yield pd.Series([None if r is None else decoded(r, *offsets) for r in rows], dtype=object)
 
     return of(ids)
 
 
+def decoded(ids: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> str:
+    return _bytes_of(np.frombuffer(ids, "<u4"), data, start, size).decode("utf-8", "replace")
+
+
 def _bytes_of(ids: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     """The tokens' bytes in a row, by the offset table alone."""
     n = size[ids]
@@ -338,6 +344,4 @@ def _bytes_of(ids: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.nda
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids binary, decoded string) for every row; null counts as empty."""
-    encoded = docs.select(F.col(key), encode_texts(docs, path, text).alias("ids"))
-    return encoded.withColumn("decoded", decode_ids(docs, path, F.col("ids")))
-
+    return docs.select(F.col(key), encoded_and_decoded(docs, path, text).alias("x")).select(key, "x.ids", "x.decoded")
