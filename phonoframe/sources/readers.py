@@ -38,9 +38,9 @@ def pipe_manifest(spark: SparkSession, path: str, columns: list[str], unescape:
     Spark's CSV reader splits at escaped separators, hence the text reader.
     """
     lines = spark.read.text(path).filter(F.col("value") != "|".join(columns))
-    # a | after an even number of backslashes separates
-    parts = F.split("value", r"(?<!\\)(?:(?<=(?<!\\)\\\\)|(?<=(?<!\\)\\\\\\\\)|)\|") if unescape else F.split("value", r"\|")
-    part = lambda i: unescaped(parts[i]) if unescape else parts[i]
+    # a field is made of other characters and of escaped ones; what follows the last is no field
+    parts = F.regexp_extract_all("value", F.lit(r"((?:[^|\\]|\\.)*)(\||$)"), F.lit(1)) if unescape else F.split("value", r"\|")
+    part = lambda i: unescaped(F.get(parts, i)) if unescape else F.get(parts, i)
     return lines.select(*[part(i).alias(c) for i, c in enumerate(columns)])
 
 
