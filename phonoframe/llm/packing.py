@@ -34,7 +34,9 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         library = bpe.once(f"library {path}", lambda: Tokenizer.from_str(shared.value[1].decode()))
         v = bpe.vocabulary(shared)
-        ids = bpe.once(f"library ids {path}", lambda: bpe.Remembered(lambda p: np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()))
+        by_library = lambda p: np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        known = bpe.once(f"library words {path}", lambda: bpe.Remembered(by_library, bpe.MEMORY // 2))
+        ids = bpe.once(f"library ids {path}", lambda: bpe.Remembered(lambda p: by_library(p) if p in v.special else b"".join(known.all(v.pre_token.findall(p)))))
         end = np.array([end_id], "<u4").tobytes()
         for texts in parts:
             rows = []
