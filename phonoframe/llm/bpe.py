@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import text_batches, whole
 
 #: Pieces that a worker process remembers, and the longest of them in characters.
-MEMORY, MEMORY_CHARS = 400_000, 48
+MEMORY, MEMORY_CHARS = 150_000, 48
 #: A vocabulary file has this many bytes at most, as it goes to every task.
 VOCABULARY_BYTES = 16 << 20
 #: How byte-level vocabularies cut a text before merging (a fixed value of theirs).
@@ -264,6 +264,7 @@ def vocabulary_source(path: str) -> bytes:
 
 def shared_vocabulary(df: DataFrame, path: str):
     """The vocabulary file, read on the driver and broadcast; its size is checked."""
+    text_batches(df)
     return df.sparkSession.sparkContext.broadcast((path, vocabulary_source(path)))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A salt is one of so many values, so that a set of salts fits the bits of a long.
 SALTS = 64
+#: Rows with a text that a Python worker is given at once.
+TEXT_ROWS = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(df: DataFrame) -> None:
+    """Whole texts go to Python in batches of TEXT_ROWS rows at most, so that a batch of long ones fits a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

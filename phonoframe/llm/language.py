@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_batches
 
 #: Language codes by family. Others form a family of their own.
 FAMILIES = {
@@ -154,6 +154,7 @@ def training_rows(docs: DataFrame, learn_from: Column, key: str = "doc_id", text
 
 def predictions(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """A struct (lang, score) for each whole text."""
+    text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import text_batches, whole
 
 WORDS, CONTAINMENT = 5, 0.8
 #: One MinHash value a band. A window is at most four times its template, so that the two share at least
@@ -152,6 +152,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     templates = TEMPLATES if templates is None else templates
     if sum(map(len, templates.values())) > 8 << 20:
         raise ValueError("templates of over 8 MB in all can't go to every task")
+    text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(templates)
 
     @F.pandas_udf("array<struct<license:string,place:int,first_word:int,n_words:int,containment:double>>")

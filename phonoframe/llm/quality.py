@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import cut, text_batches, whole
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -65,6 +65,7 @@ def text_statistics(text: str) -> tuple[int, ...]:
 
 def statistics(docs: DataFrame, text: str = "text") -> Column:
     """A struct of BASE and MORE (long) for each whole text; a null text counts as empty."""
+    text_batches(docs)
     names = (*BASE, *MORE)
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import cut, slices, whole
+from .common import cut, slices, text_batches, whole
 
 THRESHOLD = 200
 #: Bytes that are hashed together, and the most of one text at a time.
@@ -189,6 +189,7 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     ``rows`` is (uid long, text string not null) with unique uids.
     """
+    text_batches(rows)
     given = rows.select("uid", F.xxhash64("uid").alias("salt"), "text")
     encode = lambda texts: [t.encode("utf-8", "surrogatepass") for t in texts]
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each_salt, salt, salts_seen, whole
+from .common import cut, each_salt, salt, salts_seen, text_batches, whole
 
 #: Fingerprints of a block that one task compares with each other; larger blocks go by way of hubs.
 BLOCK_ROWS = 4096
@@ -38,6 +38,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
         for texts in parts:
             yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
+    text_batches(docs)
     return docs.select(F.col(key), of(whole(text)).alias("fp"))
 
 
