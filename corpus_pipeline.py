@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.llm import exact_dedup, packing, quality, repeats, simhash
-from phonoframe.llm.common import cut, shared_folder, whole
+from phonoframe.llm.common import cut, shared_folder, whole, with_rows
 
 #: Near duplicates: shingles of so many words, fingerprints that differ in so many bits at most.
 WORDS, DISTANCE = 5, 6
@@ -20,12 +20,11 @@ MOST_BROADCAST = 500_000
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows of ``dropped`` (doc_id, text_sha256)."""
-    dropped = cut(dropped.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct())
+    """``docs`` (with _row) less the rows whose _row is in ``dropped``; _row goes."""
+    dropped = cut(dropped.select("_row").distinct())
     if dropped.count() <= MOST_BROADCAST:
         dropped = F.broadcast(dropped)
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(whole(), 256)) == F.col("_sha"))
-    return docs.join(dropped, same, "left_anti")
+    return docs.join(dropped, "_row", "left_anti").drop("_row")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +34,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
-    return without(docs, exact_dedup.exact_dedup(docs).filter("not kept"))
+    """Of equal texts one row: that with the largest doc_id (null is the smallest), of rows equal in both the first one."""
+    columns, docs = docs.columns, with_rows(docs)
+    rows = cut(docs.select("_row", F.col("doc_id").alias("_id"), F.unhex(F.sha2(whole(), 256)).alias("_sha")))
+    lesser = cut(exact_dedup.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct())
+    again = cut(rows.groupBy("_id", "_sha").agg(F.min("_row").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_id").alias("id"), F.col("_sha").alias("sha"), "stays"))
+    lesser, again = (F.broadcast(x) if x.count() <= MOST_BROADCAST else x for x in (lesser, again))
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha"))
+    dropped = rows.join(lesser, same, "left_semi").select("_row").unionByName(rows.join(again, same).filter("_row != stays").select("_row"))
+    return without(docs, dropped).select(*columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints of five-word shingles the document with the least doc_id."""
-    named = simhash.simhash_components(docs, words=WORDS, distance=DISTANCE)
-    dropped = named.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    dropped = cut(dropped)
-    if dropped.count() <= MOST_BROADCAST:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """Of linked fingerprints of five-word shingles one row: that with the least doc_id (null is the largest), then the first."""
+    columns, docs = docs.columns, with_rows(docs)
+    docs = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+    named = simhash.simhash_components(docs, key="_key", words=WORDS, distance=DISTANCE)
+    return without(docs, named.filter("_key.row != component_id.row").select("_key.row").withColumnRenamed("row", "_row")).select(*columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

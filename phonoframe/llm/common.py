@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_rows(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` and a long that names each row: its file's number, in order of paths, and its place there.
+
+    Reading again gives the same numbers. What doesn't come from files is stored first.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        place = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        df = df.sparkSession.read.parquet(place)
+    columns, paths = df.columns, sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    files = F.broadcast(df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], "_path string, _file long"))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index")).join(files, "_path")
+    return placed.select(*columns, F.call_function("shiftleft", F.col("_file"), F.lit(40)).bitwiseOR(F.col("_index")).alias(name))
+
+
 def salt(*cols: str) -> Column:
     """A number from 0 to SALTS - 1 that depends on the row alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
