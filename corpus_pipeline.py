@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm import exact_dedup, packing, quality, repeats, simhash
+from phonoframe.llm import exact_dedup, near, packing, quality, repeats
 from phonoframe.llm.common import cut, shared_folder, whole, with_rows
 
-#: Near duplicates: shingles of so many words, fingerprints that differ in so many bits at most.
-WORDS, DISTANCE = 5, 6
+#: Near duplicates: shingles of so many words, a Jaccard similarity of so much at least.
+WORDS, SIMILARITY = 5, 0.8
 #: So many dropped rows may be broadcast; more are joined.
 MOST_BROADCAST = 500_000
 
@@ -46,11 +46,14 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints of five-word shingles one row: that with the least doc_id (null is the largest), then the first."""
+    """Of texts that links of SIMILARITY connect one row: that with the least doc_id (null is the largest), then the first."""
     columns, docs = docs.columns, with_rows(docs)
-    docs = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
-    named = simhash.simhash_components(docs, key="_key", words=WORDS, distance=DISTANCE)
-    return without(docs, named.filter("_key.row != component_id.row").select("_key.row").withColumnRenamed("row", "_row")).select(*columns)
+    groups = cut(near.near_groups(docs, "_row", words=WORDS, similarity=SIMILARITY))
+    if groups.count() <= MOST_BROADCAST:
+        groups = F.broadcast(groups)
+    named = cut(docs.select("_row", "doc_id").join(groups, "_row"))
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_row").alias("row"))).alias("first")).select(F.col("first.row").alias("_row"))
+    return without(docs, named.join(stays, "_row", "left_anti")).select(*columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
