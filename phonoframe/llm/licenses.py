@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,6 +77,12 @@ class Scanner:
         sized: dict[int, list[str]] = {}
         for name, s in self.sets.items():
             sized.setdefault(1 << max(1, int(np.ceil(np.log2(2 * len(s))))), []).append(name)
+        self.size = {name: size for size, names in sized.items() for name in names}
+        #: by license and shingle: its places in the template
+        self.order: dict[str, dict[int, list[int]]] = {name: {} for name in self.sets}
+        for name in self.sets:
+            for i, x in enumerate(shingles(words_of(templates[name])).tolist()):
+                self.order[name].setdefault(x, []).append(i)
         self.names = sorted(self.sets)
         for size, names in sorted(sized.items()):
             values = np.concatenate([self.permuted(self.sets[n]).min(axis=1) for n in names])
@@ -107,17 +115,63 @@ class Scanner:
         return [[x for name in sorted(h) for x in self._places(name, h[name], e, len(w))] for h, e, w in zip(hits, each, words, strict=True)]
 
     def _places(self, name: str, windows: set[tuple[int, int]], s: np.ndarray, n_words: int) -> Iterator[tuple[str, int, int, float]]:
-        template, end = self.sets[name], -1
+        """Places apart from each other; the search in a window goes on behind the last place found."""
+        template, size, found, end = self.sets[name], self.size[name], [], 0
         for a, b in sorted(windows):
-            if a < end:
-                continue  # the same place by the next window
-            found = np.flatnonzero(np.isin(s[a:b], template))
-            share = len(np.unique(s[a:b][found])) / len(template)
-            if share >= self.containment:
-                first, last = a + int(found[0]), a + int(found[-1])
-                if first >= end:
-                    yield name, first, min(last + WORDS, n_words) - first, share
-                end = last + 1
+            while (a := max(a, end)) < b:
+                lo = max(end, a - size)
+                at = lo + np.flatnonzero(np.isin(s[lo : b + size], template))
+                inside = at[(at >= a) & (at < b)]
+                if len(np.unique(s[inside])) / len(template) < self.containment:
+                    break
+                found.append(self._stretch(name, at, s[at].tolist(), a))
+                end = found[-1][1] + 1
+        for (first, last), (stop, _) in itertools.pairwise([*found, (len(s), 0)]):
+            ahead = np.arange(last + 1, min(stop, first + size))
+            new = ahead[np.isin(s[ahead], template) & ~np.isin(s[ahead], s[first : last + 1])]
+            for q in new.tolist():  # what stands in another order than in the template
+                if q - last > WORDS + len(template) // 2:
+                    break
+                last = q
+            share = len(np.intersect1d(s[first : last + 1], template)) / len(template)
+            yield name, first, min(last + WORDS, n_words) - first, share
+
+    def _stretch(self, name: str, at: np.ndarray, values: list[int], start: int) -> tuple[int, int]:
+        """(first, last shingle) of the first place from ``start`` on; ``at`` has the shingles that are the template's.
+
+        The shortest stretch to the first end where the containment is reached goes on as long as the template's order does.
+        """
+        order, seen = self.order[name], collections.Counter()
+        left = right = int(np.searchsorted(at, start))
+
+        def shorten(left: int) -> int:
+            while seen[values[left]] > len(order[values[left]]):
+                seen[values[left]] -= 1
+                left += 1
+            return left
+
+        while True:
+            seen[values[right]] += 1
+            if len(seen) / len(order) >= self.containment:
+                break
+            right += 1
+        left, here = shorten(left), -1
+        for v in values[left : right + 1]:
+            here = next((p for p in order[v] if p > here), order[v][0])
+        while right + 1 < len(at) and at[right + 1] - at[left] < self.size[name]:
+            here = next((p for p in order[values[right + 1]] if p > here), -1)
+            if here < 0:
+                break
+            right += 1
+            seen[values[right]] += 1
+            left = shorten(left)
+        here = order[values[left]][0]
+        while left > 0 and at[right] - at[left - 1] < self.size[name]:
+            before = [p for p in order[values[left - 1]] if p < here]
+            if not before or at[left] - at[left - 1] > here - before[-1] + 2 * WORDS:
+                break
+            left, here = left - 1, before[-1]
+        return int(at[left]), int(at[right])
 
     def _part(self, s: np.ndarray, start: int, stop: int) -> Iterator[tuple[str, int, int]]:
         """(license, from, to) of windows that share a MinHash value with it."""
@@ -144,7 +198,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     """(key, license, place, first_word, n_words, containment): every place of every row that holds a template.
 
     Words are runs of a-z and 0-9 after A-Z are lower-cased; a place holds a template if at least
-    ``containment`` of its five-word shingles are there. ``place`` counts a row's places of one
+    ``containment`` of its five-word shingles are there. Places of one license don't overlap; each is as short as
+    it gets and goes on as far as the template's words do. ``place`` counts a row's places of one
     license from 0. Rows without one give no row, nor do null and empty texts. Rows that repeat
     are scanned each for itself; other columns are ignored. The templates are a list of the caller's and travel
     with the code.
