@@ -15,6 +15,8 @@ from .common import cut, each_salt, salt, salts_seen, text_batches, whole
 
 #: Fingerprints of a block that one task compares with each other; larger blocks go by way of hubs.
 BLOCK_ROWS = 4096
+#: Close pairs that are held before they are merged.
+PAIRS = 1 << 20
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -83,7 +85,7 @@ def _forest(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarra
         close = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= distance] if len(a) else a
         pairs.append((close, close + d))
         held += len(close)
-        if held > 1 << 20 or not len(a):
+        if held > PAIRS or not len(a):
             low = _lowest(low, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
             pairs, held = [], 0
         if not len(a):
@@ -94,6 +96,8 @@ def _forest(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarra
 
 def _lowest(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each index reaches over the pairs (a, b) and what ``low`` holds."""
+    held = np.flatnonzero(low != np.arange(len(low)))
+    a, b = np.concatenate([a, held]), np.concatenate([b, low[held]])
     while True:
         before = low.copy()
         m = np.minimum(low[a], low[b])
@@ -208,6 +212,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components: links still change after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
