@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, whole
+from .common import over_texts, whole
 
 #: Pieces that a worker process remembers, and the longest of them in characters.
 MEMORY, MEMORY_CHARS = 150_000, 48
@@ -41,15 +42,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_level(source: bytes) -> dict:
+    """What a tokenizers .json file of a byte-level BPE vocabulary says; others are refused."""
+    spec = json.loads(source)
+    pre = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError("only byte-level BPE without a normalizer is supported")
+    return spec
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary as a tokenizers .json file describes it."""
 
     def __init__(self, source: bytes):
-        spec = json.loads(source)
+        spec = byte_level(source)
         model, letters = spec["model"], byte_letters()
-        pre = spec.get("pre_tokenizer") or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
-            raise ValueError("only byte-level BPE without a normalizer is supported")
         to_bytes = lambda t: bytes(letters[c] for c in t)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         ids = model["vocab"]
@@ -244,14 +251,21 @@ class Remembered(dict):
         return list(map(self.__getitem__, pieces))
 
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, dict[tuple[str, ...], object]] = {}
 
 
-def once(name: str, make: Callable[[], object]):
-    """What ``make`` gives, made once in a worker process."""
-    if name not in _LOADED:
-        _LOADED[name] = make()
-    return _LOADED[name]
+def once(name: tuple[str, ...], make: Callable[[], object]):
+    """What ``make`` gives, made once in a worker process; a name is (operator, what).
+
+    What another operator has left goes, so that a worker that is used again holds the memory of one operator.
+    """
+    held = _LOADED.get(name[0])
+    if held is None:
+        _LOADED.clear()
+        held = _LOADED[name[0]] = {}
+    if name[1:] not in held:
+        held[name[1:]] = make()
+    return held[name[1:]]
 
 
 def vocabulary_source(path: str) -> bytes:
@@ -264,27 +278,24 @@ def vocabulary_source(path: str) -> bytes:
 
 def shared_vocabulary(df: DataFrame, path: str):
     """The vocabulary file, read on the driver and broadcast; its size is checked."""
-    text_batches(df)
     return df.sparkSession.sparkContext.broadcast((path, vocabulary_source(path)))
 
 
-def vocabulary(shared) -> Vocabulary:
+def vocabulary(shared, operator: str) -> Vocabulary:
     path, source = shared.value
-    return once(f"vocabulary {path}", lambda: Vocabulary(source))
+    return once((operator, "vocabulary", path), lambda: Vocabulary(source))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> Column:
     """The number of tokens of each whole text; none for a null or empty one."""
     shared = shared_vocabulary(docs, path)
 
-    @F.pandas_udf("long")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = vocabulary(shared)
-        held = once(f"counts {shared.value[0]}", lambda: Remembered(v.count))
-        for texts in parts:
-            yield pd.Series([sum(held.all(v.pieces(t))) for t in texts], dtype="int64")
+    def start():
+        v = vocabulary(shared, "counts")
+        held = once(("counts", "held", shared.value[0]), lambda: Remembered(v.count))
+        return lambda texts: [sum(held.all(v.pieces(t))) for t in texts]
 
-    return of(whole(text))
+    return over_texts("long", start)(whole(text))
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -298,23 +309,25 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
 
 def _id_bytes(v: Vocabulary) -> Callable[[str], bytes]:
-    return lambda piece: np.array(v.encode(piece), "<u4").tobytes()
+    return lambda piece: struct.pack(f"<{len(ids := v.encode(piece))}I", *ids)
 
 
 def encoded_and_decoded(docs: DataFrame, path: str, text: str = "text") -> Column:
     """A struct of each whole text's ids, as little-endian unsigned 32-bit integers, and of the text that these ids give again."""
     shared = shared_vocabulary(docs, path)
 
-    @F.pandas_udf("ids binary, decoded string")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(shared)
-        held = once(f"ids {shared.value[0]}", lambda: Remembered(_id_bytes(v)))
-        offsets = once(f"offsets {shared.value[0]}", v.offsets)
-        for texts in parts:
-            ids = [b"".join(held.all(v.pieces(t))) for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [decoded(x, *offsets) for x in ids]})
+    def start():
+        v = vocabulary(shared, "ids")
+        held = once(("ids", "held", shared.value[0]), lambda: Remembered(_id_bytes(v)))
+        offsets = once(("ids", "offsets", shared.value[0]), v.offsets)
+
+        def both(text: str) -> tuple[bytes, str]:
+            ids = b"".join(held.all(v.pieces(text)))
+            return ids, decoded(ids, *offsets)
+
+        return lambda texts: list(map(both, texts))
 
-    return of(whole(text))
+    return over_texts("ids binary, decoded string", start)(whole(text))
 
 
 def decode_ids(docs: DataFrame, path: str, ids: Column) -> Column:
@@ -323,7 +336,7 @@ def decode_ids(docs: DataFrame, path: str, ids: Column) -> Column:
 
     @F.pandas_udf("string")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        offsets = once(f"offsets {shared.value[0]}", lambda: vocabulary(shared).offsets())
+        offsets = once(("decoding", shared.value[0]), lambda: Vocabulary(shared.value[1]).offsets())
         for rows in parts:
             yield pd.Series([None if r is None else decoded(r, *offsets) for r in rows], dtype=object)
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, whole
+from .common import over_texts, whole
 
 WORDS, CONTAINMENT = 5, 0.8
 #: One MinHash value a band. A window is at most four times its template, so that the two share at least
@@ -207,21 +207,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     templates = TEMPLATES if templates is None else templates
     if sum(map(len, templates.values())) > 8 << 20:
         raise ValueError("templates of over 8 MB in all can't go to every task")
-    text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(templates)
 
-    @F.pandas_udf("array<struct<license:string,place:int,first_word:int,n_words:int,containment:double>>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         scanner = Scanner(shared.value, bands, containment)
-        for texts in parts:
+
+        def scanned(texts: list[str]) -> list[list[tuple]]:
             rows = []
-            for found in scanner.scan(list(texts)):
+            for found in scanner.scan(texts):
                 seen: dict[str, int] = {}
                 row = []
                 for name, first, n, share in found:
-                    row.append({"license": name, "place": seen.setdefault(name, 0), "first_word": first, "n_words": n, "containment": share})
+                    row.append((name, seen.setdefault(name, 0), first, n, share))
                     seen[name] += 1
                 rows.append(row)
-            yield pd.Series(rows, dtype=object)
+            return rows
+
+        return scanned
 
+    of = over_texts("array<struct<license:string,place:int,first_word:int,n_words:int,containment:double>>", start)
     return docs.select(F.col(key), F.explode(of(whole(text))).alias("x")).select(key, "x.*")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, whole
+from .common import MOST_BROADCAST, cut, over_texts, whole
 from .simhash import components
 
 #: Independent bits of a text: each of BLOCKS runs of 16 is a bucket's key, CHECK longs more are compared in a bucket.
@@ -20,8 +20,6 @@ BLOCKS, CHECK = 64, 2
 MOST_BITS = 38
 #: Shingles and texts of a group that are verified together; larger groups are cut to parts, and all pairs of parts meet.
 PART_SHINGLES, PART_TEXTS = 1 << 18, 1024
-#: So many rows of groups may be broadcast; more are joined.
-MOST_BROADCAST = 500_000
 _ODD = np.random.default_rng(11).integers(0, 2**63, BLOCKS // 4 + CHECK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -141,18 +139,13 @@ def near_groups(docs: DataFrame, row: str, text: str = "text", words: int = 5, s
     null ones too, are equal. SimHash only fetches: rows that share one of BLOCKS blocks and differ in MOST_BITS of
     the other bits at most come into one group, and inside a group every pair of rows that isn't connected yet is verified.
     """
-    text_batches(docs)
 
-    @F.pandas_udf("struct<fp:binary,n:int>")
-    def printed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            sets = [shingle_set(t, words) for t in texts]
-            yield pd.DataFrame({"fp": [long_fingerprint(s).tobytes() for s in sets], "n": [len(s) for s in sets]})
+    def print_of(t: str) -> tuple[bytes, int]:
+        s = shingle_set(t, words)
+        return long_fingerprint(s).tobytes(), len(s)
 
-    @F.pandas_udf("array<long>")
-    def shingled(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield texts.map(lambda t: shingle_set(t, words).view(np.int64))
+    printed = over_texts("fp binary, n int", lambda: lambda texts: list(map(print_of, texts)))
+    shingled = over_texts("array<long>", lambda: lambda texts: [shingle_set(t, words).view(np.int64) for t in texts])
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = verified(pdf["row"].to_numpy(), [np.asarray(s, np.int64) for s in pdf["shingles"]], similarity)
@@ -166,8 +159,7 @@ def near_groups(docs: DataFrame, row: str, text: str = "text", words: int = 5, s
     large = sized.groupBy("root").agg(parts.cast("long").alias("parts")).filter("parts > 1")
     members = sized.join(F.broadcast(large), "root", "left").select(F.col("row").alias("_member"), "root", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
     members = members.withColumn("part", F.pmod(F.xxhash64("_member"), F.col("parts")))
-    if sized.count() <= MOST_BROADCAST:
-        members = F.broadcast(members)
+    members = F.broadcast(members) if sized.count() <= MOST_BROADCAST else members
     texts = docs.select(F.col(row).alias("row"), whole(text).alias("text")).join(members, F.col("row") == F.col("_member"))
     sets = texts.select("row", "root", "parts", "part", shingled("text").alias("shingles"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, whole
+from .common import columns_of, cut, over_texts, whole
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -65,14 +63,7 @@ def text_statistics(text: str) -> tuple[int, ...]:
 
 def statistics(docs: DataFrame, text: str = "text") -> Column:
     """A struct of BASE and MORE (long) for each whole text; a null text counts as empty."""
-    text_batches(docs)
-    names = (*BASE, *MORE)
-
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame(np.array([text_statistics(t) for t in texts], np.int64).reshape(-1, len(names)), columns=list(names))
-
+    of = over_texts(", ".join(f"{n} long" for n in (*BASE, *MORE)), lambda: lambda texts: list(map(text_statistics, texts)))
     return of(whole(text))
 
 
@@ -194,8 +185,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with a struct _quality: BASE, base_failed, kept, rule."""
-    names = docs.columns
-    counted = docs.select(F.struct(*names).alias("_row"), statistics(docs, text).alias("_s")).select("_row", "_s.*")
+    counted = docs.select(F.struct(*columns_of(docs)).alias("_row"), statistics(docs, text).alias("_s")).select("_row", "_s.*")
     judged = counted.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     return judged.select("_row.*", F.struct(*BASE, "base_failed", "kept", "rule").alias("_quality"))

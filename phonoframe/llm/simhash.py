@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each_salt, salt, salts_seen, text_batches, whole
+from .common import cut, each_salt, over_texts, salt, salts_seen, whole
 
 #: Fingerprints of a block that one task compares with each other; larger blocks go by way of hubs.
 BLOCK_ROWS = 4096
@@ -35,12 +35,7 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(key, fp long) for every row."""
 
-    @F.pandas_udf("long")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
-
-    text_batches(docs)
+    of = over_texts("long", lambda: lambda texts: np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
     return docs.select(F.col(key), of(whole(text)).alias("fp"))
 
 
