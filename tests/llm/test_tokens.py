@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -24,6 +25,30 @@ def odd(n=400, seed=1):
     return ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(n)] + ["", "a" * 3000, "ab" * 2000, " " * 60, "\n" * 9, "x y " * 4000]
 
 
+def test_packing_encoder_is_the_library(library):
+    encoder = packing.Encoder(bpe.vocabulary_source(PATH))
+    rng = random.Random(4)
+    long_white = [" " * 1_000_000 + "x", "y" + "\n \t" * 300_000 + "z <|endoftext|>", "\u3000" * 700_000]
+    for text in odd(3000, 5) + ["".join(rng.choices("ab<|endoftext|> ", k=200)) for _ in range(200)] + ["ab" * 200_000, *long_white]:
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder.ids("").dtype == np.dtype("<u4")
+
+
+def test_packing_refuses_ids_out_of_order():
+    spec = json.loads(bpe.vocabulary_source(PATH))
+    spec["model"]["merges"][10], spec["model"]["merges"][20] = spec["model"]["merges"][20], spec["model"]["merges"][10]
+    with pytest.raises(ValueError, match="order"):
+        packing.Encoder(json.dumps(spec).encode())
+
+
+def test_a_worker_holds_one_operators_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "_LOADED", {})
+    a = bpe.once(("counts", "held"), dict)
+    assert bpe.once(("counts", "held"), dict) is a and bpe.once(("counts", "more"), list) == []
+    bpe.once(("ids", "held"), dict)
+    assert list(bpe._LOADED) == ["ids"] and bpe.once(("counts", "held"), dict) is not a
+
+
 def test_both_encoders_are_the_library(library):
     v = bpe.Vocabulary(bpe.vocabulary_source(PATH))
     offsets = v.offsets()
@@ -54,7 +79,7 @@ def test_count_and_round_trip(spark, library):
         assert trip[i] == (np.array(want, "<u4").tobytes(), t or "")
     again = spark.createDataFrame([(1, trip[5][0]), (2, None)], "k int, ids binary")
     assert [r[0] for r in again.select(bpe.decode_ids(again, PATH, again["ids"])).collect()] == [texts[5], None]
-    assert bpe.count_tokens(df.limit(0), PATH).count() == 0
+    assert bpe.count_tokens(df.limit(0), PATH).count() == bpe.round_trip(df.limit(0), PATH).count() == packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
 def test_vocabulary_files_have_a_bound(monkeypatch):
