@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import cut, text_batches
+from .common import cut, over_texts, small, whole
 
 #: Language codes by family. Others form a family of their own.
 FAMILIES = {
@@ -24,11 +23,9 @@ FAMILIES = {
     "indic": ("hi", "bn", "ur", "mr", "gu", "pa", "ne", "si"),
     "semitic": ("ar", "he", "am", "mt"),
 }
-#: Rows of each language that are learned from, about; hashed features.
+#: Rows of each language that are learned from, at most; hashed features.
 ROWS_PER_LANGUAGE, DIMENSIONS = 400, 1 << 12
 UNKNOWN = "und"
-#: So many language codes may be broadcast; more are joined.
-MOST_BROADCAST = 20_000
 
 
 def family(lang: str) -> str:
@@ -88,17 +85,31 @@ class Machines:
         return self.names[best], float(sure[best])
 
 
-def _machines(x: np.ndarray, of: list[str]) -> Machines:
+#: A text's features: their places, ascending, and their shares.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def dense(rows: list[Sparse]) -> np.ndarray:
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, (place, share) in enumerate(rows):
+        x[i, place] = share
+    return x
+
+
+def _machines(rows: list[Sparse], of: list[str]) -> Machines:
+    """Only the rows of one pair of names are held as whole vectors at a time."""
     names = sorted(set(of))
-    of_ = np.array(of)
     pairs, weights, bias = list(itertools.combinations(range(len(names)), 2)), [], []
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
+    total = np.zeros(DIMENSIONS)
+    for place, share in rows:
+        total[place] += share
+    scale = (1 / np.sqrt(total / max(1, len(rows)) + 1e-5)).astype(np.float32)
     for a, b in pairs:
-        rows = np.isin(of_, [names[a], names[b]])
-        w, c = svm(x[rows] * scale, np.where(of_[rows] == names[a], 1.0, -1.0))
+        chosen = [i for i, n in enumerate(of) if n in (names[a], names[b])]
+        w, c = svm(dense([rows[i] for i in chosen]) * scale, np.array([1.0 if of[i] == names[a] else -1.0 for i in chosen]))
         weights.append(w * scale)
         bias.append(c)
-    return Machines(names, pairs, np.array(weights, np.float32).reshape(len(pairs), -1), np.array(bias))
+    return Machines(names, pairs, np.array(weights, np.float32).reshape(len(pairs), DIMENSIONS), np.array(bias))
 
 
 @dataclass
@@ -115,55 +126,52 @@ class Model:
         return lang, p * q
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
-    """From (lang, frequencies) rows; None if there are none."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
+    """From (lang, places, shares) rows; None if there are none."""
     if not rows:
         return None
-    x, langs = np.array([r[1] for r in rows]), [r[0] for r in rows]
+    langs, x = [r[0] for r in rows], [(r[1], r[2]) for r in rows]
     of = [family(g) for g in langs]
-    within = {f: _machines(x[[i for i, g in enumerate(of) if g == f]], [g for g in langs if family(g) == f]) for f in set(of)}
+    own = {f: [i for i, g in enumerate(of) if g == f] for f in sorted(set(of))}
+    within = {f: _machines([x[i] for i in at], [langs[i] for i in at]) for f, at in own.items()}
     return Model(_machines(x, of), within)
 
 
-def training_rows(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """(lang, frequencies) of about ``per_language`` rows of each language, chosen by a hash of the key.
+def training_rows(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, places, shares) of ``per_language`` rows of each language at most, chosen by a hash of key and text.
 
-    Every language has its own share, from counts over all rows; texts are used whole and become
-    features in the tasks, so that what comes back is bounded.
+    Every language has its own share, from counts over all rows; rows equal in key and text count once. Texts are used
+    whole and become features in the tasks, so that what comes back is bounded, whatever the keys are.
     """
-    usable = docs.filter(learn_from & F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    counts = docs.filter(learn_from & F.col(lang).isNotNull()).groupBy(lang).agg(F.count(text).alias("n"))
-    share = F.lit(float(per_language)) / F.greatest("n", F.lit(1))
-    counts = cut(counts.withColumnRenamed(lang, "lang"))
-    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
-    usable = usable.select(key, text, F.col(lang).alias("lang")).join(counts, "lang")
-    chosen = usable.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
-
-    @F.pandas_udf("place array<int>, share array<float>")
-    def sparse(texts: pd.Series) -> pd.DataFrame:
-        found = [frequencies(t) for t in texts]
-        return pd.DataFrame([(np.flatnonzero(f), f[f > 0].astype(np.float32)) for f in found], columns=["place", "share"])
-
-    out = []
-    for r in chosen.select("lang", key, sparse(text).alias("f")).orderBy("lang", key).collect():
-        x = np.zeros(DIMENSIONS, np.float32)
-        x[r["f"]["place"]] = r["f"]["share"]
-        out.append((r["lang"], x))
-    return out
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    usable = docs.filter(learn_from & F.col(lang).isNotNull() & lettered).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text, F.lit("sample")).alias("draw"))
+    counts = docs.filter(learn_from & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(text).alias("n"))
+    counts = small(cut(counts))
+    share = F.lit(2.0 * per_language) / F.greatest("n", F.lit(1))  # twice what is wanted, of which the least hashes stay
+    drawn = usable.join(counts, "lang").filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    place = F.row_number().over(W.Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw"))
+    chosen = drawn.withColumn("place", place).filter(F.col("place") <= per_language)
+
+    def sparse(text: str) -> tuple[list[int], list[float]]:
+        f = frequencies(text)
+        at = np.flatnonzero(f)
+        return at.tolist(), f[at].tolist()
+
+    of = over_texts("place array<int>, share array<float>", lambda: lambda texts: list(map(sparse, texts)))
+    rows = chosen.select("lang", "place", of("text").alias("f")).collect()
+    return [(r["lang"], np.array(r["f"]["place"], np.int64), np.array(r["f"]["share"], np.float32)) for r in sorted(rows, key=lambda r: (r["lang"], r["place"]))]
 
 
 def predictions(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """A struct (lang, score) for each whole text."""
-    text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
-        for texts in parts:
-            yield pd.DataFrame([m.predict(t) if m else (UNKNOWN, 0.0) for t in texts], columns=["lang", "score"])
+        return lambda texts: [m.predict(t) if m else (UNKNOWN, 0.0) for t in texts]
 
-    return of(F.col(text))
+    return over_texts("lang string, score double", start)(whole(text))
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -174,8 +182,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """(key, held_out, lang_pred, score) for every row of ``docs``.
 
     Learns from rows that aren't held out and have a language. A null text, or one without a letter, is
-    ``und`` with score 0; so is every text if there is nothing to learn from. A null key isn't held out. Repeated
-    rows give one row each; other columns are ignored.
+    ``und`` with score 0; so is every text if there is nothing to learn from. A null key isn't held out. Ties go to the
+    first name in order. Repeated rows give one row each; other columns are ignored, an empty table gives no rows.
     """
     model = fit(training_rows(docs, ~held_out(key), key, text, lang))
     done = docs.select(F.col(key), held_out(key).alias("held_out"), predictions(docs, model, text).alias("p"))

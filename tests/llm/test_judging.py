@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phonoframe.llm import language, licenses, quality, queries, urls
 from tests.conftest import SF
@@ -76,6 +77,81 @@ def test_nothing_to_learn_from(spark):
     assert {(r["lang_pred"], r["score"]) for r in language.identify(df).collect()} == {("und", 0.0)}
 
 
+LANG = "doc_id long, text string, lang string"
+
+
+def prose(rng, n, letters):
+    return " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(n))
+
+
+def test_language_samples_are_bounded_whatever_the_keys_are(spark):
+    """Null keys, one key for all, and one row many times: every language is learned from, with a bounded number of rows."""
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 7, prose(rng, 30, "aeionrst" if g == "en" else "öäüßkzwg"), g) for i in range(1500) for g in ("en", "de")]
+    rows += [(7, "the same row " * 5, "en")] * 900
+    df = spark.createDataFrame(rows, LANG)
+    got = language.training_rows(df, F.lit(True), per_language=100)
+    n = Counter(r[0] for r in got)
+    assert n == {"en": 100, "de": 100}
+    assert [r[0] for r in got] == [r[0] for r in language.training_rows(df.repartition(7), F.lit(True), per_language=100)]
+    x = df.withColumnsRenamed({"doc_id": "id"}).withColumns({"doc_id": F.lit(3).cast("long"), "p": F.lit(1), "score": F.lit("s"), "held_out": F.lit("h"), "draw": F.lit(1), "n": F.lit(1)})
+    out = language.identify(x, "id").groupBy("lang_pred").count().collect()
+    assert sum(r["count"] for r in out) == len(rows) and {r["lang_pred"] for r in out} == {"en", "de"}
+    assert language.identify(df.limit(0)).count() == 0
+
+
+def test_votes_are_those_of_the_stored_machines(spark):
+    """A plain vote over the families, then over the family's languages, by the stored weights and biases."""
+    rng = random.Random(5)
+    letters = {"en": "aeionrst", "de": "öäüßkzwg", "fr": "éèçaulm", "es": "ñáíodpq", "it": "zgibcfvh"}
+    rows = [(g, *[(at := np.flatnonzero(f := language.frequencies(prose(rng, 40, c)))), f[at].astype(np.float32)]) for g, c in letters.items() for _ in range(40)]
+    model = language.fit(rows)
+
+    def vote(machines, text):
+        x = language.frequencies(text)
+        votes, margins = Counter(dict.fromkeys(machines.names, 0)), Counter(dict.fromkeys(machines.names, 0.0))
+        for (a, b), w, c in zip(machines.pairs, machines.weights, machines.bias, strict=True):
+            m = float(w.astype(float) @ x + c)
+            votes[machines.names[a if m >= 0 else b]] += 1
+            margins[machines.names[a]] += m
+            margins[machines.names[b]] -= m
+        return max(machines.names, key=lambda n: (votes[n], margins[n]))
+
+    for g, c in letters.items():
+        for _ in range(20):
+            text = prose(rng, rng.randint(1, 60), c + letters["en"])
+            family = vote(model.families, text)
+            got, score = model.predict(text)
+            assert got == vote(model.within[family], text) and 0 <= score <= 1
+    assert model.predict(None) == model.predict("12 ²") == ("und", 0.0)
+
+
+def test_rules_on_held_out_labels(spark):
+    """Learned from the labels of two thirds of the documents, judged on the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    rules = quality.learn(docs, labels.filter(~held))
+    got = quality.judge(docs.join(labels.filter(held), "doc_id"), rules).select("quality", "_quality.*").toPandas()
+    fine = got[~got.base_failed]
+    assert len(fine[fine.quality == 0]) > 20
+    assert fine[fine.quality == 1].kept.mean() > 0.98
+    assert fine[fine.quality == 0].kept.mean() < 0.3
+
+
+def test_verdict_is_the_first_rule_that_fits(spark):
+    long_text = "word, " * 200_000 + "!!!"
+    texts = [None, "", long_text, "a # b " * 60, "Plain words " * 40 + "here and there"] * 2
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], DOCS)
+    rules = [(quality.Test("symbols_per_word", True, 0.3),), (quality.Test("upper_share", False, 0.5), quality.Test("ends_per_word", True, 1e-6))]
+    for r in quality.judge(df, rules).select("doc_id", "text", "_quality.*").collect():
+        words, _, symbols, _, repeat = brute_statistics(r["text"])
+        upper, ends = len(re.findall("[A-Z]", r["text"] or "")), len(re.findall("[!?]", r["text"] or ""))
+        letters = len(re.findall("[A-Za-z]", r["text"] or ""))
+        want = 1 if symbols / max(words, 1) >= 0.3 else 2 if upper / max(letters, 1) <= 0.5 and ends / max(words, 1) >= 1e-6 else 0
+        failed = words < 50 or 100 * repeat > 50 * words
+        assert (r["rule"], r["base_failed"], r["kept"]) == (want, failed, not failed and want == 0)
+
+
 def test_families():
     assert language.family("en") == language.family("de") == "germanic" and language.family("xx") == "xx"
 
