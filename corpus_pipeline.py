@@ -2,78 +2,82 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.llm import exact_dedup, near, packing, quality, repeats
-from phonoframe.llm.common import cut, shared_folder, whole, with_rows
+from phonoframe.llm.common import columns_of, cut, new_table, remove_table, small, whole, with_rows
 
 #: Near duplicates: shingles of so many words, a Jaccard similarity of so much at least.
 WORDS, SIMILARITY = 5, 0.8
-#: So many dropped rows may be broadcast; more are joined.
-MOST_BROADCAST = 500_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The pipeline's session gives Python few rows at once, so that executors hold few whole texts outside Spark's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` (with _row) less the rows whose _row is in ``dropped``; _row goes."""
-    dropped = cut(dropped.select("_row").distinct())
-    if dropped.count() <= MOST_BROADCAST:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "_row", "left_anti").drop("_row")
+    """The documents of ``docs`` (row, doc) less those whose row is in ``dropped``."""
+    return docs.join(small(cut(dropped.select("row").distinct())), "row", "left_anti").select("doc.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the rules learned from labels; a null text fails."""
+    small_batches(spark)
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, rules).filter("_quality.kept").drop("_quality")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row: that with the largest doc_id (null is the smallest), of rows equal in both the first one."""
-    columns, docs = docs.columns, with_rows(docs)
-    rows = cut(docs.select("_row", F.col("doc_id").alias("_id"), F.unhex(F.sha2(whole(), 256)).alias("_sha")))
-    lesser = cut(exact_dedup.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct())
-    again = cut(rows.groupBy("_id", "_sha").agg(F.min("_row").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_id").alias("id"), F.col("_sha").alias("sha"), "stays"))
-    lesser, again = (F.broadcast(x) if x.count() <= MOST_BROADCAST else x for x in (lesser, again))
-    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha"))
-    dropped = rows.join(lesser, same, "left_semi").select("_row").unionByName(rows.join(again, same).filter("_row != stays").select("_row"))
-    return without(docs, dropped).select(*columns)
+    """Of equal texts one row: that with the largest doc_id (null is the smallest), of rows equal in both the first one.
 
+    A null text counts as empty.
+    """
+    small_batches(spark)
+    docs = with_rows(docs)
+    texts = docs.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    rows = cut(texts.select("row", F.col("doc_id").alias("of"), F.unhex(F.sha2(whole(), 256)).alias("digest")))
+    lesser = exact_dedup.exact_dedup(texts).filter("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct()
+    again = rows.groupBy("of", "digest").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("of").alias("id"), F.col("digest").alias("sha"), "stays")
+    same = F.col("of").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha"))
+    dropped = rows.join(small(cut(lesser)), same, "left_semi").select("row").unionByName(rows.join(small(cut(again)), same).filter("row != stays").select("row"))
+    return without(docs, dropped)
 
-def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of SIMILARITY connect one row: that with the least doc_id (null is the largest), then the first."""
-    columns, docs = docs.columns, with_rows(docs)
-    groups = cut(near.near_groups(docs, "_row", words=WORDS, similarity=SIMILARITY))
-    if groups.count() <= MOST_BROADCAST:
-        groups = F.broadcast(groups)
-    named = cut(docs.select("_row", "doc_id").join(groups, "_row"))
-    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_row").alias("row"))).alias("first")).select(F.col("first.row").alias("_row"))
-    return without(docs, named.join(stays, "_row", "left_anti")).select(*columns)
 
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that links of SIMILARITY connect one row: that with the least doc_id (null is the largest), then the first.
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less every byte of the 200-byte strings that occur elsewhere; characters cut in two go."""
+    Texts without a word, null ones too, are equal.
+    """
+    small_batches(spark)
+    docs = with_rows(docs)
+    groups = small(cut(near.near_groups(docs.select("row", F.col("doc.text").alias("text")), "row", words=WORDS, similarity=SIMILARITY)))
+    named = cut(docs.select("row", F.col("doc.doc_id").alias("of")).join(groups, "row"))
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("of").isNull(), "of", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return without(docs, named.join(stays, "row", "left_anti"))
 
-    @F.pandas_udf("string")
-    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for kept in parts:
-            yield kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    done = repeats.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, decoded(F.when(F.col("n_removed") > 0, F.col("kept")))).otherwise(F.col("text"))
-    done = done.withColumn("text", text)
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less every byte of the 200-byte strings that occur elsewhere; characters cut in two go.
+
+    A null text stays null. Rows equal in key and text lose their whole text if it has 200 bytes.
+    """
+    small_batches(spark)
+    rest = F.struct(*(columns_of(docs, "doc_id", "text") or [F.lit(0).alias("_")])).alias("rest")
+    done = repeats.remove_repeats(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), rest), "id", "body", as_text=True)
+    less = F.col("n_removed") > 0
+    new = {"doc_id": F.col("id"), "text": F.when(less, F.col("kept")).otherwise(F.col("body"))}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        old = F.col("rest").getField("n_chars")
+        new["n_chars"] = F.when(less, F.length("kept")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -89,11 +93,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again by the next."""
-    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    """All stages over documents; what a stage returns is written and read again by the next, and goes when that has been written."""
+    docs, places = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{place}/{i}")
-            docs = spark.read.parquet(f"{place}/{i}")
+            places.append(new_table(spark))
+            docs.write.parquet(places[-1])
+            docs = spark.read.parquet(places[-1])
+            if i:
+                remove_table(spark, places[-2])
     return docs
