@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 STRIPPED = "[]/()"
 REPLACED_FROM, REPLACED_TO = "g:'͜", "ɡːˈ͡"
 
-# The token grammar. A base with marks and tied bases takes trailing modifiers.
+# The token grammar. A base with marks and tied bases takes trailing modifiers; white space is in no token.
 _MARKS = r"[\p{M}&&[^͜͡]]*"
 _MODIFIERS = r"[ʰ-ˇˉ-ˋˍ-ˏ˒-˿]*"
-TOKEN = rf"(?U)[\p{{L}}\p{{So}}\p{{Nd}}]{_MARKS}(?:[͜͡][\p{{L}}\p{{So}}]{_MARKS})*{_MODIFIERS}|[ˈˌ]|[ːˑ]|[.]|\p{{M}}+|\s+|."
+TOKEN = rf"(?U)[\p{{L}}\p{{So}}\p{{Nd}}]{_MARKS}(?:[͜͡][\p{{L}}\p{{So}}]{_MARKS})*{_MODIFIERS}|[ˈˌ]|[ːˑ]|[.]|\p{{M}}+|\S"
 
 # Sounds by class.
 VOWELS = "i y ɨ ʉ ɯ u ɪ ʏ ʊ e ø ɘ ɵ ɤ o ə ɛ œ ɜ ɞ ʌ ɔ æ ɐ a ɶ ɑ ɒ".split()
@@ -35,7 +35,7 @@ LENGTH = "ː ˑ".split()
 MODIFIERS = "ʰ ʷ ʲ".split()
 BOUNDARIES = [".", "-", " "]
 COARSE_VOWELS = list("aɐɑæɒeɛəɜɞiɪɨoɔøœuʉʊɯʌyʏ")
-#: The fine classes in the order in which reports show them.
+# The fine classes in the order in which reports show them.
 CLASSES = [
     ("vowel", "oral"), ("vowel", "nasalized"), ("consonant", "plosive"), ("consonant", "nasal"), ("consonant", "fricative"),
     ("consonant", "affricate"), ("consonant", "approximant"), ("consonant", "lateral"), ("consonant", "trill"), ("consonant", "tap/flap"),
@@ -82,8 +82,7 @@ def normalize_ipa(text: Column) -> Column:
 
 def tokenize(text: Column, normalize: bool = True) -> Column:
     """The phoneme tokens of a text, without white space; null for null."""
-    text = normalize_ipa(text) if normalize else text
-    return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"(?U)^\s*$"))
+    return F.regexp_extract_all(normalize_ipa(text) if normalize else text, F.lit(TOKEN), F.lit(0))
 
 
 def join_phones(phones: Column) -> Column:
@@ -153,6 +152,9 @@ def code_points(token: Column, separator: str = " ", prefix: str = "U+") -> Colu
     return F.array_join(F.transform(F.split(token, ""), point), separator)
 
 
+# Fixed values in what follows: the words of reports and the counts at which they change.
+
+
 def rarity_notes(token: Column, count: Column) -> Column:
     """What a report says beside a token; a dash for nothing."""
     noted = F.concat_ws(", ", F.when(count < 10, "rare"), F.when(count < 100, "limited data"), F.when(token.rlike(r"[^\x00-\x7F]"), F.concat(F.lit("U+"), code_points(token, "+", ""))))

@@ -16,12 +16,10 @@ def intervals(files: DataFrame, key: str = "audio_id", content: str = "content")
     """
     tier = lambda name: F.regexp_extract(content, rf'(?s)name = "{name}"(.*?)(?:item \[\d+\]:|\z)', 1)
     body = F.when(tier("words") != "", tier("words")).otherwise(tier("phones"))
-    part = lambda p: F.regexp_extract_all(F.col("body"), F.lit(p), F.lit(1))
-    found = files.select(key, body.alias("body")).select(
-        key, F.arrays_zip(part(r"xmin = (\S+)\s+xmax = \S+\s+text = ").alias("start"), part(r"xmin = \S+\s+xmax = (\S+)\s+text = ").alias("end"), part(r'xmin = \S+\s+xmax = \S+\s+text = "((?:[^"]|"")*)"').alias("label")).alias("x")
-    )
-    each = found.select(key, F.posexplode("x").alias("pos", "i"))
-    each = each.select(key, "pos", F.col("i.start").try_cast("double").alias("start"), F.col("i.end").try_cast("double").alias("end"), F.replace("i.label", F.lit('""'), F.lit('"')).alias("label"))
+    interval = r'xmin = (\S+)\s+xmax = (\S+)\s+text = "((?:[^"]|"")*+)"'
+    each = files.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(interval), F.lit(0))).alias("pos", "i"))
+    part = lambda g: F.regexp_extract("i", f"(?s)^{interval}", g)
+    each = each.select(key, "pos", part(1).try_cast("double").alias("start"), part(2).try_cast("double").alias("end"), F.replace(part(3), F.lit('""'), F.lit('"')).alias("label"))
     return each.filter(F.trim("label") != "")
 
 
@@ -55,6 +53,31 @@ def check_durations(manifest: DataFrame, clips: DataFrame, key: str = "audio_id"
     return both.select(key, F.size(tokens).alias("expected"), F.size("phones").alias("actual")).withColumn("matched", F.col("expected") == F.col("actual"))
 
 
+def check_totals(checked: DataFrame, order: list[str], examples: int = 10) -> DataFrame:
+    """One row: matched, mismatched, and the first mismatches in order as an array of (key ..., expected, actual)."""
+    wrong = checked.filter(~F.col("matched")).drop("matched")
+    first = wrong.orderBy(*order).limit(examples)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in wrong.columns if c not in order]))).alias("examples"))
+    return checked.agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("mismatched")).crossJoin(listed)
+
+
+def duration_job(manifest: DataFrame, files: DataFrame, key: str = "audio_id", tokens: str = "tokens", update: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(manifest, report): the manifest with durations of the alignment files, and one row a split.
+
+    ``manifest`` has split, key and tokens; ``files`` (key, content). Without ``update`` the manifest stays as it is and updated is null; without
+    ``validate`` matched and mismatched are null.
+    """
+    clips = clip_durations(intervals(files, key), key)
+    done = attach_durations(manifest, clips, key) if update else manifest
+    updated = F.count_if(F.col("durations") != "") if update else F.lit(None).cast("long")
+    report = done.groupBy("split").agg(F.count(F.lit(1)).alias("total"), updated.alias("updated"))
+    if not validate:
+        return done, report.withColumns({"matched": F.lit(None).cast("long"), "mismatched": F.lit(None).cast("long")})
+    checked = check_durations(manifest, clips, key, tokens).join(manifest.select(key, "split"), key)
+    found = checked.groupBy(F.col("split").alias("_split")).agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("mismatched"))
+    return done, report.join(found, F.col("split").eqNullSafe(F.col("_split")), "left").drop("_split").fillna(0, ["matched", "mismatched"])
+
+
 def looked_up(embedded: Column, recorded: Column, tokens: Column) -> Column:
     """Durations in a manifest's JSON if they can be read, else the record's, else ones."""
     parsed = F.from_json(embedded, "array<int>")

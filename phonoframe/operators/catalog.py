@@ -9,7 +9,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from .ranking import places
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,15 +26,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*[F.col(c) if c in keys else value(c).alias(c) for c in old.columns])
 
 
-def upsert_recordings(old: DataFrame, new: DataFrame, id_: str = "recording_id") -> DataFrame:
+def upsert_recordings(old: DataFrame, new: DataFrame, id_: str = "recording_id", known: DataFrame | None = None) -> DataFrame:
     """As upsert by (language_code, audio_filename); known rows keep their id, new ones get ids after the largest.
 
-    Only the new rows are numbered in one order.
+    ``known`` has all ids where ``old`` is only a part of the table. The new rows are numbered by language and file, without a task that orders them all.
     """
     done = upsert(old, new, ["language_code", "audio_filename"])
-    top = old.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    fresh = done.filter(F.col(id_).isNull()).withColumn("_n", F.row_number().over(W.Window.orderBy("language_code", "audio_filename")))
-    fresh = fresh.crossJoin(F.broadcast(top)).withColumn(id_, F.col("_top") + F.col("_n")).drop("_top", "_n")
+    top = (old if known is None else known).agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
+    fresh = places(done.filter(F.col(id_).isNull()), [], ["language_code", "audio_filename"], "_n")
+    fresh = fresh.crossJoin(F.broadcast(top)).withColumn(id_, F.col("_top") + F.col("_n")).drop("_top", "_n", "_size")
     return done.filter(F.col(id_).isNotNull()).unionByName(fresh)
 
 

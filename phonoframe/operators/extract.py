@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 # Characters that show a phonetic transcription, and what headers say.
-IPA_CLASS = "[ɐ-ʯ̀-ͯƐ-ǿʰ-˿ᴀ-ᵿᶀ-ᶿʔǀ-ǃː⁰-ₜ]"
+IPA_CLASS = r"[\x{190}-\x{1FF}\x{250}-\x{2FF}\x{300}-\x{36F}\x{1D00}-\x{1DBF}\x{2070}-\x{209F}]"
 ENTRY_HEADERS = ["entry", "#", "no.", "no"]
 RECORDING_TYPES = "word-list|sentence|story|conversation|narrative"
 
@@ -27,7 +27,11 @@ class _Walk(HTMLParser):
         self.cells: list[list] = []
         self.links: list[list] = []
         self.tables, self.open = -1, []  # open: [table, row, column, open cell or None]
-        self.link = None
+        self.link, self.error = None, None
+
+    def parse_marked_section(self, i, report=1):
+        """As in browsers, <![ other than CDATA begins a comment up to the next >."""
+        return super().parse_marked_section(i, report) if self.rawdata.startswith("<![CDATA[", i) else self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag, attrs):
         href = dict(attrs).get("href")
@@ -66,12 +70,27 @@ class _Walk(HTMLParser):
 
 
 def _walked(html: str | None) -> _Walk:
+    """What can be parsed; ``error`` says why parsing ended early, if it did."""
     w = _Walk()
-    w.feed(html or "")
-    w.close()
+    try:
+        w.feed(html or "")
+        w.close()
+    except (AssertionError, ValueError, RecursionError) as e:
+        w.error = f"{type(e).__name__}: {e}"
     return w
 
 
+def markup_errors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, error) of the pages whose markup ends the parser early; what comes before that is in ``cells`` and ``links``."""
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = [(k, e) for k, h in zip(pdf[key], pdf[html], strict=True) if (e := _walked(h).error)]
+            yield pd.DataFrame(found, columns=[key, "error"])
+
+    return pages.select(key, html).mapInPandas(walk, f"{key} {pages.schema[key].dataType.simpleString()}, error string")
+
+
 def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, table_idx, row_idx, col_idx, tag, text, href); a page without tables has no row."""
 
@@ -105,9 +124,9 @@ def language_index(found: DataFrame, base: str, key: str = "page_id") -> DataFra
 
 
 def table_summary(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, table_idx, n_rows, headers array) of each table."""
-    heads = F.array_sort(F.collect_list(F.when(F.col("row_idx") == 0, F.struct("col_idx", "text"))))
-    return rows.groupBy(key, "table_idx").agg((F.max("row_idx") + 1).alias("n_rows"), F.transform(heads, lambda h: h["text"]).alias("headers"))
+    """(key, table_idx, n_rows, headers array, first_rows array of arrays) of each table; first_rows are rows 1 and 2."""
+    line = lambda i: F.transform(F.array_sort(F.collect_list(F.when(F.col("row_idx") == i, F.struct("col_idx", "text")))), lambda h: h["text"])
+    return rows.groupBy(key, "table_idx").agg((F.max("row_idx") + 1).alias("n_rows"), line(0).alias("headers"), F.filter(F.array(line(1), line(2)), lambda r: F.size(r) > 0).alias("first_rows"))
 
 
 def recordings_table(rows: DataFrame, key: str = "page_id") -> DataFrame:

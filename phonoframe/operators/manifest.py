@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ipa
-from . import filters, splits
+from . import filters, splits, vocab
 
 
 def export(entries: DataFrame, recordings: DataFrame, languages: DataFrame, segments: DataFrame, language: str | None = None) -> DataFrame:
@@ -57,6 +57,17 @@ def resolve_audio(clips: DataFrame, listing: DataFrame) -> DataFrame:
     return clips.join(first, ["locale", "audio_file"])
 
 
+def combined_corpus(first: DataFrame, second: DataFrame, min_count: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, vocabulary, speakers) of two corpora of (audio_file, text, speaker_name, ...) as one.
+
+    The vocabulary is that of all texts and speakers together, and so are the speakers' numbers.
+    """
+    both = combine(first, second)
+    tokens = both.select(F.explode(ipa.tokenize(F.col("text"))).alias("token"))
+    codes = both.select(F.upper("speaker_name").alias("code"))
+    return both, vocab.build_vocabulary(vocab.token_frequency(tokens), codes, min_count), vocab.speaker_map(codes)
+
+
 def combine(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two manifests under one another; columns that one lacks are null."""
     return first.unionByName(second, allowMissingColumns=True)

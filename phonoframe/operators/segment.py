@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import catalog
+from .ranking import quantiles
+
 # The grid of thresholds (dBFS) and least silences (ms) in order of trial, and the rest.
 THRESHOLDS, LEAST_SILENCES = [-45, -40, -35, -30], [300, 200, 150]
 NEAR_ENOUGH, PAD_MS, TRIM_DB, PEAK_DB = 2, 100, 30, -3.0
@@ -46,13 +49,18 @@ def regions(silent: DataFrame, durations: DataFrame, key: str, by: tuple[str, ..
 
 
 def grid_regions(frames: DataFrame, key: str, frame_ms: int = 10) -> DataFrame:
-    """(key, idx, start, end): the regions at every grid point, from one pass over the frames for each threshold.
+    """(key, idx, start, end): the regions at every grid point, from one sort of each recording's frames.
 
-    The least silences are applied to the few silent runs, not to frames.
+    All thresholds are counted in one window; the least silences are applied to the silent runs, not to frames.
     """
-    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(db).alias("db")) for i, db in enumerate(THRESHOLDS)]))
-    rows = frames.withColumn("_l", levels).withColumn("t", F.col("_l.t")).withColumn("db", F.col("_l.db")).drop("_l")
-    runs = silences(rows, key, F.col("db"), 0, frame_ms, ("t",))
+    w = W.Window.partitionBy(key).orderBy("frame_idx")
+    level = level_db(F.col("mean_sq"))
+    silent = [(level.isNull() | (level <= db)).cast("int") for db in THRESHOLDS]
+    # a run of silence at a threshold: place among all frames less place among its silent ones
+    rows = frames.select(key, "t_ms", F.row_number().over(w).alias("_n"), *[s.alias(f"_s{i}") for i, s in enumerate(silent)], *[F.sum(s).over(w.rowsBetween(W.Window.unboundedPreceding, 0)).alias(f"_c{i}") for i, s in enumerate(silent)])
+    at = F.array(*[F.when(F.col(f"_s{i}") == 1, F.struct(F.lit(i).alias("t"), (F.col("_n") - F.col(f"_c{i}")).alias("island"))) for i in range(len(THRESHOLDS))])
+    each = rows.select(key, "t_ms", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("x")).select(key, "t_ms", "x.t", "x.island")
+    runs = each.groupBy(key, "t", "island").agg(F.min("t_ms").alias("start"), (F.max("t_ms") + frame_ms).alias("end"))
     points = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.lit(ms).alias("least")) for i, ms in enumerate(LEAST_SILENCES)]))
     idx = F.col("t") * len(LEAST_SILENCES) + F.col("_p.m")
     runs = runs.withColumn("_p", points).filter(F.col("end") - F.col("start") >= F.col("_p.least")).select(key, idx.alias("idx"), "start", "end")
@@ -104,6 +112,23 @@ def segment_all(frames: DataFrame, entries: DataFrame, key: str) -> tuple[DataFr
     return made, known.drop("regions").select(key, "n", "target", counts_differ(F.col("n"), F.col("target")).alias("mismatch"), status.cast("long").alias("status"))
 
 
+def segment_catalog(recordings: DataFrame, segments: DataFrame, entries: DataFrame, frames: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, status, totals): the pending recordings of a catalog segmented, and its segments with theirs in place of old ones.
+
+    Pending are downloaded word lists without segments, or all of them if ``force``. ``segments`` is (recording_id, entry_id, start_ms,
+    end_ms, ...), ``entries`` (recording_id, entry_id, entry_number), ``frames`` as for ``grid_regions``. status is as in ``segment_all``, with -1 for
+    pending recordings without a frame. totals is one row: recordings done, new and pre-existing segments, recordings by their status.
+    """
+    pending = catalog.pending_segmentation(recordings, segments, force).select("recording_id")
+    own = lambda df: df.join(pending, "recording_id", "left_semi")
+    made, status = segment_all(own(frames), own(entries), "recording_id")
+    status = pending.join(status, "recording_id", "left").withColumn("status", F.coalesce("status", F.lit(-1).cast("long")))
+    new = made.select("recording_id", "entry_id", "start_ms", "end_ms")
+    ended = status.agg(F.count(F.lit(1)).alias("recordings"), F.count_if(F.col("status") > 0).alias("segmented"), F.count_if(F.col("status") == 0).alias("without_segments"), F.count_if(F.col("status") < 0).alias("unreadable"))
+    totals = ended.crossJoin(new.agg(F.count(F.lit(1)).alias("new"))).crossJoin(catalog.skipped_segments(recordings, segments).withColumnRenamed("skipped", "pre_existing"))
+    return catalog.replace_of(segments, new), status, totals
+
+
 def trim_edges(frames: DataFrame, key: str, db: float = TRIM_DB) -> DataFrame:
     """(key, first, last): the outermost frames less than ``db`` below the clip's loudest; silent clips have no row."""
     peak = F.max("mean_sq").over(W.Window.partitionBy(key))
@@ -121,7 +146,9 @@ def peak_normalized(samples: Column, db: float | None = None) -> Column:
 def clip_report(clips: DataFrame, seconds: Column, kept: Column) -> DataFrame:
     """One row: total, kept, filtered, hours, and the mean, median, deviation and range of kept seconds."""
     s = F.when(kept, seconds)
-    return clips.agg(
+    middle = quantiles(clips.select(s.cast("double").alias("_s")), [], "_s", {"median": 0.5})
+    one = clips.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("filtered"), (F.sum(s) / 3600).alias("hours"),
-        F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_pop(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"),
+        F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"),
     )
+    return one.crossJoin(F.broadcast(middle))

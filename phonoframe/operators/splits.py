@@ -6,28 +6,20 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from .ranking import places
 
 #: Fixed value: the share that validation has of each language.
 VALIDATION = 0.1
 
 
-def stratified(rows: DataFrame, group: str = "language_code", key: str = "segment_key", share: float = VALIDATION, buckets: int = 64) -> DataFrame:
+def stratified(rows: DataFrame, group: str = "language_code", key: str = "segment_key", share: float = VALIDATION) -> DataFrame:
     """``rows`` with split: of each group, in order of the key, the last floor(share n) rows, one at least, are val.
 
-    No task orders a whole group: each group is cut at approximate quantiles of the first six bytes of its keys, and the
-    counts of these buckets give the place where each begins; a row is ranked inside its bucket alone.
+    A null group is a group. No task orders a whole group, see ``ranking.places``.
     """
-    order = F.conv(F.substring(F.hex(F.rpad(F.col(key).cast("string").cast("binary"), 6, F.lit(b"\x00"))), 1, 12), 16, 10).cast("long")
-    rows = rows.withColumn("_o", order)
-    edges = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_o", [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
-    placed = rows.join(F.broadcast(edges), group).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_o"))))
-    before = placed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    before = before.withColumn("_before", F.sum("_c").over(W.Window.partitionBy(group).orderBy("_bucket")) - F.col("_c"))
-    placed = placed.join(F.broadcast(before), [group, "_bucket"])
-    inside = F.row_number().over(W.Window.partitionBy(group, "_bucket").orderBy(key))
-    last_train = F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return placed.withColumn("split", F.when(F.col("_before") + inside > last_train, "val").otherwise("train")).drop("_o", "_n", "_edges", "_bucket", "_c", "_before")
+    last_train = F.col("_size") - F.greatest(F.lit(1), F.floor(F.col("_size") * share))
+    return places(rows, [group], [key], "_place").withColumn("split", F.when(F.col("_place") > last_train, "val").otherwise("train")).drop("_place", "_size")
 
 
 def by_column(split: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ipa
+from ..sources import sinks
 
 
 def token_table(entries: DataFrame, *keep: str, text: str = "ipa") -> DataFrame:
@@ -109,14 +110,18 @@ def low_resource(entries: DataFrame, least: int = 50) -> DataFrame:
 
 
 def report_json(entries: DataFrame, by_language: DataFrame) -> DataFrame:
-    """One row with the whole report as JSON, from aggregates alone."""
+    """One row with the whole report as JSON, from aggregates alone; the table of tokens is stored and read by all of them."""
+    by_language = sinks.stored(by_language)
     totals = token_totals(by_language)
     rows = lambda df, *order: df.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("x"))
     parts = {
         "overview": overview(entries, by_language).select(F.struct("*").alias("x")),
         "category_summary": rows(category_summary(totals), "place", "cat", "subcat", "unique_tokens", "count", "rating"),
+        "category_inventory": rows(category_inventory(totals), "cat", "subcat", "place", "token", "count", "notes"),
+        "under_represented": rows(under_represented(totals), "cat", "subcat", "unique_tokens", "count", "recommendation"),
         "token_counts": rows(totals.withColumn("less", -F.col("count")), "less", "token", "count"),
         "language_stats": rows(language_statistics(entries, by_language), "language_code", "name", "entries", "tokens", "unique_tokens"),
+        "low_resource": rows(low_resource(entries), "language_code", "entries"),
     }
     out = None
     for name, df in parts.items():
@@ -128,6 +133,7 @@ def report_json(entries: DataFrame, by_language: DataFrame) -> DataFrame:
 def report_lines(totals: DataFrame) -> DataFrame:
     """The category table as ordered lines of Markdown: (line_no, text)."""
     s = category_summary(totals)
-    line = F.format_string("| %s | %s | %d | %d | %.1f%% | %s |", F.initcap("cat"), F.initcap("subcat"), "unique_tokens", "count", "pct", "rating")
+    # fixed values: the table's form
+    line = F.format_string("| %s | %s | %,d | %,d | %.1f%% | %s |", F.initcap("cat"), F.initcap("subcat"), "unique_tokens", "count", "pct", "rating")
     head = totals.sparkSession.createDataFrame([(0, "| Category | Subcategory | Unique Sounds | Total Tokens | % of Data | Coverage |"), (1, "|----------|-------------|---------------|--------------|-----------|----------|")], "line_no int, text string")
     return head.unionByName(s.select((F.col("place") + 2).alias("line_no"), line.alias("text")))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import ipa
+from .ranking import quantiles
+
 #: Points of a plot, the widest moving average, the plateau's window and threshold.
 POINTS, WIDEST, WINDOW, IMPROVEMENT = 1000, 50, 1000, 0.01
 
 
+# Fixed values in what follows: how a log writes steps and metrics.
+
+
 def records(lines: DataFrame, average: bool = True) -> DataFrame:
     """(run, rec, step, name, value) of (run, line_no, line).
 
@@ -58,16 +64,16 @@ def subsample(rows: DataFrame, points: int = POINTS) -> DataFrame:
 def moving_average(series: DataFrame, widest: int = WIDEST) -> DataFrame:
     """(run, name, k, value): trailing means over min(widest, n div 5) points of series of over 20, without the first ones."""
     w = W.Window.partitionBy("run", "name")
-    s = series.withColumns({"_n": F.count(F.lit(1)).over(w), "_sum": F.sum("value").over(w.orderBy("k").rowsBetween(W.Window.unboundedPreceding, 0))})
-    s = s.withColumn("_w", F.when(F.col("_n") > 20, F.least(F.lit(widest), F.floor(F.col("_n") / 5))).otherwise(1))
-    before = s.select("run", "name", (F.col("k") + F.col("_w")).alias("k"), F.col("_sum").alias("_before"))
-    joined = s.join(before, ["run", "name", "k"], "left")
-    return joined.filter(F.col("k") >= F.col("_w") - 1).select("run", "name", "k", ((F.col("_sum") - F.coalesce("_before", F.lit(0.0))) / F.col("_w")).alias("value"))
+    s = series.withColumns({"_n": F.count(F.lit(1)).over(w), "_last": F.collect_list(F.coalesce("value", F.lit(0.0))).over(w.orderBy("k").rowsBetween(1 - widest, 0))})
+    s = s.withColumn("_w", F.when(F.col("_n") > 20, F.least(F.lit(widest), F.floor(F.col("_n") / 5))).otherwise(1).cast("int"))
+    s = s.filter(F.col("k") >= F.col("_w") - 1)
+    total = F.aggregate(F.slice("_last", F.size("_last") - F.col("_w") + 1, F.col("_w")), F.lit(0.0), lambda a, v: a + v)
+    return s.select("run", "name", "k", (total / F.col("_w")).alias("value"))
 
 
 def axis_limits(series: DataFrame) -> DataFrame:
     """(run, name, low, high): the 5th and 95th percentiles with a margin, low not under 0."""
-    p = series.groupBy("run", "name").agg(F.percentile("value", 0.05).alias("a"), F.percentile("value", 0.95).alias("b"))
+    p = quantiles(series, ["run", "name"], "value", {"a": 0.05, "b": 0.95})
     margin = 0.3 * (F.col("b") - F.col("a"))
     return p.select("run", "name", F.greatest(F.lit(0.0), F.col("a") - margin).alias("low"), (F.col("b") + margin).alias("high"))
 
@@ -83,6 +89,27 @@ def plateaus(rows: DataFrame, name: str = "loss_mel", window: int = WINDOW, thre
     return m.select("run", F.when(F.col("n") < window, False).otherwise(gain < threshold).alias("plateau"))
 
 
+def step_report(last: DataFrame, samples: DataFrame, at: Column) -> DataFrame:
+    """(run, report): a run's last record as JSON: timestamp, step, losses, plateau, names of its samples in order.
+
+    ``last`` is as from ``latest``, ``samples`` (run, name).
+    """
+    names = samples.groupBy("run").agg(F.array_sort(F.collect_set("name")).alias("samples"))
+    rows = last.join(names, "run", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    return rows.select("run", F.to_json(F.struct(at.alias("timestamp"), "step", "losses", "plateau", "samples")).alias("report"))
+
+
+def latest_artefact(paths: DataFrame) -> DataFrame:
+    """(run, step, path): of each run's files the one of the largest step, of equals the last by name."""
+    step = ipa.artefact_step(F.col("path"))
+    return paths.groupBy("run").agg(F.max(step).alias("step"), F.max_by("path", F.struct(step, "path")).alias("path"))
+
+
+def latest_run(paths: DataFrame) -> DataFrame:
+    """One row: the last run by name."""
+    return paths.agg(F.max("run").alias("run"))
+
+
 def latest(rows: DataFrame, flags: DataFrame) -> DataFrame:
     """(run, step, losses map, plateau): the last record of each run."""
     last = rows.groupBy("run").agg(F.max("rec").alias("rec"))

@@ -46,11 +46,18 @@ def token_ids(vocabulary: DataFrame) -> DataFrame:
 
 
 def encode(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """(key, ids array): each row's tokens as ids in order; others get the id of <unk>."""
-    each = rows.select(key, F.posexplode(tokens).alias("pos", "token"))
-    found = each.join(F.broadcast(token_ids(vocabulary)) if _small(vocabulary) else token_ids(vocabulary), "token", "left")
-    coded = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))).alias("x"))
-    return rows.select(key).join(coded.select(key, F.transform("x", lambda p: p["id"]).alias("ids")), key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+    """(key, ids array): each row's tokens as ids in order; others get the id of <unk>. Rows that repeat a key stay apart."""
+    return _looked_up(rows, token_ids(vocabulary), key, tokens, "token", "id", F.lit(UNKNOWN_ID), "ids", _small(vocabulary))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, items: str, item: str, value: str, otherwise: Column, name: str, small: bool) -> DataFrame:
+    """(key, ``name``): what ``table`` (item, value) has for each item of the rows' arrays, in order; null arrays give empty ones."""
+    numbered = rows.select(key, F.monotonically_increasing_id().alias("_row"), F.col(items).alias("_items"))
+    each = numbered.select(key, "_row", F.posexplode_outer("_items").alias("_pos", item))
+    found = each.join(F.broadcast(table) if small else table, item, "left")
+    at = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(value, otherwise).alias("_v")))
+    listed = found.groupBy(key, "_row").agg(F.array_sort(F.collect_list(at)).alias("_x"))
+    return listed.select(key, F.transform("_x", lambda p: p["_v"]).alias(name))
 
 
 def _small(vocabulary: DataFrame, most: int = 100_000) -> bool:
@@ -68,11 +75,7 @@ def encode_by_map(tokens: Column, ids: dict[str, int]) -> Column:
 
 def decode(rows: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     """(key, tokens array): the reverse; unknown ids give <unk>."""
-    each = rows.select(key, F.posexplode(ids).alias("pos", "id"))
-    names = vocabulary.select("id", "token")
-    found = each.join(F.broadcast(names) if _small(vocabulary) else names, "id", "left")
-    named = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("token")))).alias("x"))
-    return rows.select(key).join(named.select(key, F.transform("x", lambda p: p["token"]).alias("tokens")), key, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    return _looked_up(rows, vocabulary.select("id", "token"), key, ids, "id", "token", F.lit("<unk>"), "tokens", _small(vocabulary))
 
 
 def speaker_map(codes: DataFrame, code: str = "code") -> DataFrame:

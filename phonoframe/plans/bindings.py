@@ -48,14 +48,13 @@ LANGUAGES = "select distinct upper(lang) as code, 'Language ' || upper(lang) as
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as entries; every 97th has no number, every 50th no text."""
+    """Documents as entries by their own numbers; every 97th has none, every 50th no text."""
     r = recordings(spark, sf_dir).select("recording_id", "language_code", "source")
     d = table(spark, sf_dir, "documents").withColumn("language_code", F.upper("lang"))
     d = d.join(r, ["language_code", "source"])
-    number = F.row_number().over(W.Window.partitionBy("recording_id").orderBy("doc_id"))
-    return d.withColumn("number", number).select(
+    return d.select(
         F.col("doc_id").alias("entry_id"), "recording_id", "language_code", F.concat(F.lit("Language "), "language_code").alias("language_name"),
-        F.when(F.col("doc_id") % 97 != 0, F.col("number")).cast("int").alias("entry_number"),
+        F.when(F.col("doc_id") % 97 != 0, F.col("doc_id")).cast("int").alias("entry_number"),
         F.when(F.col("doc_id") % 50 != 7, F.col("text")).alias("ipa"), F.concat(F.lit("gloss "), F.col("doc_id")).alias("english"),
         F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("").alias("orthography"),
     )
@@ -63,7 +62,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES = f"""
   select doc_id as entry_id, recording_id, language_code, 'Language ' || language_code as language_name,
-    case when doc_id % 97 <> 0 then (row_number() over (partition by recording_id order by doc_id))::int end as entry_number,
+    case when doc_id % 97 <> 0 then doc_id::int end as entry_number,
     case when doc_id % 50 <> 7 then text end as ipa, 'gloss ' || doc_id as english, case when doc_id % 3 = 0 then d.source else '' end as orthography
   from documents d join ({RECORDINGS}) r on upper(d.lang) = r.language_code and d.source = r.source"""
 

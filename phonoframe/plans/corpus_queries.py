@@ -149,6 +149,14 @@ def s4(spark, sf):
     return back.select("id", "language_code", "language_name", "entry_id", F.sha2("ipa", 256).alias("ipa_sha256"), "audio_path", "orthography")
 
 
+@query("k2_json_array", f"select code as language_code, name as language_name, url as ipa from ({b.LANGUAGES})")
+def k2(spark, sf):
+    """One array in one file, as languages are few."""
+    path = sinks.scratch(spark)
+    sinks.write_json_array(b.languages(spark, sf).toDF("language_code", "language_name", "ipa"), path, ["language_code"])
+    return readers.json_manifest(spark, path, "language_code string, language_name string, ipa string", array=True)
+
+
 @query("k3_vocabulary", t.VOCABULARY)
 def k3(spark, sf):
     path = sinks.scratch(spark)
@@ -169,6 +177,18 @@ def k5(spark, sf):
     return spark.read.parquet(path).select("speaker", "audio_id", "transcript")
 
 
+PREPARED = f"select role, conv_id, turn, len({b.sql_tokens('text')}) > 0 and turn % 4 <> 3 as ok from conversations"
+
+
+@query("k5_transcript_counts", f"select count(*) as total, count_if(ok)::bigint as prepared, count(distinct role) filter (ok) as speakers from ({PREPARED})")
+def k5c(spark, sf):
+    """Every fourth turn has no audio."""
+    c = b.table(spark, sf, "conversations")
+    rows = c.select(F.col("role").alias("speaker"), F.concat_ws("_", "conv_id", "turn").alias("audio_id"), ipa.tokenize(F.col("text")).alias("tokens"))
+    audio = c.filter("turn % 4 <> 3").select(F.format_string("data/wavs/%d_%d.wav", "conv_id", "turn").alias("path"), F.lit(1).alias("size"))
+    return sinks.transcript_counts(rows, sinks.transcripts(rows, audio))
+
+
 @query("k6_dictionary", f"select token || chr(9) || token as value from ({t.VOCABULARY}) where kind = 'phoneme'")
 def k6(spark, sf):
     path = sinks.scratch(spark)
@@ -212,11 +232,11 @@ def j3(spark, sf):
 
 @query("j4_ordinal_zip", """
   with r as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as ordinal from orders),
-  e as (select *, row_number() over (partition by k order by n nulls first, e_id) as ordinal from (select o_custkey as k, l_orderkey * 10 + l_linenumber as e_id, case when l_linenumber > 1 then l_orderkey * 10 + l_linenumber end as n from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 2))
+  e as (select *, row_number() over (partition by k order by n nulls first, e_id) as ordinal from (select o_custkey as k, l_orderkey * 10 + l_linenumber as e_id, case when l_linenumber > 1 then l_orderkey * 10 + l_linenumber end as n from lineitem join orders on o_orderkey = l_orderkey))
   select r.o_custkey, r.ordinal::int as ordinal, o_orderkey, n from r join e on e.k = r.o_custkey and e.ordinal = r.ordinal""")
 def j4(spark, sf):
     orders = b.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("at"))
-    lines = b.table(spark, sf, "lineitem").filter("l_linenumber <= 2").join(orders.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    lines = b.table(spark, sf, "lineitem").join(orders.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     lines = lines.select("o_custkey", F.when(F.col("l_linenumber") > 1, F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"))
     return manifest.zip_ordinal(orders, lines, "o_custkey", "at", "n").select("o_custkey", "ordinal", "o_orderkey", "n")
 
@@ -238,6 +258,23 @@ def j8(spark, sf):
     return manifest.combine(first, turns(spark, sf)).groupBy("speaker_name").agg(F.count(F.lit(1)).alias("clips"))
 
 
+BOTH = f"select text, speaker_name from ({TURNS}) union all select {b.sql_normalized('ipa_audio_universal')}, upper(locale) from ({CORPUS}) where {USABLE} and ipa_audio_universal <> ''"
+
+
+def both(spark, sf):
+    return manifest.combined_corpus(manifest.corpus_manifest(corpus(spark, sf)), turns(spark, sf))
+
+
+@query("j8_speakers", f"select speaker, row_number() over (order by speaker) - 1 as speaker_id from (select distinct upper(speaker_name) as speaker from ({BOTH}))")
+def j8s(spark, sf):
+    return both(spark, sf)[2]
+
+
+@query("j8_vocabulary", t.sql_vocabulary(f"select token, count(*) as count from (select unnest({b.sql_tokens('text')}) as token from ({BOTH})) group by token", f"select distinct upper(speaker_name) as code from ({BOTH})"))
+def j8v(spark, sf):
+    return both(spark, sf)[1]
+
+
 # -- X
 
 SPLIT = "select *, case when row_number() over (partition by {g} order by {k}) > count(*) over (partition by {g}) - greatest(1, floor(count(*) over (partition by {g}) * 0.1)) then 'val' else 'train' end as split from ({t})"
@@ -355,12 +392,14 @@ def c8(spark, sf):
     return catalog.pending_downloads(b.recordings(spark, sf)).select("recording_id", "wav_url")
 
 
-SOME = f"select * from ({SEGMENTS}) where recording_id % 2 = 0"
+#: Clips of what is marked as toxic: some recordings have none.
+SOME = f"select * from ({SEGMENTS}) where entry_id in (select doc_id from labels where toxic = 1)"
 
 
 @query("c8_pending_segmentation", f"select recording_id, (select count(*) from ({SOME}) where recording_id in (select recording_id from ({b.RECORDINGS}) where recording_type = 'word-list' and downloaded)) as skipped from ({b.RECORDINGS}) where recording_type = 'word-list' and downloaded and recording_id not in (select recording_id from ({SOME}))")
 def c8s(spark, sf):
-    some = segments(spark, sf).filter("recording_id % 2 = 0")
+    marked = b.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("entry_id"))
+    some = segments(spark, sf).join(marked, "entry_id", "left_semi")
     r = b.recordings(spark, sf)
     return catalog.pending_segmentation(r, some).select("recording_id").crossJoin(F.broadcast(catalog.skipped_segments(r, some)))
 
@@ -368,9 +407,10 @@ def c8s(spark, sf):
 @query("c9_missing_entries", f"""
   select recording_id, language_code, audio_filename, regexp_replace(wordlist_url, '#.*$', '') as page_url, regexp_replace(url, '/[^/]*$', '') || '/' || audio_filename || '.html' as expected_url,
     case when wordlist_url is null then 'no word list' when not contains(wordlist_url, 'word-list') then 'not a word list' else 'no rows parsed' end as reason
-  from ({b.RECORDINGS}) r join ({b.LANGUAGES}) l on l.code = r.language_code where recording_id not in (select recording_id from ({b.ENTRIES}) where entry_id % 5 = 0 and recording_id % 2 = 0)""")
+  from ({b.RECORDINGS}) r join ({b.LANGUAGES}) l on l.code = r.language_code where recording_id not in (select recording_id from ({b.ENTRIES}) where entry_id in (select doc_id from labels where toxic = 1))""")
 def c9(spark, sf):
-    parsed = b.entries(spark, sf).filter("entry_id % 5 = 0 and recording_id % 2 = 0")
+    """Of the entries those marked as toxic count as parsed, so that some recordings have none."""
+    parsed = b.entries(spark, sf).join(b.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("entry_id")), "entry_id", "left_semi")
     return catalog.missing_entries(b.recordings(spark, sf), parsed, b.languages(spark, sf))
 
 

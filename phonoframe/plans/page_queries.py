@@ -50,7 +50,7 @@ def wordlist_pages(spark, sf):
     cells = F.when(v < 2, row("td", F.col("n"), F.col("t"), F.col("e"))).when(v == 2, row("td", F.concat("n", "o"), F.concat("t", F.lit("&nbsp;"), "e"))).otherwise(row("td", F.col("n"), F.col("o"), F.lit("snd"), F.col("t"), F.col("e")))
     p = d.withColumn("cells", cells).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "cells"))), lambda x: x["cells"]), "").alias("rows"))
     head = F.when(v == 0, headers("Entry", "Phonetic transcription", "English")).when(v == 1, headers("Entry", "Abaza", "English")).when(v == 2, headers("Entry", "Orthography", "Transcription", "English")).otherwise(headers("Entry", "Orthography", "Sound", "Transcription", "English"))
-    return p.select("page_id", F.format_string("http://archive.example.org/w/%d.html", "page_id").alias("url"), html_table(head, F.col("rows")).alias("html"))
+    return p.select("page_id", F.format_string("http://archive.example.org/w/word-list-%d.html", "page_id").alias("url"), html_table(head, F.col("rows")).alias("html"))
 
 
 # -- a language's recordings make a page
@@ -102,9 +102,9 @@ def h2l(spark, sf):
     return extract.links(b.table(spark, sf, "pages")).select("page_id", "pos", "href")
 
 
-@query("h2_table_summary", f"select page_id, 1 as table_idx, count(*)::int + 1 as n_rows, case v when 0 then 'Entry|Phonetic transcription|English' when 1 then 'Entry|Abaza|English' when 2 then 'Entry|Orthography|Transcription|English' else 'Entry|Orthography|Sound|Transcription|English' end as headers from ({WORDS}) group by page_id, v union all select distinct page_id, 0, 1, 'menu' from ({WORDS})")
+@query("h2_table_summary", f"select page_id, 1 as table_idx, count(*)::int + 1 as n_rows, case v when 0 then 'Entry|Phonetic transcription|English' when 1 then 'Entry|Abaza|English' when 2 then 'Entry|Orthography|Transcription|English' else 'Entry|Orthography|Sound|Transcription|English' end as headers, string_agg(case v when 2 then n || 'օ' || source else n::varchar end, '|' order by n) filter (n <= 2) as first_cells from ({WORDS}) group by page_id, v union all select distinct page_id, 0, 1, 'menu', '' from ({WORDS})")
 def h2s(spark, sf):
-    return extract.table_summary(extract.cells(wordlist_pages(spark, sf))).withColumn("headers", F.array_join("headers", "|"))
+    return extract.table_summary(extract.cells(wordlist_pages(spark, sf))).select("page_id", "table_idx", "n_rows", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("first_rows", lambda r: r[0]), "|").alias("first_cells"))
 
 
 @query("h3_recordings_table", "select distinct upper(lang) as page_id, 1 as table_idx from documents")
@@ -143,7 +143,10 @@ def parsed(spark, sf):
 
 @query("h7_merged_rows", f"select * from ({ENTRIES}) where page_id % 4 = 2")
 def h7(spark, sf):
-    return parsed(spark, sf).filter("page_id % 4 = 2")
+    """The pages whose rows the operator finds merged."""
+    c = extract.cells(wordlist_pages(spark, sf))
+    roles = extract.column_roles(c.join(extract.wordlist_table(c), ["page_id", "table_idx"], "left_semi"))
+    return parsed(spark, sf).join(roles.filter("merged"), "page_id", "left_semi")
 
 
 @query("h8_entries", ENTRIES)
@@ -161,12 +164,32 @@ def h9(spark, sf):
     return extract.links(p).join(p.select("page_id", "url"), "page_id").select("page_id", "pos", extract.resolved(F.col("url"), F.col("href")).alias("target"))
 
 
-@query("i1_ingest", f"select page_id, count(*) as n_links, arg_min({RESOLVED}, pos) as first_target from ({LINKS}) group by page_id")
+def crawl(spark, sf):
+    """(page, url, html): each word-list page with its recording on a language page of 40, and those on index pages of 500."""
+    w = wordlist_pages(spark, sf)
+    link = lambda href, text: F.concat(F.lit('<a href="'), href, F.lit('">'), text, F.lit("</a>"))
+    r = w.select("page_id", F.floor(F.col("page_id") / 40).alias("language"), F.regexp_extract("url", "(/w/.*)$", 1).alias("list"))
+    name = F.format_string("l%d_word-list_2009_%02d", "language", F.col("page_id") % 100)
+    cells = row("td", link(F.concat(F.lit("../sound/"), name, F.lit(".wav")), F.lit("wav")), link(F.col("list"), F.lit("list")), F.lit("1 – 25"), F.concat(F.lit("Spoken slowly by speaker "), F.col("page_id").cast("string")))
+    joined = lambda key, part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, part.alias("part")))), lambda x: x["part"]), "")
+    languages = r.groupBy("language").agg(joined("page_id", cells).alias("rows"))
+    pages = languages.select(F.col("language").alias("page"), F.format_string("http://archive.example.org/Language/L%d/index.html", "language").alias("url"), html_table(headers("WAV audio", "Word list", "Entries", "Notes"), F.col("rows")).alias("html"))
+    a = link(F.format_string("../Language/L%d/index.html", "language"), F.format_string("Language L%d", "language"))
+    index = languages.groupBy(F.floor(F.col("language") / 500).alias("page")).agg(joined("language", a).alias("html"))
+    index = index.select("page", F.format_string("http://archive.example.org/all/%d.html", "page").alias("url"), "html")
+    return w.select(F.col("page_id").alias("page"), "url", "html").unionByName(pages).unionByName(index)
+
+
+@query("i1_ingest", f"""
+  select 'L' || (page_id // 40) as language_code, 'Language L' || (page_id // 40) as language_name, 'l' || (page_id // 40) || '_word-list_2009_' || lpad((page_id % 100)::varchar, 2, '0') as audio_filename,
+    2009 as year, (page_id % 100)::int as sequence, row_idx, entry_number, ipa_sha256, english, orthography, sound_illustrated from ({ENTRIES})""")
 def i1(spark, sf):
-    """The pages as files that come in over two runs; the second brings some again."""
+    """Pages as files that come in over two runs; the second brings some again, and in place of outdated ones."""
     top = sinks.scratch(spark)
-    pages = b.table(spark, sf, "pages").select("page_id", "url", "html")
-    pages.filter("page_id % 3 <> 0").repartition(4).write.parquet(f"{top}/in")
-    ingest.ingest(spark, f"{top}/in", f"{top}/catalog", files_per_batch=2)
-    pages.filter("page_id % 2 = 0 or page_id % 3 = 0").repartition(2).write.mode("append").parquet(f"{top}/in")
-    return ingest.ingest(spark, f"{top}/in", f"{top}/catalog", files_per_batch=2).read()
+    pages = sinks.stored(crawl(spark, sf))
+    old = F.when((F.col("page") % 5 == 0) & F.col("url").contains("word-list"), html_table(headers("Entry", "Transcription"), row("td", F.lit("9"), F.lit("ɐ")))).otherwise(F.col("html"))
+    pages.filter("page % 3 <> 1").select("url", old.alias("html")).repartition(2).write.parquet(f"{top}/in")
+    ingest.ingest(spark, f"{top}/in", f"{top}/catalog")
+    pages.filter("page % 3 = 1 or page % 5 = 0 or page % 2 = 0").select("url", "html").repartition(2).write.mode("append").parquet(f"{top}/in")
+    e = ingest.exported(ingest.ingest(spark, f"{top}/in", f"{top}/catalog"))
+    return e.withColumn("ipa_sha256", F.sha2("ipa", 256)).select("language_code", "language_name", "audio_filename", "year", "sequence", "row_idx", "entry_number", "ipa_sha256", "english", "orthography", "sound_illustrated")

@@ -134,6 +134,31 @@ def t7s(spark, sf):
     return segment.segment_all(frames(spark, sf), user_entries(spark, sf), "user_id")[1]
 
 
+#: Users as recordings of a catalog; those with a large error have segments from before.
+BEFORE = "select user_id as recording_id, event_id as entry_id, 0::bigint as start_ms, 5::bigint as end_ms from events where event_type = 'error' and value > 480"
+PENDING = f"select distinct user_id from events where user_id not in (select recording_id from ({BEFORE}))"
+
+
+def catalog_job(spark, sf):
+    e = b.table(spark, sf, "events")
+    recordings = e.select(F.col("user_id").alias("recording_id")).distinct().withColumns({"recording_type": F.lit("word-list"), "downloaded": F.lit(True)})
+    before = e.filter("event_type = 'error' and value > 480").select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("entry_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(5).cast("long").alias("end_ms"))
+    renamed = lambda df: df.withColumnRenamed("user_id", "recording_id")
+    return segment.segment_catalog(recordings, before, renamed(user_entries(spark, sf)), renamed(frames(spark, sf)))
+
+
+@query("t7_job", f"select * from ({BEFORE}) union all select user_id, entry_id, start_ms, end_ms from ({SQL['t7_segments']}) where user_id in ({PENDING})")
+def t7j(spark, sf):
+    return catalog_job(spark, sf)[0]
+
+
+@query("t7_job_totals", f"""
+  select count(*) as recordings, count_if(status > 0)::bigint as segmented, count_if(status = 0)::bigint as without_segments, count_if(status < 0)::bigint as unreadable,
+    (select count(*) from ({SQL['t7_segments']}) where user_id in ({PENDING})) as new, (select count(*) from ({BEFORE})) as pre_existing from ({SQL['t7_status']}) where user_id in ({PENDING})""")
+def t7t(spark, sf):
+    return catalog_job(spark, sf)[2]
+
+
 # -- embeddings as samples
 
 SAMPLES = "select vec_id, unnest(range(len(embedding))) as frame_idx, pow(unnest(embedding)::double, 2) as mean_sq from embeddings"
@@ -174,9 +199,10 @@ def s8(spark, sf):
     return readers.pcm_frames(waveforms(spark, sf)).select("rec_id", "frame_idx", "t_ms", F.round("mean_sq", 9).alias("mean_sq"))
 
 
-@query("k9_segment_clips", "select 'vec' || vec_id || '_' || i as segment_key, i * 100 as start_ms, i * 100 + 150 as end_ms, greatest(0, least(len(embedding) * 64, (i * 100 + 150) * 6400 // 1000) - least(len(embedding) * 64, i * 100 * 6400 // 1000)) * 2 as n_bytes from embeddings, unnest(range(3)) as t(i) where vec_id % 41 <> 3")
+@query("k9_segment_clips", "select 'vec' || vec_id || '_' || i as segment_key, i * 100 as start_ms, i * 100 + 150 as end_ms, case when vec_id % 41 <> 3 then greatest(0, least(len(embedding) * 64, (i * 100 + 150) * 6400 // 1000) - least(len(embedding) * 64, i * 100 * 6400 // 1000)) * 2 end as n_bytes from embeddings, unnest(range(3)) as t(i)")
 def k9(spark, sf):
-    w = waveforms(spark, sf).filter("rec_id % 41 <> 3").withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    """Files that can't be read give clips without samples."""
+    w = waveforms(spark, sf).withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     r = w.select(F.format_string("vec%d_%d", "rec_id", "i").alias("segment_key"), (F.col("i") * 100).cast("long").alias("start_ms"), (F.col("i") * 100 + 150).cast("long").alias("end_ms"), "content")
     return readers.pcm_clips(r).select("segment_key", "start_ms", "end_ms", F.octet_length("pcm").cast("long").alias("n_bytes"))
 
@@ -281,6 +307,19 @@ def l8(spark, sf):
     return x.select("run", "step", F.size("losses").cast("long").alias("n"), F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), "plateau")
 
 
+@query("k8_step_report", f"""
+  select run, step, count(*) as n_losses, round(sum(value), 6) as total, coalesce(any_value(plateau), false) as plateau, '2009-01-01T00:00:00Z' as timestamp, (select count(distinct event_type) from events e where e.user_id = r.run) as n_samples
+  from ({RECORDS}) r semi join (select run, max(rec) as rec from ({RECORDS}) group by run) x on x.run = r.run and x.rec = r.rec left join ({PLATEAU}) using (run) where name like 'loss_%' group by 1, 2""")
+def k8s(spark, sf):
+    """The report's JSON, read again; event types stand for the names of samples."""
+    r = log_records(spark, sf)
+    samples = b.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("name"))
+    made = trainlog.step_report(trainlog.latest(r, trainlog.plateaus(r, window=4)), samples, F.lit("2009-01-01T00:00:00Z"))
+    x = made.select("run", F.from_json("report", "timestamp string, step long, losses map<string,double>, plateau boolean, samples array<string>").alias("x")).select("run", "x.*")
+    total = F.round(F.aggregate(F.map_values("losses"), F.lit(0.0), lambda a, v: a + v), 6)
+    return x.select("run", "step", F.size("losses").cast("long").alias("n_losses"), total.alias("total"), "plateau", "timestamp", F.size("samples").cast("long").alias("n_samples"))
+
+
 # -- conversations as alignments: each word is an interval by its length; every fifth turn has phones only, every seventh no tier
 
 WORDS = "select conv_id, turn, i - 1 as pos, w as label, greatest(1, trunc(round(len(w) * 0.05, 2) * 22050 / 256))::int as frames from (select conv_id, turn, unnest(string_split(text, ' ')) as w, unnest(range(1, 1 + len(string_split(text, ' ')))) as i from conversations where turn % 7 <> 6) where trim(w) <> ''"
@@ -347,12 +386,19 @@ def j7(spark, sf):
     return align.check_durations(m, clips(spark, sf))
 
 
-@query("d4_duration_job", f"select case when hash_turn % 10 = 0 then 'val' else 'train' end as split, count(*) as total, count(durations) as updated, count_if(len(t) = len(phones))::bigint as matched from (select turn as hash_turn, conv_id || '_' || turn as id, {b.sql_tokens('text')} as t from conversations) left join ({CLIPS}) on audio_id = id group by 1")
+@query("j7_totals", f"""
+  with c as (select turn, conv_id, id, len(t)::int as expected, len(phones)::int as actual from (select conv_id, turn, conv_id || '_' || turn as id, {b.sql_tokens('text')} as t from conversations) join ({CLIPS}) on audio_id = id)
+  select count_if(expected = actual)::bigint as matched, count_if(expected <> actual)::bigint as mismatched, (select string_agg(id || ':' || expected || ':' || actual, ',' order by conv_id, turn) from (select * from c where expected <> actual order by conv_id, turn limit 10)) as examples from c""")
+def j7t(spark, sf):
+    m = b.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws("_", "conv_id", "turn").alias("audio_id"), ipa.tokenize(F.col("text")).alias("tokens"))
+    checked = align.check_durations(m, clips(spark, sf)).join(m.select("audio_id", "conv_id", "turn"), "audio_id")
+    return align.check_totals(checked, ["conv_id", "turn"]).withColumn("examples", F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["audio_id"], x["expected"], x["actual"])), ","))
+
+
+@query("d4_duration_job", f"select case when hash_turn % 10 = 0 then 'val' else 'train' end as split, count(*) as total, count(durations) as updated, count_if(len(t) = len(phones))::bigint as matched, count_if(len(t) <> len(phones))::bigint as mismatched from (select turn as hash_turn, conv_id || '_' || turn as id, {b.sql_tokens('text')} as t from conversations) left join ({CLIPS}) on audio_id = id group by 1")
 def d4(spark, sf):
     m = b.table(spark, sf, "conversations").select(F.when(F.col("turn") % 10 == 0, "val").otherwise("train").alias("split"), F.concat_ws("_", "conv_id", "turn").alias("audio_id"), ipa.tokenize(F.col("text")).alias("tokens"))
-    c = clips(spark, sf)
-    done = align.attach_durations(m, c).join(align.check_durations(m, c).select("audio_id", "matched"), "audio_id", "left")
-    return done.groupBy("split").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("durations") != "").alias("updated"), F.count_if("matched").alias("matched"))
+    return align.duration_job(m, text_grids(spark, sf).select("audio_id", "content"))[1]
 
 
 @query("d5_lookup", f"select conv_id || '_' || turn as audio_id, array_to_string(case when turn % 3 = 0 then [turn::int, 2] when durations is not null then durations else list_transform(t, lambda x: 1) end, ' ') as durations from (select conv_id, turn, {b.sql_tokens('text')} as t from conversations) left join ({CLIPS}) on audio_id = conv_id || '_' || turn")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ipa
-from ..operators import stats, vocab
+from ..operators import stats, trainlog, vocab
 from . import bindings as b
 
 Q: dict = {}
@@ -129,18 +129,31 @@ def n12(spark, sf):
 @query("n13_latest_artefact", "select user_id, max(event_id) as step, 'run' || user_id || '/checkpoint_' || max(event_id) || '.pth' as path from events group by user_id")
 def n13(spark, sf):
     """Events as saved artefacts of a user's run: the one of the largest step."""
-    paths = b.table(spark, sf, "events").select("user_id", F.format_string("run%d/checkpoint_%d.pth", "user_id", "event_id").alias("path"))
-    step = ipa.artefact_step(F.col("path"))
-    return paths.groupBy("user_id").agg(F.max(step).alias("step"), F.max_by("path", step).alias("path"))
+    return trainlog.latest_artefact(artefacts(spark, sf)).withColumnRenamed("run", "user_id")
+
+
+def artefacts(spark, sf):
+    return b.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.format_string("run%d/checkpoint_%d.pth", "user_id", "event_id").alias("path"))
+
+
+@query("n13_latest_run", "select 'run' || user_id as run from events order by 1 desc limit 1")
+def n13r(spark, sf):
+    return trainlog.latest_run(artefacts(spark, sf).withColumn("run", F.regexp_extract("path", "^([^/]+)/", 1)))
 
 
 # -- V
 
 CODES = "select distinct upper(lang) as code from documents"
-VOCABULARY = f"""
+
+
+def sql_vocabulary(totals: str, codes: str) -> str:
+    return f"""
   select i as id, t as token, 'special' as kind from (select unnest(range({len(vocab.SPECIALS)})) as i, unnest([{_listed(vocab.SPECIALS)}]) as t)
-  union all select row_number() over (order by count desc, token) + 5, token, 'phoneme' from ({b.TOTALS}) where count >= 2
-  union all select row_number() over (order by code) + 5 + (select count(*) from ({b.TOTALS}) where count >= 2), code, 'language' from ({CODES})"""
+  union all select row_number() over (order by count desc, token) + 5, token, 'phoneme' from ({totals}) where count >= 2
+  union all select row_number() over (order by code) + 5 + (select count(*) from ({totals}) where count >= 2), code, 'language' from ({codes})"""
+
+
+VOCABULARY = sql_vocabulary(b.TOTALS, CODES)
 
 
 def codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,13 +303,26 @@ def g12(spark, sf):
     return stats.low_resource(e)
 
 
-@query("g13_report", f"select (select count(*) from documents) as entries, sum(count)::bigint as tokens, (select count(*) from ({SUMMARY})) as classes, count(*) as token_counts, (select count(distinct lang) from documents) as languages, first(token order by count desc, token) as first_token from ({b.TOTALS})")
+@query("g13_report", f"""
+  select (select count(*) from documents) as entries, sum(count)::bigint as tokens, (select count(*) from ({SUMMARY})) as classes, (select sum(unique_tokens * (place + 1))::bigint from ({SUMMARY})) as summary_check, count(*) as token_counts,
+    (select count(distinct lang) from documents) as languages, first(token order by count desc, token) as first_token, (select count(*) from (select 1 from ({CLASSIFIED}) group by cat, subcat having sum(count) < 1000 and cat not in ('boundary', 'other', 'modifier'))) as under_represented,
+    (select sum(place)::bigint from ({RANKED}) where place <= 30) + (select 31 * count(*) from (select distinct cat, subcat from ({RANKED}) where place > 30)) as inventory_check,
+    (select count(*) from (select lang from documents group by lang having count(*) < 50)) as low_resource, (select string_agg(language_code || ':' || tokens || ':' || unique_tokens, ',' order by language_code) from (select language_code, sum(count)::bigint as tokens, count(*) as unique_tokens from ({b.BY_LANGUAGE}) group by 1)) as language_stats
+  from ({b.TOTALS})""")
 def g13(spark, sf):
-    """The report's JSON, read again."""
+    """The report's JSON, read again: what each section holds, by counts and sums."""
     report = stats.report_json(b.texts(spark, sf), by_language(spark, sf))
-    schema = "overview struct<entries:long,tokens:long>, category_summary array<struct<cat:string>>, token_counts array<struct<token:string>>, language_stats array<struct<name:string>>"
+    schema = """overview struct<entries:long,tokens:long>, category_summary array<struct<place:long,unique_tokens:long>>, category_inventory array<struct<place:long>>, under_represented array<struct<cat:string>>,
+      token_counts array<struct<token:string>>, language_stats array<struct<language_code:string,tokens:long,unique_tokens:long>>, low_resource array<struct<language_code:string>>"""
     r = report.select(F.from_json("report", schema).alias("r")).select("r.*")
-    return r.select("overview.entries", "overview.tokens", F.size("category_summary").cast("long").alias("classes"), F.size("token_counts").cast("long").alias("token_counts"), F.size("language_stats").cast("long").alias("languages"), F.element_at("token_counts", 1)["token"].alias("first_token"))
+    total = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0).cast("long"), lambda a, v: a + v)
+    n = lambda c: F.size(c).cast("long").alias(c)
+    each = F.transform("language_stats", lambda x: F.concat_ws(":", x["language_code"], x["tokens"], x["unique_tokens"]))
+    return r.select(
+        "overview.entries", "overview.tokens", F.size("category_summary").cast("long").alias("classes"), total("category_summary", lambda x: x["unique_tokens"] * (x["place"] + 1)).alias("summary_check"), n("token_counts"),
+        F.size("language_stats").cast("long").alias("languages"), F.element_at("token_counts", 1)["token"].alias("first_token"), n("under_represented"), total("category_inventory", lambda x: x["place"]).alias("inventory_check"),
+        n("low_resource"), F.array_join(each, ",").alias("language_stats"),
+    )
 
 
 @query("g14_frame_statistics", "select count(*) as n, avg(f) as mean, median(f) as median, stddev_pop(f) as std, min(f) as least, max(f) as most, avg(f) * 1000 * 256 / 22050 as mean_ms from (select greatest(1, trunc(len(w) * 0.05 * 22050 / 256))::int as f from (select unnest(string_split(text, ' ')) as w from conversations))")
@@ -309,6 +335,6 @@ def g14(spark, sf):
 
 @query("k8_report_lines", f"""
   select 0 as line_no, '| Category | Subcategory | Unique Sounds | Total Tokens | % of Data | Coverage |' as text union all select 1, '|----------|-------------|---------------|--------------|-----------|----------|'
-  union all select place + 2, '| ' || upper(cat[1]) || cat[2:] || ' | ' || array_to_string([upper(w[1]) || w[2:] for w in string_split(subcat, ' ')], ' ') || ' | ' || unique_tokens || ' | ' || count || ' | ' || printf('%.1f', pct) || '% | ' || rating || ' |' from ({SUMMARY})""")
+  union all select place + 2, '| ' || upper(cat[1]) || cat[2:] || ' | ' || array_to_string([upper(w[1]) || w[2:] for w in string_split(subcat, ' ')], ' ') || ' | ' || format('{{:,}}', unique_tokens) || ' | ' || format('{{:,}}', count) || ' | ' || printf('%.1f', pct) || '% | ' || rating || ' |' from ({SUMMARY})""")
 def k8(spark, sf):
     return stats.report_lines(totals(spark, sf))

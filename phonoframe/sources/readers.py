@@ -98,16 +98,20 @@ def pcm_frames(files: DataFrame, key: str = "rec_id", content: str = "content",
 
 
 def pcm_clips(regions: DataFrame, content: str = "content") -> DataFrame:
-    """(segment_key, start_ms, end_ms, pcm): the samples of each region (segment_key, start_ms, end_ms, content)."""
+    """(segment_key, start_ms, end_ms, pcm): the samples of each region (segment_key, start_ms, end_ms, content); null where the file can't be read."""
 
     def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for key, a, b, data in zip(pdf["segment_key"], pdf["start_ms"], pdf["end_ms"], pdf[content], strict=True):
-                with wave.open(io.BytesIO(data)) as w:
-                    first, last = (min(w.getnframes(), int(t) * w.getframerate() // 1000) for t in (a, b))
-                    w.setpos(first)
-                    out.append((key, a, b, w.readframes(max(0, last - first))))
+                try:
+                    with wave.open(io.BytesIO(data)) as w:
+                        first, last = (min(w.getnframes(), max(0, int(t)) * w.getframerate() // 1000) for t in (a, b))
+                        w.setpos(first)
+                        pcm = w.readframes(max(0, last - first))
+                except (wave.Error, EOFError, TypeError, ValueError):
+                    pcm = None
+                out.append((key, a, b, pcm))
             yield pd.DataFrame(out, columns=["segment_key", "start_ms", "end_ms", "pcm"])
 
     return regions.select("segment_key", "start_ms", "end_ms", content).mapInPandas(slices, "segment_key string, start_ms long, end_ms long, pcm binary")

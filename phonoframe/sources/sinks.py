@@ -10,9 +10,27 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir; a temporary one where that is unset)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/phonoframe-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share, from spark.checkpoint.dir; it goes when the application ends.
+
+    Where that is unset a temporary one is used, in local mode alone; a cluster has no folder that would do.
+    """
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if top is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
+    place = f"{top.rstrip('/')}/phonoframe-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder, for what reads it several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def escaped(text: Column) -> Column:
@@ -35,6 +53,17 @@ def write_json_manifest(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_json_array(rows: DataFrame, path: str, order: list[str], most: int = 100_000) -> None:
+    """One file with one JSON array in order, for small output: it is counted, and more than ``most`` rows are refused."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows belong into JSON lines")
+    each = rows.select(F.struct(*order).alias("o"), F.to_json(F.struct(*rows.columns)).alias("j"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o", "j"))), lambda x: x["j"])
+    one = each.agg(F.concat(F.lit("[\n  "), F.array_join(lines, ",\n  "), F.lit("\n]")).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
 def vocabulary_json(vocabulary: DataFrame) -> DataFrame:
     """One row: the vocabulary's three sections as JSON, tokens by id; read again by ``vocabulary_of_json``."""
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("id", "token")))), lambda x: x["token"])
@@ -59,8 +88,19 @@ def speaker_json(speakers: DataFrame) -> DataFrame:
 
 def write_transcripts(rows: DataFrame, path: str) -> None:
     """(speaker, audio_id, tokens): one folder a speaker with (audio_id, transcript); what was there goes."""
-    made = rows.filter(F.size("tokens") > 0).select("speaker", "audio_id", F.concat_ws(" ", "tokens").alias("transcript"))
-    made.write.mode("overwrite").partitionBy("speaker").parquet(path)
+    transcripts(rows).write.mode("overwrite").partitionBy("speaker").parquet(path)
+
+
+def transcripts(rows: DataFrame, audio: DataFrame | None = None) -> DataFrame:
+    """(speaker, audio_id, transcript) of the rows with tokens, and with a file in ``audio`` (path, size) if that is given: its stem is the id."""
+    if audio is not None:
+        rows = rows.join(audio.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("audio_id")).distinct(), "audio_id", "left_semi")
+    return rows.filter(F.size("tokens") > 0).select("speaker", "audio_id", F.concat_ws(" ", "tokens").alias("transcript"))
+
+
+def transcript_counts(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """One row: total of the manifest, prepared of them, their speakers."""
+    return rows.agg(F.count(F.lit(1)).alias("total")).crossJoin(made.agg(F.count(F.lit(1)).alias("prepared"), F.countDistinct("speaker").alias("speakers")))
 
 
 def dictionary_lines(vocabulary: DataFrame) -> DataFrame:

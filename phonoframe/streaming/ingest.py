@@ -1,59 +1,121 @@
-"""Incremental ingest of crawled pages into a catalog, by file streams."""
+"""Incremental ingest of crawled pages into a catalog of languages, recordings and entries, by file streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, extract
-from ..sources import sinks
+
+#: Each table's key, by whose hash its rows are dealt to buckets.
+KEYS = {"languages": ["code"], "recordings": ["language_code", "audio_filename"], "entries": ["wordlist_url"]}
+BUCKETS = 16
 
 
 class Catalog:
-    """A versioned table of entries below a shared folder; the newest version is a line in its log."""
+    """Tables in buckets below a shared folder. A merge writes the buckets that it changes; a line in the table's log makes them the newest."""
 
     def __init__(self, spark: SparkSession, top: str):
         self.spark, self.top = spark, top
 
-    def versions(self) -> list[tuple[int, str]]:
+    def _newest(self, table: str) -> dict[int, tuple[int, str]]:
+        """Of each bucket the last version and its path: BUCKETS rows at most."""
         try:
-            return sorted((r["version"], r["path"]) for r in self.spark.read.schema("version long, path string").json(f"{self.top}/log").collect())
-        except Exception as e:  # noqa: BLE001  there is no version yet
+            log = self.spark.read.schema("version long, bucket int, path string").json(f"{self.top}/{table}/log")
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return []
+            return {}  # there is no version yet
+        return {r["bucket"]: (r["version"], r["path"]) for r in log.groupBy("bucket").agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path")).collect()}
+
+    def read(self, table: str) -> DataFrame | None:
+        known = self._newest(table)
+        return self.spark.read.parquet(*[p for _, p in known.values()]) if known else None
+
+    def merge(self, table: str, new: DataFrame, put: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+        """``put`` gets the old rows of the buckets that ``new`` falls into, and ``new``; other buckets stay as they are."""
+        bucket, known = _bucket(KEYS[table]), self._newest(table)
+        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        paths = [known[b][1] for b in touched if b in known]
+        path = f"{self.top}/{table}/v-{uuid.uuid4().hex}"
+        put(self.spark.read.parquet(*paths) if paths else None, new).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(path)
+        version = 1 + max((v for v, _ in known.values()), default=0)
+        lines = [(version, b, f"{path}/_bucket={b}") for b in touched]
+        self.spark.createDataFrame(lines, "version long, bucket int, path string").coalesce(1).write.mode("append").json(f"{self.top}/{table}/log")
+
+
+def _bucket(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
 
-    def read(self) -> DataFrame | None:
-        known = self.versions()
-        return self.spark.read.parquet(known[-1][1]) if known else None
+def languages_of(pages: DataFrame) -> DataFrame:
+    """(code, name, url) from the index pages among ``pages`` (url, html)."""
+    base = pages.select(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("base"), F.col("url").alias("page_id"), "html")
+    found = extract.links(base).join(base.select("page_id", "base"), "page_id")
+    made = extract.language_index(found, "")
+    code = F.upper(F.regexp_extract("href", r"(?i)^\.\./Language/([^/]+)/", 1))
+    first = found.groupBy(code.alias("code")).agg(F.min("base").alias("base"))
+    return made.join(first, "code").select("code", "name", F.concat("base", "url").alias("url"))
 
-    def put(self, table: DataFrame, version: int) -> None:
-        """A version that is there already stays: a batch that is run again changes nothing."""
-        if all(v < version for v, _ in self.versions()):
-            path = sinks.swap(table, f"{self.top}/tables")
-            self.spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{self.top}/log")
 
+def recordings_of(pages: DataFrame) -> DataFrame:
+    """Recordings with their language's code from the language pages among ``pages``."""
+    named = pages.select(F.col("url").alias("page_id"), "url", "html")
+    made = extract.recordings(extract.cells(named), named)
+    return made.select(F.upper(F.regexp_extract("page_id", LANGUAGE_PAGE, 1)).alias("language_code"), *[c for c in made.columns if c not in ("page_id", "row_idx")])
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, n_links, first_target) of pages; the last stored page of an id counts."""
-    found = extract.links(pages).join(pages.select("page_id", "url"), "page_id")
-    found = found.withColumn("target", extract.resolved(F.col("url"), F.col("href")))
-    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.min_by("target", "pos").alias("first_target"))
 
+def entries_of(pages: DataFrame) -> DataFrame:
+    """Entries with the address of their page from the word lists among ``pages``."""
+    named = pages.select(F.regexp_replace("url", "#.*$", "").alias("page_id"), "html")
+    made = extract.entries(extract.cells(named))
+    return made.select(F.col("page_id").alias("wordlist_url"), *[c for c in made.columns if c != "page_id"])
 
-def ingest(spark: SparkSession, pages_dir: str, top: str, build=page_links, key: str = "page_id", files_per_batch: int = 4) -> Catalog:
-    """Take in every page file that is new below ``pages_dir`` and return the catalog.
 
-    Each micro-batch makes rows of its pages (``build``) and upserts them by key into a new version. What has been read is in the stream's
-    checkpoint, so that a second call reads new files alone.
+#: Addresses of the pages that list a language's recordings; pages that link to them by ../Language/ are indexes.
+LANGUAGE_PAGE = r"(?i)/Language/([^/]+)/[^/]+\.html?$"
+
+
+def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?i)word-list[^/]*\.html?(#.*)?$", files_per_batch: int = 4) -> Catalog:
+    """Take in every page file (url, html) that is new below ``pages_dir`` and return the catalog.
+
+    Of the pages with one address in a batch the last counts: by the file's time, then its path, then the place in it. Languages and recordings
+    are upserted (recordings keep their ids), the entries of a word list are replaced; a word list without rows keeps what it had. Entries know
+    their page, so that it doesn't matter whether its recording comes before or after. All of this gives the same tables if
+    a batch is run again, as happens after a crash or where the stream's checkpoint is lost.
     """
     store = Catalog(spark, top)
     schema = spark.read.parquet(pages_dir).schema
 
+    def recordings(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        known = store.read("recordings")
+        none = new.limit(0).select(F.lit(None).cast("long").alias("recording_id"), "*")
+        return catalog.upsert_recordings(none if old is None else old, new, known=none if known is None else known)
+
     def batch(pages: DataFrame, number: int) -> None:
-        new, old = build(pages.dropDuplicates([key])), store.read()
-        store.put(new if old is None else catalog.upsert(old, new, [key]), number)
+        order = F.struct("_time", "_path", "_index")
+        latest = pages.filter("url is not null").groupBy("url").agg(F.max_by("html", order).alias("html")).persist()
+        is_list = F.col("url").rlike(word_lists)
+        is_language = F.col("url").rlike(LANGUAGE_PAGE) & ~is_list
+        store.merge("languages", languages_of(latest.filter(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
+        store.merge("recordings", recordings_of(latest.filter(is_language)), recordings)
+        store.merge("entries", entries_of(latest.filter(is_list)), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"))
+        latest.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pages_dir)
+    stream = stream.select("url", "html", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{top}/stream").trigger(availableNow=True).start().awaitTermination()
     return store
+
+
+def exported(store: Catalog) -> DataFrame:
+    """Every entry of the catalog beside its recording and language."""
+    r = store.read("recordings").withColumn("wordlist_url", F.regexp_replace("wordlist_url", "#.*$", ""))
+    languages = store.read("languages").select(F.col("code").alias("language_code"), F.col("name").alias("language_name"))
+    return store.read("entries").join(r.select("wordlist_url", "recording_id", "language_code", "audio_filename", "year", "sequence"), "wordlist_url").join(languages, "language_code", "left")
