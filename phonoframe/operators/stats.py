@@ -37,8 +37,13 @@ def _share(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn("pct", 100.0 * F.col("count") / F.col("_all")).drop("_all")
 
 
+def _share_of_few(df: DataFrame) -> DataFrame:
+    """As _share for tables of a few classes: one window over them, so that what they come from is made once."""
+    return df.withColumn("pct", 100.0 * F.col("count") / F.sum("count").over(W.Window.partitionBy()))
+
+
 def coarse_breakdown(totals: DataFrame) -> DataFrame:
-    return _share(totals.groupBy(ipa.coarse_category(F.col("token")).alias("category")).agg(F.sum("count").alias("count")))
+    return _share_of_few(totals.groupBy(ipa.coarse_category(F.col("token")).alias("category")).agg(F.sum("count").alias("count")))
 
 
 def top_tokens(totals: DataFrame, k: int = 50) -> DataFrame:
@@ -81,7 +86,7 @@ def category_summary(totals: DataFrame) -> DataFrame:
     """(place, cat, subcat, unique_tokens, count, pct, rating) of the classes there are."""
     order = totals.sparkSession.createDataFrame([(i, c, s) for i, (c, s) in enumerate(ipa.CLASSES)], "place int, cat string, subcat string")
     each = classified(totals).groupBy("cat", "subcat").agg(F.count(F.lit(1)).alias("unique_tokens"), F.sum("count").alias("count"))
-    return _share(each).join(F.broadcast(order), ["cat", "subcat"]).select("place", "cat", "subcat", "unique_tokens", "count", "pct", ipa.coverage_rating(F.col("count")).alias("rating"))
+    return _share_of_few(each).join(F.broadcast(order), ["cat", "subcat"]).select("place", "cat", "subcat", "unique_tokens", "count", "pct", ipa.coverage_rating(F.col("count")).alias("rating"))
 
 
 def category_inventory(totals: DataFrame, k: int = 30) -> DataFrame:
