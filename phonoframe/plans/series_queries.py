@@ -135,14 +135,14 @@ def t7s(spark, sf):
 
 
 #: Users as recordings of a catalog; those with a large error have segments from before.
-BEFORE = "select user_id as recording_id, event_id as entry_id, 0::bigint as start_ms, 5::bigint as end_ms from events where event_type = 'error' and value > 480"
+BEFORE = "select user_id as recording_id, event_id as entry_id, 0::bigint as start_ms, 5::bigint as end_ms from events where event_type = 'error' and value > 150"
 PENDING = f"select distinct user_id from events where user_id not in (select recording_id from ({BEFORE}))"
 
 
 def catalog_job(spark, sf):
     e = b.table(spark, sf, "events")
     recordings = e.select(F.col("user_id").alias("recording_id")).distinct().withColumns({"recording_type": F.lit("word-list"), "downloaded": F.lit(True)})
-    before = e.filter("event_type = 'error' and value > 480").select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("entry_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(5).cast("long").alias("end_ms"))
+    before = e.filter("event_type = 'error' and value > 150").select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("entry_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(5).cast("long").alias("end_ms"))
     renamed = lambda df: df.withColumnRenamed("user_id", "recording_id")
     return segment.segment_catalog(recordings, before, renamed(user_entries(spark, sf)), renamed(frames(spark, sf)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, extract
+from ..sources import sinks
 
 #: Each table's key, by whose hash its rows are dealt to buckets.
 KEYS = {"languages": ["code"], "recordings": ["language_code", "audio_filename"], "entries": ["wordlist_url"]}
@@ -38,7 +39,7 @@ class Catalog:
 
     def merge(self, table: str, new: DataFrame, put: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
         """``put`` gets the old rows of the buckets that ``new`` falls into, and ``new``; other buckets stay as they are."""
-        bucket, known = _bucket(KEYS[table]), self._newest(table)
+        bucket, known, new = _bucket(KEYS[table]), self._newest(table), sinks.stored(new)
         touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
         if not touched:
             return
@@ -67,14 +68,14 @@ def languages_of(pages: DataFrame) -> DataFrame:
 def recordings_of(pages: DataFrame) -> DataFrame:
     """Recordings with their language's code from the language pages among ``pages``."""
     named = pages.select(F.col("url").alias("page_id"), "url", "html")
-    made = extract.recordings(extract.cells(named), named)
+    made = extract.recordings(sinks.stored(extract.cells(named)), named)
     return made.select(F.upper(F.regexp_extract("page_id", LANGUAGE_PAGE, 1)).alias("language_code"), *[c for c in made.columns if c not in ("page_id", "row_idx")])
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
     """Entries with the address of their page from the word lists among ``pages``."""
     named = pages.select(F.regexp_replace("url", "#.*$", "").alias("page_id"), "html")
-    made = extract.entries(extract.cells(named))
+    made = extract.entries(sinks.stored(extract.cells(named)))
     return made.select(F.col("page_id").alias("wordlist_url"), *[c for c in made.columns if c != "page_id"])
 
 
@@ -100,13 +101,12 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
 
     def batch(pages: DataFrame, number: int) -> None:
         order = F.struct("_time", "_path", "_index")
-        latest = pages.filter("url is not null").groupBy("url").agg(F.max_by("html", order).alias("html")).persist()
+        latest = sinks.stored(pages.filter("url is not null").groupBy("url").agg(F.max_by("html", order).alias("html")))
         is_list = F.col("url").rlike(word_lists)
         is_language = F.col("url").rlike(LANGUAGE_PAGE) & ~is_list
         store.merge("languages", languages_of(latest.filter(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
         store.merge("recordings", recordings_of(latest.filter(is_language)), recordings)
         store.merge("entries", entries_of(latest.filter(is_list)), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"))
-        latest.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pages_dir)
     stream = stream.select("url", "html", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
