@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, cut, over_texts, whole
+from .common import MOST_BROADCAST, cut, over_texts, small, whole
 from .simhash import components
 
 #: Independent bits of a text: each of BLOCKS runs of 16 is a bucket's key, CHECK longs more are compared in a bucket.
@@ -156,8 +156,8 @@ def near_groups(docs: DataFrame, row: str, text: str = "text", words: int = 5, s
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     sized = cut(groups.join(prints.select("row", "n"), groups["node"] == F.col("row")).select("row", "root", "n"))
     parts = F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count(F.lit(1)) / PART_TEXTS))
-    large = sized.groupBy("root").agg(parts.cast("long").alias("parts")).filter("parts > 1")
-    members = sized.join(F.broadcast(large), "root", "left").select(F.col("row").alias("_member"), "root", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
+    large = cut(sized.groupBy("root").agg(parts.cast("long").alias("parts")).filter("parts > 1"))
+    members = sized.join(small(large), "root", "left").select(F.col("row").alias("_member"), "root", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
     members = members.withColumn("part", F.pmod(F.xxhash64("_member"), F.col("parts")))
     members = F.broadcast(members) if sized.count() <= MOST_BROADCAST else members
     texts = docs.select(F.col(row).alias("row"), whole(text).alias("text")).join(members, F.col("row") == F.col("_member"))

@@ -187,18 +187,24 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) reaches.
 
     Large-star and small-star steps in turn, each stored, until the links no longer change; the
-    number of steps follows the logarithm of the longest chain.
+    number of steps follows the logarithm of the longest chain. A node's neighbours are dealt to salts, so that those of
+    a node with very many meet its least one in as many tasks.
     """
 
+    def with_least(e: DataFrame, low: DataFrame) -> DataFrame:
+        """The links of ``e`` (a, b) with m, the least neighbour of a in ``low`` (a, m, seen)."""
+        low = low.select("a", "m", each_salt(F.col("seen")).alias("salt"))
+        return e.withColumn("salt", salt("b")).join(low, ["a", "salt"])
+
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), salts_seen(salt("b")).alias("seen")).withColumn("m", F.least("a", "m"))
+        return with_least(both.filter("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m"), salts_seen(salt("b")).alias("seen"))
+        return with_least(down, low).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
     e, seen = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()), None
     for _ in range(rounds):
@@ -225,6 +231,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     edges = links(distinct, distance, blocks_for(distinct.count(), distance))
     roots = components(edges)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "salts", F.coalesce("root", "fp").alias("root"))
-    tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(tops, "root").select("fp", each_salt(F.col("salts")).alias("salt"), "component_id")
+    named = named.withColumn("slot", salt("fp"))
+    tops = named.groupBy("root").agg(F.min("least").alias("component_id"), salts_seen(F.col("slot")).alias("seen"))
+    named = named.join(tops.select("root", "component_id", each_salt(F.col("seen")).alias("slot")), ["root", "slot"]).select("fp", each_salt(F.col("salts")).alias("salt"), "component_id")
     return rows.withColumn("salt", salt(key)).join(named, ["fp", "salt"]).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
