@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     of every earlier snapshot, and positives meet the snapshot's exact buckets. All groups of two
     and more are then formed again on (digest, text), byte for byte.
 
-    Null texts count as empty; a null key is the smallest. Rows equal in key and text are
+    Keys are whole numbers. Null texts count as empty; a null key is the smallest. Rows equal in key and text are
     counted in group_size and stay or go together. Other columns of ``docs`` are ignored. An empty
     table gives no rows.
     """

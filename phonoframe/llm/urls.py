@@ -18,7 +18,8 @@ class Rule:
     """A pattern over host + path, or over the whole lower-cased URL if ``anywhere``.
 
     ``tokens`` are literal tokens (maximal runs of a-z and 0-9) that every match has. A rule
-    without one is tried on every URL.
+    without one is tried on every URL. A token that isn't in the pattern as it stands is refused, as the index would
+    lose matches by it.
     """
 
     name: str
@@ -27,6 +28,12 @@ class Rule:
     tokens: tuple[str, ...]
     anywhere: bool = False
 
+    def __post_init__(self):
+        plain = re.sub(r"\\(.)", r"\1", re.sub(r"\[[^\]]*\]", " ", self.pattern))
+        for t in self.tokens:
+            if not re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", plain.lower()):
+                raise ValueError(f"rule {self.name}: {t} is no literal token of {self.pattern}")
+
     @staticmethod
     def of_host(host: str, path: str, verdict: str) -> Rule:
         """A host with all its subdomains, and how the path starts."""
@@ -82,6 +89,20 @@ def rule_index(spark: SparkSession, rules: list[tuple[int, Rule]], urls: DataFra
     return placed.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "name", "verdict", "pattern", "anywhere"))).alias("rules"))
 
 
+#: Up to so many rules, patterns are constants of the plan, compiled once; more are read from the index.
+CONSTANT_RULES = 200
+
+
+def _fits(rules: tuple[Rule, ...], place: Column, lowered: Column) -> Column:
+    """Whether the pattern of the candidate rule ``r`` is found."""
+    if len(rules) > CONSTANT_RULES:
+        return F.regexp_like(F.when(F.col("r.anywhere"), lowered).otherwise(place), F.col("r.pattern"))
+    out = F.lit(False)
+    for i, r in reversed(list(enumerate(rules))):
+        out = F.when(F.col("r.id") == i, (lowered if r.anywhere else place).rlike(r.pattern)).otherwise(out)
+    return out
+
+
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", host_rules: tuple[Rule, ...] = HOST_RULES, pattern_rules: tuple[Rule, ...] = PATTERN_RULES) -> DataFrame:
     """(key, host, path, rule, verdict, pattern) for every row of ``pages``.
 
@@ -103,7 +124,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", host_ru
         found = found.unionByName(urls.select("url", F.explode(each).alias("r")))
     place = F.concat(host(F.col("url")), path(F.col("url")))
     lowered = F.translate("url", _UPPER, _LOWER)
-    fits = found.filter(F.regexp_like(F.when(F.col("r.anywhere"), lowered).otherwise(place), F.col("r.pattern")))
+    fits = found.filter(_fits(rules, place, lowered))
     ours = F.col("r.id") < first_pattern
     decided = fits.groupBy("url").agg(
         F.max(F.when(ours, F.struct(F.length("r.name").alias("size"), F.col("r.name").alias("name"), F.col("r.verdict").alias("verdict")))).alias("best"),

@@ -39,6 +39,27 @@ def test_near_dedup_drops_rows_and_not_ids(spark, tmp_path):
     assert sum(i is None for i, _ in got) == 2
 
 
+def test_columns_of_any_name_go_through(spark, tmp_path):
+    """Names that stages use inside, and a struct column, keep their values."""
+    rng = random.Random(8)
+    passage, texts = prose(rng, 90), [prose(rng, 300) for _ in range(4)]
+    texts = [texts[0], texts[0], texts[1] + passage, passage + texts[2], texts[3], texts[3] + " end", None]
+    names = ["kept", "kept_text", "n_bytes", "n_removed", "n_spans", "_id", "_sha", "_row", "row", "doc", "of", "root", "id", "body", "file", "path", "at", "stays", "uid", "a b.c"]
+    schema = DOCS + ", " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, len(t or ""), *(f"{n} {i}" for n in names)) for i, t in enumerate(texts)], schema)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs, left = spark.read.parquet(f"{tmp_path}/in"), []
+    for k, stage in enumerate((corpus_pipeline.keep_distinct, corpus_pipeline.keep_one_of_near, corpus_pipeline.cut_repeats)):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        left.append({r["doc_id"]: r["text"] for r in docs.collect()})
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in docs.collect() for n in names)
+    assert [sorted(x) for x in left] == [[1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 6], [1, 2, 3, 4, 6]]
+    assert passage not in left[2][2] + left[2][3] and left[2][6] is None
+
+
 def test_repeated_rows_pass_the_dedup_stages_once(spark, tmp_path):
     rng = random.Random(6)
     text = prose(rng, 300)
