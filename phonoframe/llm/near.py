@@ -45,20 +45,19 @@ def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
 
 
 def forest(check: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) inside groups of equal ``group`` (sorted) that connect what pairs of rows within ``most`` bits connect."""
+    """Links (i, j) of every row to the first one that pairs within ``most`` bits connect it with, inside groups of equal ``group`` (sorted)."""
     n = len(group)
     top, a = np.arange(n), np.arange(n)
     last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
     end = last[np.searchsorted(last, a)]
-    links: list[tuple[np.ndarray, np.ndarray]] = [(a[:0], a[:0])]
     for d in itertools.count(1):
         a = a[a + d <= end[a]]
         if not len(a):
-            return tuple(np.concatenate(x) for x in zip(*links, strict=True))
+            other = np.flatnonzero(top != np.arange(n))
+            return other, top[other]
         open_ = a[top[a] != top[a + d]]
         close = open_[np.bitwise_count(check[open_] ^ check[open_ + d]).sum(axis=1) <= most]
         if len(close):
-            links.append((close, close + d))
             while True:  # the lower top wins until both ends of every link agree; tops are rows, so that following them merges
                 low = np.minimum(top[close], top[close + d])
                 if (top[close] == low).all() and (top[close + d] == low).all():
