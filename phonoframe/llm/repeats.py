@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 from pyspark.sql.types import DataType
 
 from . import fuse
-from .common import TEXT_BYTES, columns_of, cut, give_back, slices, text_slices, whole
+from .common import TEXT_BYTES, columns_of, cut, each_salt, give_back, salt, salts_seen, slices, text_slices, whole
 
 THRESHOLD = 200
 #: Columns that the operator adds.
@@ -263,6 +263,16 @@ def classes_of(members: DataFrame, name: str) -> DataFrame:
     return members.groupBy(name, "d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("first", "uid").alias("first"))
 
 
+def in_mixed(classes: DataFrame, name: str) -> DataFrame:
+    """(uid, first): one member of each set that shares its name with others, where one of them at least is alone.
+
+    The sets of a name are dealt to salts, so that those of one name with very many meet it in as many tasks.
+    """
+    mixed = classes.groupBy(name).agg(F.count(F.lit(1)).alias("sets"), F.count_if(F.col("n") == 1).alias("single"), salts_seen(salt("d0")).alias("seen"))
+    mixed = mixed.filter("sets > 1 and single > 0").select(name, each_salt(F.col("seen")).alias("salt"))
+    return classes.withColumn("salt", salt("d0")).join(mixed, [name, "salt"], "left_semi").select("uid", "first")
+
+
 def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(uid, first, size): runs of positions whose ``threshold`` bytes start elsewhere too.
 
@@ -272,7 +282,6 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         raise ValueError(f"strings have {2 * RUN} bytes at least")
     found = shared_anchors(rows, threshold)
     classes = cut(classes_of(found, "rank"))
-    mixed = classes.groupBy("rank").agg(F.count(F.lit(1)).alias("classes"), F.count_if(F.col("n") == 1).alias("single")).filter("classes > 1 and single > 0")
     alike = found.join(classes.filter("n > 1").select("rank", "d0", "d1"), ["rank", "d0", "d1"]).select("uid", "first", "size")
 
     def cut_to_runs(b: Blocks, chosen: Chosen) -> dict:
@@ -280,11 +289,10 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         d = r.digests(threshold)
         return {"text": r.text, "first": r.first, "size": r.size, "core": r.core.view(np.int64), "d0": d[:, 0], "d1": d[:, 1]}
 
-    wanted = cut(classes.join(mixed, "rank", "left_semi").select("uid", "first"))
+    wanted = cut(in_mixed(classes, "rank"))
     place = {"uid": pa.int64(), "first": pa.int32(), "size": pa.int32()}
     runs = cut(at_places(rows, wanted, threshold, cut_to_runs, pa.schema(place | {"core": pa.int64(), "d0": pa.int64(), "d1": pa.int64()})))
     sets = cut(classes_of(runs, "core"))
-    shared = sets.groupBy("core").agg(F.count(F.lit(1)).alias("sets"), F.count_if(F.col("n") == 1).alias("single")).filter("sets > 1 and single > 0")
     known = runs.join(sets.filter("n > 1").select("core", "d0", "d1"), ["core", "d0", "d1"]).select("uid", "first", "size")
 
     def opened(b: Blocks, chosen: Chosen) -> dict:
@@ -292,7 +300,7 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         x = np.flatnonzero(chosen(r.text, r.first))
         return {"text": r.text[x], "first": r.first[x], "size": r.size[x], "lead": r.lead[x], "bytes": r.covered(x, threshold)}
 
-    open_ = cut(sets.join(shared, "core", "left_semi").select("uid", "first"))
+    open_ = cut(in_mixed(sets, "core"))
     left = cut(at_places(rows, open_, threshold, opened, pa.schema(place | {"lead": pa.int32(), "bytes": pa.binary()})))
     single = doubled(left, threshold).select("uid", "first", F.lit(1).alias("size"))
     return alike.unionByName(known).unionByName(single)
