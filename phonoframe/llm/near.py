@@ -103,7 +103,9 @@ def candidates(prints: DataFrame) -> DataFrame:
 
     columns = "".join(f", c{i} long" for i in range(CHECK))
     dealt = prints.mapInPandas(keyed, f"bucket int, row long{columns}").repartition("bucket").sortWithinPartitions("bucket", "row")
-    return dealt.mapInPandas(compared, "a long, b long").distinct()
+    # a row has one link for each of its buckets at most: what it links to is linked to the least of that instead
+    ends = dealt.mapInPandas(compared, "a long, b long").groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("ends"))
+    return ends.select("m", F.explode(F.array_append("ends", F.col("a"))).alias("a")).filter("a != m").select("a", F.col("m").alias("b")).distinct()
 
 
 def verified(rows: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each_salt, over_texts, salt, salts_seen, whole
+from .common import CUT_SETTINGS, cut, each_salt, over_texts, salt, salts_seen, settings, whole
 
 #: Fingerprints of a block that one task compares with each other; larger blocks go by way of hubs.
 BLOCK_ROWS = 4096
@@ -186,7 +186,7 @@ def hub_links(hot: DataFrame, distance: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) reaches.
 
-    Large-star and small-star steps in turn, each stored, until the links no longer change; the
+    Large-star and small-star steps in turn, each stored, until every node hangs on its root alone; the
     number of steps follows the logarithm of the longest chain. A node's neighbours are dealt to salts, so that those of
     a node with very many meet its least one in as many tasks.
     """
@@ -206,15 +206,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"), salts_seen(salt("b")).alias("seen"))
         return with_least(down, low).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
-    e, seen = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()), None
+    def stars(e: DataFrame) -> bool:
+        """Whether every node has one link down at most, and then none up: nothing is left to do."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        with settings(e.sparkSession, CUT_SETTINGS):
+            return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty()
+
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     for _ in range(rounds):
-        e = cut(small_star(large_star(e)))
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if stars(e):
             break
-        seen = state
+        e = cut(small_star(large_star(e)))
     else:
-        raise RuntimeError(f"components: links still change after {rounds} rounds")
+        if not stars(e):
+            raise RuntimeError(f"components: links still change after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -38,3 +38,9 @@ def test_components_say_when_rounds_do_not_do(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     with pytest.raises(RuntimeError):
         simhash.components(edges, rounds=1).count()
+
+
+def test_components_of_stars_take_no_round(spark):
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 9)] + [(21, 20)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges, rounds=0).collect()}
+    assert got == {i: 0 for i in range(1, 9)} | {21: 20}
