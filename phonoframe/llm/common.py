@@ -70,11 +70,12 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows_to_python: int | None = None) -> DataFrame:
     """``df`` as a table written in the shared folder: cuts the lineage, and its shuffles need not be kept."""
     spark = df.sparkSession
     place = new_table(spark)
-    with settings(spark, CUT_SETTINGS):
+    more = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_to_python)} if rows_to_python else {}
+    with settings(spark, CUT_SETTINGS | more):
         df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 

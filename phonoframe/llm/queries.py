@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, licenses, packing, quality, repeats, simhash, urls
+from . import bpe, exact_dedup, language, licenses, negatives, packing, quality, repeats, simhash, urls
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -54,8 +54,14 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(vectors.withColumn("label", moved))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip, op11_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
               sha256(coalesce(text, '')) as text_sha256
             from documents""",
         "op3_url_filter": urls.oracle(),
+        "op11_hard_negatives": negatives.oracle(),
     }
