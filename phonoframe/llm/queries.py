@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, licenses, negatives, packing, quality, repeats, simhash, urls
+from . import bpe, byte_level, exact_dedup, language, licenses, negatives, packing, quality, repeats, simhash, urls
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +61,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(vectors.withColumn("label", moved))
 
 
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = byte_level.round_trip(documents(spark, sf_dir), public_tokenizers.path(RANKS), pattern=public_tokenizers.PATTERN)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip, op11_hard_negatives)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip, op11_hard_negatives, op12_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
