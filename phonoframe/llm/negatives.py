@@ -320,11 +320,11 @@ def mine_negatives(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
 def oracle() -> str:
     return """
         with v as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-            list_transform(embedding, x -> floor(256 * x::double)::bigint) as q
+            list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
           from embeddings where label is not null and embedding is not null
-            and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         pairs as (select a.id as anchor_id, x.id as other_id, a.label = x.label as same,
-            list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * x.q[i]))::bigint as score
+            list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * x.q[i]))::bigint as score
           from v a, v x where a.id % 100 = 0 and a.id <> x.id),
         liked as (select * from pairs where same
           qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_level, exact_dedup, language, licenses, negatives, packing, quality, repeats, simhash, urls
+from . import bpe, byte_level, exact_dedup, language, licenses, manifest, negatives, packing, quality, repeats, simhash, urls
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -66,8 +66,12 @@ def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.lowered(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip, op11_hard_negatives, op12_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pack, op3_url_filter, op4_simhash, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_language_id, op9_quality_rules, op10_bpe_round_trip, op11_hard_negatives, op12_byte_level_bpe, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -79,5 +83,6 @@ def oracle_sql() -> dict[str, str]:
               sha256(coalesce(text, '')) as text_sha256
             from documents""",
         "op3_url_filter": urls.oracle(),
+        "op13_merkle_manifest": manifest.oracle(),
         "op11_hard_negatives": negatives.oracle(),
     }
