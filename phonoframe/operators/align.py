@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 #: The sample rate and hop that frames are counted by.
 SAMPLE_RATE, HOP = 22050, 256
 
@@ -93,5 +95,8 @@ def log_agreement(a: Column, b: Column, alpha: float = 1.0) -> Column:
 
 
 def frame_statistics(rows: DataFrame, column: str = "frames", sample_rate: int = SAMPLE_RATE, hop: int = HOP) -> DataFrame:
+    """One row: n, mean, median, std, least, most and mean_ms of the frames; nulls don't count."""
     c = F.col(column)
-    return rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), (F.avg(c) * 1000 * hop / sample_rate).alias("mean_ms"))
+    middle = quantiles(rows.select(c.cast("double").alias("_v")), [], "_v", {"median": 0.5})
+    one = rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), (F.avg(c) * 1000 * hop / sample_rate).alias("mean_ms"))
+    return one.crossJoin(F.broadcast(middle)).select("n", "mean", "median", "std", "least", "most", "mean_ms")

@@ -80,12 +80,43 @@ def test_places_with_long_shared_prefixes(spark):
     assert ranking.places(df.limit(0), ["g"], ["k"]).count() == 0
 
 
-def test_parts_of_a_group_are_even(spark):
-    n, buckets = 8000, 16
-    df = spark.range(n).select(F.lit("x").alias("g"), F.format_string("en_word-list_2009_%06d", "id").alias("k"))
-    placed = ranking.parts(df.withColumn("_size", F.lit(n)), ["g"], ["k"], buckets)
+@pytest.mark.parametrize("keys", ["1", "id % 3", "if(id % 10 = 0, id, -1)"])
+def test_parts_follow_the_rows_and_cut_ties(spark, monkeypatch, keys):
+    """A million rows of one key, or of few, are spread over all parts, whose number is not fixed."""
+    monkeypatch.setattr(ranking, "PART_ROWS", 20_000)
+    n = 1_000_000
+    placed = ranking.parted(spark.range(n).selectExpr("'x' as g", f"{keys} as k"), ["g"], ["k"], n)
     counts = [r["count"] for r in placed.groupBy("_part").count().collect()]
-    assert buckets - 2 <= len(counts) <= 2 * buckets and max(counts) <= 2.5 * n / buckets and sum(counts) == n
+    assert len(counts) == 50 and max(counts) <= 2 * n / 50 and sum(counts) == n
+    assert [ranking.part_count(k, 8) for k in (0, 1, 5000, 10**9)] == [1, 1, 2, 50_000]
+
+
+def test_places_of_ties(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FEW_ROWS", 50)
+    n = 3000
+    rows = [("a" if i % 3 else None, None if i % 4 else i % 7) for i in range(n)]
+    got = ranking.places(spark.createDataFrame(rows, "g string, k int"), ["g"], ["k"]).collect()
+    for g in ("a", None):
+        own = sorted((r["place"], r["k"]) for r in got if r["g"] == g)
+        assert [p for p, _ in own] == list(range(1, len(own) + 1)) and {r["_size"] for r in got if r["g"] == g} == {len(own)}
+        keys = [(k is not None, k or 0) for _, k in own]
+        assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("most", [20, 10_000])
+def test_quantiles_of_many_values_and_ties(spark, monkeypatch, most):
+    """Nine tenths of the values are equal; ranges of the others are counted, level by level, where there are more than one task may order."""
+    monkeypatch.setattr(ranking, "SORTED", most)
+    monkeypatch.setattr(ranking, "FINER", 4)
+    r = np.random.default_rng(2)
+    values = {"a": np.where(r.random(20_000) < 0.9, 7.25, r.normal(0, 1e9, 20_000)), None: r.normal(size=3000).round(2), "c": np.exp(r.normal(0, 50, 500)), "d": np.array([2.5, -2.5])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    shares = {"low": 0.0, "a": 0.05, "m": 0.5, "b": 0.951, "high": 1.0}
+    got = {x["k"]: [x[c] for c in shares] for x in ranking.quantiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        assert got[k] == pytest.approx([float(np.quantile(vs, q)) for q in shares.values()], rel=1e-9)
+    assert ranking.quantiles(df.limit(0), [], "v", {"m": 0.5}).collect()[0:1] in ([], [(None,)])
 
 
 def test_quantiles(spark):
