@@ -71,8 +71,12 @@ def decomposed(text: Column) -> Column:
     return F.coalesce(nfd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+#: White space as Unicode has it.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_ipa(text: Column) -> Column:

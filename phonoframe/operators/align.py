@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import quantiles
+from .ranking import quantiles, small
 
 #: The sample rate and hop that frames are counted by.
 SAMPLE_RATE, HOP = 22050, 256
@@ -25,6 +25,14 @@ def intervals(files: DataFrame, key: str = "audio_id", content: str = "content")
     return each.filter(F.trim("label") != "")
 
 
+def one_file_each(files: DataFrame, key: str = "audio_id", path: str = "path") -> DataFrame:
+    """``files`` with one row for each key, that of the last path; contents move only where a key is repeated."""
+    seen = files.groupBy(key).agg(F.max(path).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    chosen = small(seen.filter("_n > 1").select(F.col(key).alias("_key"), "_last"))
+    kept = files.join(chosen, F.col(key) == F.col("_key"), "left").filter(F.col("_last").isNull() | (F.col("_last") == F.col(path)))
+    return kept.drop("_key", "_last")
+
+
 def frames(start: Column, end: Column, sample_rate: int = SAMPLE_RATE, hop: int = HOP) -> Column:
     """Whole frames of an interval in seconds, one at least."""
     return F.greatest(F.lit(1), ((end - start) * sample_rate / hop).cast("int"))
@@ -37,10 +45,10 @@ def clip_durations(labels: DataFrame, key: str = "audio_id") -> DataFrame:
     return x.select(key, F.transform("x", lambda i: i["label"]).alias("phones"), F.transform("x", lambda i: i["frames"]).alias("durations"), F.aggregate("x", F.lit(0).cast("long"), lambda a, i: a + i["frames"]).alias("total_frames"))
 
 
-def duration_counts(files: DataFrame, clips: DataFrame) -> DataFrame:
-    """One row: files found, clips with durations, files without."""
-    n, ok = files.agg(F.count(F.lit(1)).alias("found")), clips.agg(F.count(F.lit(1)).alias("ok"))
-    return n.crossJoin(ok).withColumn("failed", F.col("found") - F.col("ok"))
+def duration_counts(files: DataFrame, clips: DataFrame, key: str = "audio_id") -> DataFrame:
+    """One row: files found, clips with durations, ids without; of files with one id only one counts as a clip, see ``one_file_each``."""
+    n, ok = files.agg(F.count(F.lit(1)).alias("found"), F.countDistinct(key).alias("_ids")), clips.agg(F.count(F.lit(1)).alias("ok"))
+    return n.crossJoin(ok).select("found", "ok", (F.col("_ids") - F.col("ok")).alias("failed"))
 
 
 def attach_durations(manifest: DataFrame, clips: DataFrame, key: str = "audio_id") -> DataFrame:
@@ -66,9 +74,10 @@ def check_totals(checked: DataFrame, order: list[str], examples: int = 10) -> Da
 def duration_job(manifest: DataFrame, files: DataFrame, key: str = "audio_id", tokens: str = "tokens", update: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """(manifest, report): the manifest with durations of the alignment files, and one row a split.
 
-    ``manifest`` has split, key and tokens; ``files`` (key, content). Without ``update`` the manifest stays as it is and updated is null; without
+    ``manifest`` has split, key and tokens; ``files`` (key, content), and path where ids may be repeated. Without ``update`` the manifest stays as it is and updated is null; without
     ``validate`` matched and mismatched are null.
     """
+    files = one_file_each(files, key) if "path" in files.columns else files
     clips = clip_durations(intervals(files, key), key)
     done = attach_durations(manifest, clips, key) if update else manifest
     updated = F.count_if(F.col("durations") != "") if update else F.lit(None).cast("long")
@@ -86,12 +95,31 @@ def looked_up(embedded: Column, recorded: Column, tokens: Column) -> Column:
     return F.coalesce(F.when(F.size(parsed) >= 0, parsed), recorded, F.array_repeat(F.lit(1), F.size(tokens)))
 
 
-def log_agreement(a: Column, b: Column, alpha: float = 1.0) -> Column:
-    """Mean squared difference of log durations over the shorter of two arrays."""
-    n = F.least(F.size(a), F.size(b))
+def log_differences(a: Column, b: Column, mask: Column | None = None) -> Column:
+    """A struct (total, weight) of two arrays and a mask: squared differences of log durations and places, each times its mask, up to the shortest.
+
+    Without a mask each place counts once. A null place of the mask counts as 0.
+    """
+    mask = F.transform(a, lambda _: F.lit(1.0)) if mask is None else F.transform(mask, lambda m: F.coalesce(m.cast("double"), F.lit(0.0)))
+    n = F.least(F.size(a), F.size(b), F.size(mask))
     ln = lambda x: F.log(x.cast("double") + 1e-6)
-    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.pow(ln(x) - ln(y), 2))
-    return alpha * F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / (n + 1e-6)
+    first = lambda x: F.slice(x, F.lit(1), n)
+    squares = F.zip_with(first(a), first(b), lambda x, y: F.pow(ln(x) - ln(y), 2))
+    sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    return F.struct(sum_of(F.zip_with(squares, first(mask), lambda s, m: F.when(m == 0, 0.0).otherwise(s * m))).alias("total"), sum_of(first(mask)).alias("weight"))
+
+
+def log_agreement(a: Column, b: Column, alpha: float = 1.0, mask: Column | None = None) -> Column:
+    """Mean squared difference of log durations over the shorter of two arrays, where the mask is, if there is one."""
+    d = log_differences(a, b, mask)
+    return alpha * d["total"] / (d["weight"] + 1e-6)
+
+
+def corpus_agreement(rows: DataFrame, a: str, b: str, mask: str | None = None, alpha: float = 1.0) -> DataFrame:
+    """One row: clips, and loss, the value over all places of all clips together, not the mean of the clips' values."""
+    d = rows.select(log_differences(F.col(a), F.col(b), None if mask is None else F.col(mask)).alias("d"))
+    total, weight = F.coalesce(F.sum("d.total"), F.lit(0.0)), F.coalesce(F.sum("d.weight"), F.lit(0.0))
+    return d.agg(F.count(F.lit(1)).alias("clips"), (alpha * total / (weight + 1e-6)).alias("loss"))
 
 
 def frame_statistics(rows: DataFrame, column: str = "frames", sample_rate: int = SAMPLE_RATE, hop: int = HOP) -> DataFrame:

@@ -139,20 +139,37 @@ def recordings_table(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def resolved(page: Column, href: Column) -> Column:
-    """The address of a link seen from a page: absolute, from the root, or relative with ../ taken back."""
+    """The address of a link seen from a page, by RFC 3986 and as browsers read it: a scheme that is the page's own is no scheme.
+
+    Dot segments are taken back by a stack that is folded over the path's segments; empty segments inside go. What follows ``?`` and ``#``
+    is never a path. The page is an address with ``://``. A null page or link gives null.
+    """
+    # fixed value: the parts of an address as the RFC's pattern takes them
+    address = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+    part = lambda text, i: F.regexp_extract(text, "(?s)" + address, i)
+    same = F.lower(part(href, 1)) == F.lower(part(page, 1))
+    foreign = (part(href, 1) != "") & (~same | href.rlike("^[^:/?#]+://"))
     root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
-    up = F.length(F.regexp_extract(href, r"^((?:\.\./)*)", 1)) / 3
-    parts = F.filter(F.split(folder, "/"), lambda p: p != "")
-    kept = F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - up.cast("int")))
-    relative = F.concat(root, F.lit("/"), F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "/"), F.lit("/"))).otherwise(""), F.regexp_replace(F.regexp_replace(href, r"^(\.\./)*", ""), r"^(\./)+", ""))
+    path, query, fragment = part(href, 3), part(href, 4), part(href, 5)
+    folder = F.regexp_replace(part(page, 3), "[^/]*$", "")
+    whole = F.split(F.regexp_replace(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), "^/", ""), "/")
+    last = F.element_at(whole, -1)
+    inner = F.filter(F.slice(whole, 1, F.size(whole) - 1), lambda s: s != "")
+    segments = F.concat(inner, F.array(last))
+    up, here = lambda s: s == "..", lambda s: s == "."
+    stack = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda held, s: F.when(up(s), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(here(s), held).otherwise(F.concat(held, F.array(s))),
+    )
+    stack = F.when(up(last) | here(last), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+    merged = F.concat(root, F.lit("/"), F.array_join(stack, "/"), query, fragment)
     return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        F.when(href == "", page)
+        .when(foreign, href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(page, "^([^:]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href == "", page)
-        .when(href.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), href))
-        .otherwise(relative)
+        .when(path == "", F.concat(root, part(page, 3), F.when(query != "", query).otherwise(part(page, 4)), fragment))
+        .otherwise(merged)
     )
 
 

@@ -43,9 +43,13 @@ def kept(rows: DataFrame, clips: DataFrame, key: str) -> DataFrame:
 
 
 def zip_ordinal(regions: DataFrame, entries: DataFrame, group: str, region_order: str, entry_order: str) -> DataFrame:
-    """The i-th region of a group beside its i-th entry (nulls first); what is over on either side has no row."""
-    r = regions.withColumn("ordinal", F.row_number().over(W.Window.partitionBy(group).orderBy(region_order)))
-    e = entries.withColumn("ordinal", F.row_number().over(W.Window.partitionBy(group).orderBy(F.col(entry_order).asc_nulls_first())))
+    """The i-th region of a group beside its i-th entry (nulls first); what is over on either side has no row.
+
+    Equal places in the order are told apart by the other columns that have an order, so that the result doesn't depend on how rows arrive.
+    """
+    ties = lambda df, first: [F.col(first).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c, kind in df.dtypes if c not in (group, first) and "map" not in kind]]
+    r = regions.withColumn("ordinal", F.row_number().over(W.Window.partitionBy(group).orderBy(*ties(regions, region_order))))
+    e = entries.withColumn("ordinal", F.row_number().over(W.Window.partitionBy(group).orderBy(*ties(entries, entry_order))))
     return r.join(e, [group, "ordinal"])
 
 

@@ -135,10 +135,57 @@ def report_json(entries: DataFrame, by_language: DataFrame) -> DataFrame:
     return out.select(F.to_json(F.struct(*parts)).alias("report"))
 
 
+def titled(words: Column) -> Column:
+    """Each word with a capital, after a slash too."""
+    return F.replace(F.initcap(F.replace(words, F.lit("/"), F.lit("/ "))), F.lit("/ "), F.lit("/"))
+
+
+# Fixed values in what follows: the forms of the report's tables and headings.
+
+
+def _headed(rows: DataFrame, *head: str) -> DataFrame:
+    """(line_no, text) below the lines of a head."""
+    top = rows.sparkSession.createDataFrame(list(enumerate(head)), "line_no long, text string")
+    return top.unionByName(rows.select((F.col("line_no") + len(head)).cast("long").alias("line_no"), "text"))
+
+
 def report_lines(totals: DataFrame) -> DataFrame:
     """The category table as ordered lines of Markdown: (line_no, text)."""
     s = category_summary(totals)
-    # fixed values: the table's form
-    line = F.format_string("| %s | %s | %,d | %,d | %.1f%% | %s |", F.initcap("cat"), F.initcap("subcat"), "unique_tokens", "count", "pct", "rating")
-    head = totals.sparkSession.createDataFrame([(0, "| Category | Subcategory | Unique Sounds | Total Tokens | % of Data | Coverage |"), (1, "|----------|-------------|---------------|--------------|-----------|----------|")], "line_no int, text string")
-    return head.unionByName(s.select((F.col("place") + 2).alias("line_no"), line.alias("text")))
+    line = F.format_string("| %s | %s | %,d | %,d | %.1f%% | %s |", titled(F.col("cat")), titled(F.col("subcat")), "unique_tokens", "count", "pct", "rating")
+    return _headed(s.select(F.col("place").alias("line_no"), line.alias("text")), "| Category | Subcategory | Unique Sounds | Total Tokens | % of Data | Coverage |", "|----------|-------------|---------------|--------------|-----------|----------|").withColumn("line_no", F.col("line_no").cast("int"))
+
+
+def inventory_lines(totals: DataFrame, k: int = 30) -> DataFrame:
+    """The tokens of each class as lines of Markdown: (place of the class, line_no in it, text)."""
+    name = F.concat(titled(F.col("cat")), F.lit(": "), titled(F.col("subcat")))
+    sums = category_summary(totals).select("place", "cat", "subcat", "unique_tokens", "count")
+    head = F.array(F.concat(F.lit("#### "), name), F.lit(""), F.format_string("Total: %,d tokens, %d unique", "count", "unique_tokens"), F.lit(""), F.lit("| Token | Count | % | Notes |"), F.lit("|-------|-------|---|-------|"))
+    heads = sums.select("place", F.posexplode(head).alias("line_no", "text"))
+    n = 6  # lines of the head
+    rows = category_inventory(totals, k).withColumnRenamed("place", "rank").join(F.broadcast(sums.select("place", "cat", "subcat")), ["cat", "subcat"])
+    line = F.when(F.col("count").isNull(), F.format_string("| ... | | | %s |", "notes")).otherwise(F.format_string("| %s | %,d | %.2f%% | %s |", "token", "count", "pct", "notes"))
+    return heads.unionByName(rows.select("place", (F.col("rank") + n - 1).alias("line_no"), line.alias("text")))
+
+
+def under_represented_lines(totals: DataFrame, least: int = 1000) -> DataFrame:
+    """The classes with less than ``least`` tokens, fewest first, as lines of Markdown: (line_no, text)."""
+    few = under_represented(totals, least).withColumn("place", F.row_number().over(W.Window.orderBy("count", "cat", "subcat")) - 1)  # of a few classes
+    line = F.format_string("| %s: %s | %,d | %d | %s |", titled(F.col("cat")), titled(F.col("subcat")), "count", "unique_tokens", "recommendation")
+    return _headed(few.select(F.col("place").alias("line_no"), line.alias("text")), "| Category | Total Tokens | Unique | Recommendation |", "|----------|--------------|--------|----------------|")
+
+
+def rare_lines(totals: DataFrame) -> DataFrame:
+    """How many tokens are hapax legomena or very rare, as lines of Markdown: (line_no, text)."""
+    lines = F.array(F.format_string("- **Hapax legomena** (appear once): %d tokens", "hapax"), F.format_string("- **Very rare** (≤10 occurrences): %d tokens", "up_to_10"))
+    return hapax(totals).select(F.posexplode(lines).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def language_lines(entries: DataFrame, by_language: DataFrame, k: int = 30, least: int = 50) -> DataFrame:
+    """The ``k`` languages with most tokens, ties by code, and how many have less than ``least`` entries, as lines of Markdown: (line_no, text)."""
+    most = language_statistics(entries, by_language).orderBy(F.desc("tokens"), "language_code").limit(k)
+    ranked = most.withColumn("line_no", F.row_number().over(W.Window.orderBy(F.desc("tokens"), "language_code")) - 1)  # of k rows
+    line = F.format_string("| %s | %s | %,d | %,d | %d |", "name", "language_code", "entries", "tokens", "unique_tokens")
+    table = _headed(ranked.select("line_no", line.alias("text")), "| Language | Code | Entries | Tokens | Unique Tokens |", "|----------|------|---------|--------|---------------|")
+    few = low_resource(entries, least).agg(F.count(F.lit(1)).alias("n"))
+    return table.unionByName(few.select(F.lit(k + 2).cast("long").alias("line_no"), F.format_string(f"### Languages with Minimal Data (<{least} entries): %d", "n").alias("text")))

@@ -100,13 +100,16 @@ def p6(spark, sf):
 
 # -- S and K: round trips through files
 
-TURNS = "select 'wavs/' || conv_id || '_' || turn || '.wav' as audio_file, replace(text, 'a', case turn % 3 when 0 then '|' when 1 then '\\' else '\"' end) as text, role as speaker_name from conversations"
+#: The first turns of some conversations are of 50,000 characters and more.
+TURNS = "select 'wavs/' || conv_id || '_' || turn || '.wav' as audio_file, replace(case when turn = 0 and conv_id % 50 = 1 and text <> '' then repeat(text, 1 + 50000 // length(text)) else text end, 'a', case turn % 3 when 0 then '|' when 1 then '\\' else '\"' end) as text, role as speaker_name from conversations"
 
 
 def turns(spark, sf):
     c = b.table(spark, sf, "conversations")
     odd = F.when(F.col("turn") % 3 == 0, "|").when(F.col("turn") % 3 == 1, "\\").otherwise('"')
-    return c.select(F.format_string("wavs/%d_%d.wav", "conv_id", "turn").alias("audio_file"), F.replace("text", F.lit("a"), odd).alias("text"), F.col("role").alias("speaker_name"))
+    long = (F.col("turn") == 0) & (F.col("conv_id") % 50 == 1) & (F.col("text") != "")
+    text = F.when(long, F.repeat("text", (1 + F.floor(50000 / F.length("text"))).cast("int"))).otherwise(F.col("text"))
+    return c.select(F.format_string("wavs/%d_%d.wav", "conv_id", "turn").alias("audio_file"), F.replace(text, F.lit("a"), odd).alias("text"), F.col("role").alias("speaker_name"))
 
 
 COLUMNS = ["audio_file", "text", "speaker_name"]

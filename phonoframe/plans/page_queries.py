@@ -164,6 +164,32 @@ def h9(spark, sf):
     return extract.links(p).join(p.select("page_id", "url"), "page_id").select("page_id", "pos", extract.resolved(F.col("url"), F.col("href")).alias("target"))
 
 
+#: Links as authors write them, beside the targets that a page's folders give; {i} is the page's number.
+SHAPES = {
+    "c/../d{i}.html": "r || f || 'd{i}.html'", "./a/./b{i}.html": "r || f || 'a/b{i}.html'", "?q={i}": "r || p || '?q={i}'", "#s{i}": "r || p || q || '#s{i}'", ".": "r || f", "..": "r || g", "../": "r || g", "../g{i}": "r || g || 'g{i}'",
+    "../../../../../../../g{i}?a/../b#c/./d": "r || '/g{i}?a/../b#c/./d'", "/x/./y/../z{i}": "r || '/x/z{i}'", "//other.example.org/{i}/../k": "regexp_extract(url, '^[a-z]+:') || '//other.example.org/{i}/../k'", "mailto:a{i}@example.org": "'mailto:a{i}@example.org'",
+    "g{i};x=1/../y": "r || f || 'y'", "g{i}..": "r || f || 'g{i}..'", "a//b{i}/": "r || f || 'a/b{i}/'", "": "url", "http:g{i}": "case when url like 'http:%' then r || f || 'g{i}' else 'http:g{i}' end",
+}
+PARTS = """select *, coalesce('/' || nullif(array_to_string(w, '/'), '') || '/', '/') as f, coalesce('/' || nullif(array_to_string(w[:-2], '/'), '') || '/', '/') as g from (select *, list_filter(string_split(regexp_replace(p, '[^/]*$', ''), '/'), lambda x: x <> '') as w
+  from (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*') as r, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as p, regexp_extract(url, '([?][^#]*)', 1) as q from pages where url like '%://%'))"""
+
+
+@query("h9_link_shapes", " union all ".join(f"select page_id, {k} as shape, {target.replace('{i}', chr(39) + ' || page_id || ' + chr(39))} as target from ({PARTS})" for k, target in enumerate(SHAPES.values())))
+def h9s(spark, sf):
+    """Every page's address with a link of each shape."""
+    p = b.table(spark, sf, "pages").filter("url like '%://%'")
+    shapes = F.array(*[F.struct(F.lit(k).alias("shape"), F.replace(F.lit(h), F.lit("{i}"), F.col("page_id").cast("string")).alias("href")) for k, h in enumerate(SHAPES)])
+    each = p.select("page_id", "url", F.explode(shapes).alias("x"))
+    return each.select("page_id", "x.shape", extract.resolved(F.col("url"), F.col("x.href")).alias("target"))
+
+
+@query("s1_markup_errors", "select page_id, null::varchar as error from pages")
+def s1e(spark, sf):
+    """Every page with what its parser could not get on with: nothing in these."""
+    p = b.table(spark, sf, "pages")
+    return p.select("page_id").join(extract.markup_errors(p), "page_id", "left")
+
+
 def crawl(spark, sf):
     """(page, url, html): each word-list page with its recording on a language page of 40, and those on index pages of 500."""
     w = wordlist_pages(spark, sf)

@@ -414,3 +414,32 @@ def d6(spark, sf):
     e = b.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", F.abs).alias("a"))
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("z")), "vec_id")
     return pairs.select("vec_id", F.round(align.log_agreement(F.col("a"), F.col("z")), 6).alias("loss"))
+
+
+@query("d6_masked_agreement", """select a.vec_id, round(list_sum([case when x[3] = 0 then 0 else pow(ln(abs(x[1]::double) + 1e-6) - ln(abs(x[2]::double) + 1e-6), 2) end for x in list_zip(a.embedding, z.embedding, m)]) / (list_sum(m) + 1e-6), 6) as loss
+  from (select *, list_transform(range(len(embedding)), lambda i: case when (i + vec_id) % 3 = 0 then 0.0::double else 1.0::double end) as m from embeddings) a join embeddings z on z.vec_id = a.vec_id + 1""")
+def d6m(spark, sf):
+    """Every third place is masked."""
+    return masked_pairs(spark, sf).select("vec_id", F.round(align.log_agreement(F.col("a"), F.col("z"), mask=F.col("m")), 6).alias("loss"))
+
+
+def masked_pairs(spark, sf):
+    e = b.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", F.abs).alias("a"))
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("z")), "vec_id")
+    return pairs.withColumn("m", F.transform("a", lambda _, i: F.when((i + F.col("vec_id")) % 3 == 0, 0.0).otherwise(1.0)))
+
+
+@query("d6_corpus_agreement", """select count(*) as clips, round(sum(list_sum([case when x[3] = 0 then 0 else pow(ln(abs(x[1]::double) + 1e-6) - ln(abs(x[2]::double) + 1e-6), 2) end for x in list_zip(a.embedding, z.embedding, m)])) / (sum(list_sum(m)) + 1e-6), 6) as loss
+  from (select *, list_transform(range(len(embedding)), lambda i: case when (i + vec_id) % 3 = 0 then 0.0::double else 1.0::double end) as m from embeddings) a join embeddings z on z.vec_id = a.vec_id + 1""")
+def d6c(spark, sf):
+    return align.corpus_agreement(masked_pairs(spark, sf), "a", "z", "m").select("clips", F.round("loss", 6).alias("loss"))
+
+
+#: The turns of a conversation as files of one id in folders by turn: the last folder's counts.
+@query("d3_repeated_ids", f"""
+  select c.conv_id as audio_id, coalesce(array_to_string(list(label order by pos), ' '), '') as phones, coalesce(sum(frames), 0)::bigint as total_frames from (select conv_id, turn from conversations qualify row_number() over (partition by conv_id order by lpad(turn::varchar, 6, '0') desc) = 1) c
+  join ({WORDS}) w using (conv_id, turn) group by 1""")
+def d3r(spark, sf):
+    g = text_grids(spark, sf).select(F.col("conv_id").alias("audio_id"), F.format_string("grids/%06d/%d.TextGrid", "turn", "conv_id").alias("path"), "content")
+    x = align.clip_durations(align.intervals(align.one_file_each(g)))
+    return x.select("audio_id", F.array_join("phones", " ").alias("phones"), "total_frames")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ipa
 from ..operators import stats, trainlog, vocab
+from ..sources import sinks
 from . import bindings as b
 
 Q: dict = {}
@@ -333,8 +334,45 @@ def g14(spark, sf):
     return align.frame_statistics(words.select(align.frames(F.lit(0.0), F.length("w") * 0.05).alias("frames")))
 
 
+TITLED = "case subcat when 'tap/flap' then 'Tap/Flap' when 'syllable/word' then 'Syllable/Word' else array_to_string([upper(w[1]) || w[2:] for w in string_split(subcat, ' ')], ' ') end"
+
+
 @query("k8_report_lines", f"""
   select 0 as line_no, '| Category | Subcategory | Unique Sounds | Total Tokens | % of Data | Coverage |' as text union all select 1, '|----------|-------------|---------------|--------------|-----------|----------|'
-  union all select place + 2, '| ' || upper(cat[1]) || cat[2:] || ' | ' || array_to_string([upper(w[1]) || w[2:] for w in string_split(subcat, ' ')], ' ') || ' | ' || format('{{:,}}', unique_tokens) || ' | ' || format('{{:,}}', count) || ' | ' || printf('%.1f', pct) || '% | ' || rating || ' |' from ({SUMMARY})""")
+  union all select place + 2, '| ' || upper(cat[1]) || cat[2:] || ' | ' || {TITLED} || ' | ' || format('{{:,}}', unique_tokens) || ' | ' || format('{{:,}}', count) || ' | ' || printf('%.1f', pct) || '% | ' || rating || ' |' from ({SUMMARY})""")
 def k8(spark, sf):
     return stats.report_lines(totals(spark, sf))
+
+
+NAMED = f"upper(cat[1]) || cat[2:] || ': ' || {TITLED}"
+
+
+@query("k8_inventory_lines", f"""
+  select place, line_no::int as line_no, text from (
+    select place, unnest(range(6)) as line_no, unnest(['#### ' || {NAMED}, '', 'Total: ' || format('{{:,}}', count) || ' tokens, ' || unique_tokens || ' unique', '', '| Token | Count | % | Notes |', '|-------|-------|---|-------|']) as text from ({SUMMARY})
+    union all select s.place, r.place + 5, case when r.place <= 10 then '| ' || token || ' | ' || format('{{:,}}', count) || ' | ' || printf('%.2f', 100.0 * count / {ALL}) || '% | ' || notes || ' |' else '| ... | | | +' || more || ' more tokens |' end
+    from (select cat, subcat, place, token, count, {SQL_NOTES} as notes, null as more from ({NOTED} ({RANKED})) where place <= 10 union all select cat, subcat, 11, null, null, null, count(*) from ({RANKED}) where place > 10 group by 1, 2) r join ({PLACES}) s using (cat, subcat))""")
+def k8i(spark, sf):
+    return stats.inventory_lines(sinks.stored(totals(spark, sf)), 10).select(F.col("place").cast("int").alias("place"), "line_no", "text")
+
+
+@query("k8_under_represented_lines", f"""
+  select 0::bigint as line_no, '| Category | Total Tokens | Unique | Recommendation |' as text union all select 1, '|----------|--------------|--------|----------------|'
+  union all select 1 + row_number() over (order by count, cat, subcat), '| ' || {NAMED} || ' | ' || format('{{:,}}', count) || ' | ' || unique_tokens || ' | ' || recommendation || ' |' from ({SQL['g10_under_represented']})""")
+def k8u(spark, sf):
+    return stats.under_represented_lines(totals(spark, sf), 1_000_000)
+
+
+@query("k8_rare_lines", f"""
+  select 0::bigint as line_no, '- **Hapax legomena** (appear once): ' || hapax || ' tokens' as text from ({SQL['g5_hapax']})
+  union all select 1, '- **Very rare** (≤10 occurrences): ' || up_to_10 || ' tokens' from ({SQL['g5_hapax']})""")
+def k8r(spark, sf):
+    return stats.rare_lines(totals(spark, sf))
+
+
+@query("k8_language_lines", f"""
+  select 0::bigint as line_no, '| Language | Code | Entries | Tokens | Unique Tokens |' as text union all select 1, '|----------|------|---------|--------|---------------|'
+  union all select 1 + row_number() over (order by tokens desc, language_code), '| ' || name || ' | ' || language_code || ' | ' || format('{{:,}}', entries) || ' | ' || format('{{:,}}', tokens) || ' | ' || unique_tokens || ' |' from ({SQL['g11_language_statistics']})
+  union all select 32, '### Languages with Minimal Data (<50 entries): ' || (select count(*) from (select lang from documents group by lang having count(*) < 50))""")
+def k8l(spark, sf):
+    return stats.language_lines(b.texts(spark, sf), by_language(spark, sf))

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Fixed value: frame length of waveforms in milliseconds.
 FRAME_MS = 10
+#: Frames of a waveform that a task holds as numbers.
+FRAMES_AT_ONCE = 60_000
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +40,8 @@ def pipe_manifest(spark: SparkSession, path: str, columns: list[str], unescape:
     Spark's CSV reader splits at escaped separators, hence the text reader.
     """
     lines = spark.read.text(path).filter(F.col("value") != "|".join(columns))
-    # a field is made of other characters and of escaped ones; what follows the last is no field
-    parts = F.regexp_extract_all("value", F.lit(r"((?:[^|\\]|\\.)*)(\||$)"), F.lit(1)) if unescape else F.split("value", r"\|")
+    # a field is made of other characters and of escaped ones, taken for good, so that long ones need no stack; what follows the last is no field
+    parts = F.regexp_extract_all("value", F.lit(r"((?:[^|\\]++|\\.)*+)(\||$)"), F.lit(1)) if unescape else F.split("value", r"\|")
     part = lambda i: unescaped(F.get(parts, i)) if unescape else F.get(parts, i)
     return lines.select(*[part(i).alias(c) for i, c in enumerate(columns)])
 
@@ -72,7 +74,7 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def pcm_frames(files: DataFrame, key: str = "rec_id", content: str = "content", frame_ms: int = FRAME_MS) -> DataFrame:
     """(key, frame_idx, t_ms, mean_sq, peak) of 16-bit WAV contents; one row with frame_idx -1 for what can't be read.
 
-    Channels are averaged. Levels are shares of full scale.
+    Channels are averaged. Levels are shares of full scale. A long file is worked on FRAMES_AT_ONCE frames at a time.
     """
 
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,16 +84,15 @@ def pcm_frames(files: DataFrame, key: str = "rec_id", content: str = "content",
                     with wave.open(io.BytesIO(data)) as w:
                         if w.getsampwidth() != 2:
                             raise wave.Error("16-bit samples are needed")
-                        rate, n = w.getframerate(), w.getnchannels()
-                        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, n).mean(axis=1) / 32768
+                        size, n = max(1, w.getframerate() * frame_ms // 1000), w.getnchannels()
+                        for block in range(0, w.getnframes(), size * FRAMES_AT_ONCE):
+                            x = np.frombuffer(w.readframes(size * FRAMES_AT_ONCE), "<i2").reshape(-1, n).mean(axis=1) / 32768
+                            starts = np.arange(0, len(x), size)
+                            if len(starts):
+                                idx = np.arange(len(starts)) + block // size
+                                yield pd.DataFrame({key: k, "frame_idx": idx, "t_ms": idx * frame_ms, "mean_sq": np.add.reduceat(np.square(x), starts) / np.diff(np.append(starts, len(x))), "peak": np.maximum.reduceat(np.abs(x), starts)})
                 except (wave.Error, EOFError, TypeError, ValueError):
                     yield pd.DataFrame({key: [k], "frame_idx": [-1], "t_ms": [0], "mean_sq": [0.0], "peak": [0.0]})
-                    continue
-                size = max(1, rate * frame_ms // 1000)
-                starts = np.arange(0, len(x), size)
-                if len(starts):
-                    count = np.diff(np.append(starts, len(x)))
-                    yield pd.DataFrame({key: k, "frame_idx": np.arange(len(starts)), "t_ms": np.arange(len(starts)) * frame_ms, "mean_sq": np.add.reduceat(np.square(x), starts) / count, "peak": np.maximum.reduceat(np.abs(x), starts)})
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, content).mapInPandas(frames, f"{key} {kind}, frame_idx long, t_ms long, mean_sq double, peak double")

@@ -60,3 +60,10 @@ def test_tokens_give_the_text_back(spark, texts):
     for r in rows.select("n", F.array_join(ipa.tokenize(F.col("n"), False), "").alias("x"), ipa.normalize_ipa(F.col("n")).alias("again")).collect():
         assert r["x"] == "".join(r["n"].split())
         assert r["again"] == r["n"]
+
+
+def test_n1_white_space_inside_takes_linear_time(spark):
+    """Half a million blanks inside are kept, all kinds outside go."""
+    inside = "a" + " " * 500_000 + "b"
+    assert one(spark, "\u2003\xa0\n" + inside + "\u3000\x85 ", ipa.strip) == inside
+    assert one(spark, "\u200b\x1cx\x1f", ipa.strip) == "\u200b\x1cx\x1f"
