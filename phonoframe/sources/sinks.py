@@ -21,11 +21,32 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-")
     place = f"{top.rstrip('/')}/phonoframe-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, fs = _path(spark, place)
+    fs.deleteOnExit(path)
     return place
 
 
+def _path(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    path, fs = _path(spark, place)
+    return fs.exists(path)
+
+
+def children(spark: SparkSession, place: str) -> list[str]:
+    """The names in a folder; none where it isn't there."""
+    path, fs = _path(spark, place)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    path, fs = _path(spark, place)
+    fs.delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once in the shared folder, for what reads it several times."""
     path = scratch(df.sparkSession)

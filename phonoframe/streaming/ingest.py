@@ -2,57 +2,110 @@
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, extract
+from ..operators import catalog, extract, ranking
 from ..sources import sinks
 
-#: Each table's key, by whose hash its rows are dealt to buckets.
-KEYS = {"languages": ["code"], "recordings": ["language_code", "audio_filename"], "entries": ["wordlist_url"]}
-BUCKETS = 16
+#: Each table's key, by whose hash its rows are dealt to buckets. ``pages`` has the digest of what was taken in last from each address.
+KEYS = {"languages": ["code"], "recordings": ["language_code", "audio_filename"], "entries": ["wordlist_url"], "pages": ["url"]}
+#: A table has about so many buckets for each root of its rows, so that a small batch rewrites little of a large table and its files stay few; of a small table so many rows are a bucket.
+BUCKETS_PER_ROOT, LEAST_BUCKETS, LEAST_ROWS = 4, 8, 64
+#: Up to so many buckets are named in the plan, so that the others aren't listed.
+NAMED_BUCKETS = 2000
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two that grows with the root of the rows."""
+    rows = max(1, rows)
+    return max(LEAST_BUCKETS, 2 ** round(math.log2(min(BUCKETS_PER_ROOT * math.sqrt(rows), rows / LEAST_ROWS))))
 
 
 class Catalog:
-    """Tables in buckets below a shared folder. A merge writes the buckets that it changes; a line in the table's log makes them the newest."""
+    """Tables as Parquet partitioned by bucket, below a shared folder; a merge overwrites the partitions that it changes.
+
+    New rows of those buckets are written aside first; a run that ends between that and the overwriting is taken up again by the next one. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, top: str):
         self.spark, self.top = spark, top
-
-    def _newest(self, table: str) -> dict[int, tuple[int, str]]:
-        """Of each bucket the last version and its path: BUCKETS rows at most."""
-        try:
-            log = self.spark.read.schema("version long, bucket int, path string").json(f"{self.top}/{table}/log")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {}  # there is no version yet
-        return {r["bucket"]: (r["version"], r["path"]) for r in log.groupBy("bucket").agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path")).collect()}
-
-    def read(self, table: str) -> DataFrame | None:
-        known = self._newest(table)
-        return self.spark.read.parquet(*[p for _, p in known.values()]) if known else None
+        for table in KEYS:
+            self._take_up(table)
+
+    def _rows(self, table: str, buckets: int) -> str:
+        return f"{self.top}/{table}/buckets={buckets}"
+
+    def _aside(self, table: str) -> str:
+        return f"{self.top}/{table}/aside"
+
+    def buckets(self, table: str) -> int | None:
+        """The table's number of buckets; none where it has no rows yet."""
+        found = [f.removeprefix("buckets=") for f in sinks.children(self.spark, f"{self.top}/{table}") if f.startswith("buckets=")]
+        whole = [int(n) for n in found if sinks.exists(self.spark, f"{self._rows(table, int(n))}/_SUCCESS")]
+        return max(whole, default=None)
+
+    def _take_up(self, table: str) -> None:
+        """What was written aside and not put in place yet is put there; what wasn't written whole goes, and so does what a larger layout replaced."""
+        aside, now = self._aside(table), self.buckets(table)
+        if now is not None and sinks.exists(self.spark, f"{aside}/_SUCCESS"):
+            self._put(table, now)
+        sinks.remove(self.spark, aside)
+        for f in sinks.children(self.spark, f"{self.top}/{table}"):
+            if f.startswith("buckets=") and f != f"buckets={now}":
+                sinks.remove(self.spark, f"{self.top}/{table}/{f}")
+
+    def _put(self, table: str, buckets: int) -> None:
+        new = self.spark.read.parquet(self._aside(table)).repartition("_bucket")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self._rows(table, buckets))
+
+    def read(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
+        """The table, or only its buckets among ``touched`` (_bucket), with _bucket then."""
+        now = self.buckets(table)
+        if now is None:
+            return None
+        rows = self.spark.read.parquet(self._rows(table, now))
+        if touched is None:
+            return rows.drop("_bucket")
+        named = [r[0] for r in touched.limit(NAMED_BUCKETS + 1).collect()]
+        return rows.filter(F.col("_bucket").isin(named)) if len(named) <= NAMED_BUCKETS else rows.join(touched, "_bucket", "left_semi")
+
+    def unchanged(self, pages: DataFrame) -> DataFrame:
+        """The (url, sha256) among ``pages`` that were taken in last from their address."""
+        now = self.buckets("pages")
+        if now is None:
+            return pages.select("url", "sha256").limit(0)
+        touched = pages.select(_bucket(["url"], now).alias("_bucket")).distinct()
+        return self.read("pages", touched).join(pages.select("url", "sha256"), ["url", "sha256"]).select("url", "sha256")
 
     def merge(self, table: str, new: DataFrame, put: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
         """``put`` gets the old rows of the buckets that ``new`` falls into, and ``new``; other buckets stay as they are."""
-        bucket, known, new = _bucket(KEYS[table]), self._newest(table), sinks.stored(new)
-        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
-        if not touched:
+        new = sinks.stored(new)
+        n = new.count()
+        if not n:
             return
-        paths = [known[b][1] for b in touched if b in known]
-        path = f"{self.top}/{table}/v-{uuid.uuid4().hex}"
-        put(self.spark.read.parquet(*paths) if paths else None, new).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(path)
-        version = 1 + max((v for v, _ in known.values()), default=0)
-        lines = [(version, b, f"{path}/_bucket={b}") for b in touched]
-        self.spark.createDataFrame(lines, "version long, bucket int, path string").coalesce(1).write.mode("append").json(f"{self.top}/{table}/log")
+        now = self.buckets(table)
+        if now is None:
+            return self._lay_out(table, put(None, new), buckets_for(n))
+        touched = sinks.stored(new.select(_bucket(KEYS[table], now).alias("_bucket")).distinct())
+        merged = put(self.read(table, touched).drop("_bucket"), new)
+        merged.withColumn("_bucket", _bucket(KEYS[table], now)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self._aside(table))
+        rows = self.spark.read.parquet(self._aside(table)).count() * now // touched.count()  # of the whole table, about
+        self._put(table, now)
+        sinks.remove(self.spark, self._aside(table))
+        if buckets_for(rows) >= 4 * now:  # the table is sixteen times as large as when it was laid out
+            self._lay_out(table, self.read(table), buckets_for(rows))
+            sinks.remove(self.spark, self._rows(table, now))
+
+    def _lay_out(self, table: str, rows: DataFrame, buckets: int) -> None:
+        rows.withColumn("_bucket", _bucket(KEYS[table], buckets)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self._rows(table, buckets))
 
 
-def _bucket(key: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+def _bucket(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
 def languages_of(pages: DataFrame) -> DataFrame:
@@ -86,8 +139,8 @@ LANGUAGE_PAGE = r"(?i)/Language/([^/]+)/[^/]+\.html?$"
 def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?i)word-list[^/]*\.html?(#.*)?$", files_per_batch: int = 4) -> Catalog:
     """Take in every page file (url, html) that is new below ``pages_dir`` and return the catalog.
 
-    Of the pages with one address in a batch the last counts: by the file's time, then its path, then the place in it. Languages and recordings
-    are upserted (recordings keep their ids), the entries of a word list are replaced; a word list without rows keeps what it had. Entries know
+    Of the pages with one address in a batch the last counts: by the file's time, then its path, then the place in it. A page whose digest is that of
+    what was taken in last from its address is dropped before anything is parsed. Languages and recordings are upserted (recordings keep their ids), the entries of a word list are replaced; a word list without rows keeps what it had. Entries know
     their page, so that it doesn't matter whether its recording comes before or after. All of this gives the same tables if
     a batch is run again, as happens after a crash or where the stream's checkpoint is lost.
     """
@@ -101,12 +154,17 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
 
     def batch(pages: DataFrame, number: int) -> None:
         order = F.struct("_time", "_path", "_index")
-        latest = sinks.stored(pages.filter("url is not null").groupBy("url").agg(F.max_by("html", order).alias("html")))
+        digest = F.sha2(F.coalesce("html", F.lit("")), 256)  # a page without content is as an empty one
+        latest = sinks.stored(pages.filter("url is not null").groupBy("url").agg(F.max_by("html", order).alias("html")).withColumn("sha256", digest))
+        known = ranking.small(sinks.stored(store.unchanged(latest)))
+        latest = sinks.stored(latest.join(known, ["url", "sha256"], "left_anti"))
         is_list = F.col("url").rlike(word_lists)
         is_language = F.col("url").rlike(LANGUAGE_PAGE) & ~is_list
         store.merge("languages", languages_of(latest.filter(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
         store.merge("recordings", recordings_of(latest.filter(is_language)), recordings)
         store.merge("entries", entries_of(latest.filter(is_list)), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"))
+        # last, so that a batch which ended early is parsed again
+        store.merge("pages", latest.select("url", "sha256"), lambda old, new: new if old is None else catalog.upsert(old, new, ["url"]))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pages_dir)
     stream = stream.select("url", "html", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from phonoframe.operators import catalog
 from phonoframe.streaming import ingest
 
 SITE = "http://a.example.org"
@@ -58,3 +60,77 @@ def test_a_batch_that_runs_again_changes_nothing(spark, site):
     after = state(site(word_list(B, "pa")))
     assert set(before["entries"]) < set(after["entries"]) and len(after["entries"]) == 2
     assert before["recordings"] == after["recordings"] and before["languages"] == after["languages"]
+
+
+def files(top, table):
+    """The table's files: name -> bytes."""
+    return {str(f): f.stat().st_size for f in (top / table).rglob("*.parquet")}
+
+
+def entries_of(spark, n, per_page, version="a", first=0):
+    return spark.range(first * per_page, first * per_page + n).select(F.concat(F.lit("http://a.example.org/w/"), F.floor(F.col("id") / per_page), F.lit(".html")).alias("wordlist_url"), (F.col("id") % per_page).cast("int").alias("entry_number"), F.sha2(F.concat("id", F.lit(version)), 256).alias("ipa"))
+
+
+def replaced(old, new):
+    return new if old is None else catalog.replace_of(old, new, "wordlist_url")
+
+
+def test_a_hundred_pages_rewrite_little_of_a_million_rows(spark, tmp_path):
+    store = ingest.Catalog(spark, str(tmp_path))
+    store.merge("entries", entries_of(spark, 1_000_000, 25), replaced)
+    before = files(tmp_path, "entries")
+    assert store.buckets("entries") == ingest.buckets_for(1_000_000) == 4096
+    pages = [f"http://a.example.org/w/{i * 397}.html" for i in range(100)]
+    new = entries_of(spark, 1_000_000, 25, "b").filter(F.col("wordlist_url").isin(pages))
+    store.merge("entries", new, replaced)
+    after = files(tmp_path, "entries")
+    written = sum(size for f, size in after.items() if f not in before)
+    assert 0 < written < 0.03 * sum(before.values())  # and once more as much, which goes, aside
+    assert not (tmp_path / "entries/aside").exists()
+    rows = store.read("entries")
+    assert rows.count() == 1_000_000
+    assert rows.exceptAll(entries_of(spark, 1_000_000, 25)).count() == new.count() == rows.join(new, rows.columns, "left_semi").count() == 2500
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path):
+    store, n = ingest.Catalog(spark, str(tmp_path)), 0
+    seen = []
+    for size in (100, 20_000, 60_000):
+        store.merge("entries", entries_of(spark, size, 5, first=n // 5), replaced)
+        n += size
+        seen.append(store.buckets("entries"))
+        assert store.read("entries").count() == n
+        assert len([f for f in (tmp_path / "entries").iterdir() if f.name.startswith("buckets=")]) == 1
+    assert seen == sorted(seen) and seen[0] == ingest.LEAST_BUCKETS < seen[-1]
+
+
+def test_pages_without_news_touch_nothing(spark, site):
+    pages = word_list(A, "ka", "ta"), word_list(B, "pa"), language_page("AA", A), index("AA", "BB"), (f"{SITE}/odd.html", None)
+    site(*pages)
+    before = {t: files(site.top / "catalog", t) for t in ingest.KEYS}
+    store = site(*pages)
+    assert {t: files(site.top / "catalog", t) for t in ingest.KEYS} == before
+    site(word_list(A, "new"))
+    assert sorted(r["ipa"] for r in site(*pages).read("entries").collect()) == ["ka", "pa", "ta"]  # an older page that comes back is news
+    assert store.read("pages").count() == 5
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_merge_that_is_cut_off_is_taken_up(spark, tmp_path, monkeypatch, when):
+    """The run ends while the new rows are written aside, or when they are there and the old ones are still in place."""
+    store = ingest.Catalog(spark, str(tmp_path))
+    store.merge("entries", entries_of(spark, 1000, 5), replaced)
+    new = entries_of(spark, 100, 5, "b")
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest.Catalog, "_put", fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        store.merge("entries", new, replaced)
+    monkeypatch.undo()
+    if when == "before":
+        (tmp_path / "entries/aside/_SUCCESS").unlink()
+    rows = ingest.Catalog(spark, str(tmp_path)).read("entries")
+    assert rows.count() == 1000 and rows.join(new, rows.columns, "left_semi").count() == (100 if when == "after" else 0)
+    assert not (tmp_path / "entries/aside").exists()
