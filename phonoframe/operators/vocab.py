@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The special tokens with ids 0 to 5.
 SPECIALS = ["<pad>", "<sos>", "<eos>", "<unk>", "<blank>", "<sil>"]
 UNKNOWN_ID = SPECIALS.index("<unk>")
-#: Larger vocabularies are joined, not looked up in a literal map.
-MAP_TOKENS = 200
+#: Larger vocabularies are joined, not looked up in a literal map, and not held by tasks.
+MAP_TOKENS, MOST_HELD = 200, 100_000
 
 
 def token_frequency(tokens: DataFrame) -> DataFrame:
@@ -46,23 +53,42 @@ def token_ids(vocabulary: DataFrame) -> DataFrame:
 
 
 def encode(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """(key, ids array): each row's tokens as ids in order; others get the id of <unk>. Rows that repeat a key stay apart."""
-    return _looked_up(rows, token_ids(vocabulary), key, tokens, "token", "id", F.lit(UNKNOWN_ID), "ids", _small(vocabulary))
+    """(key, ids array): each row's tokens as ids in order; others get the id of <unk>. Rows that repeat a key stay apart; a null array gives an empty one."""
+    return _looked_up(rows, token_ids(vocabulary), key, tokens, "token", "id", UNKNOWN_ID, "ids")
+
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, items: str, item: str, value: str, otherwise: object, name: str) -> DataFrame:
+    """(key, ``name``): what ``table`` (item, value) has for each item of the rows' arrays, in order; null arrays give empty ones.
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, items: str, item: str, value: str, otherwise: Column, name: str, small: bool) -> DataFrame:
-    """(key, ``name``): what ``table`` (item, value) has for each item of the rows' arrays, in order; null arrays give empty ones."""
+    A table of up to MOST_HELD rows is held by each task, and whole batches are looked up in their row, without a shuffle; larger ones are joined.
+    """
+    held = table.select(item, value).limit(MOST_HELD + 1).collect()
+    if len(held) <= MOST_HELD:
+        return rows.select(key, _in_batches(rows, held, table.schema[item].dataType, table.schema[value].dataType, otherwise)(F.col(items)).alias(name))
     numbered = rows.select(key, F.monotonically_increasing_id().alias("_row"), F.col(items).alias("_items"))
     each = numbered.select(key, "_row", F.posexplode_outer("_items").alias("_pos", item))
-    found = each.join(F.broadcast(table) if small else table, item, "left")
-    at = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(value, otherwise).alias("_v")))
+    found = each.join(table, item, "left")
+    at = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(value, F.lit(otherwise)).alias("_v")))
     listed = found.groupBy(key, "_row").agg(F.array_sort(F.collect_list(at)).alias("_x"))
     return listed.select(key, F.transform("_x", lambda p: p["_v"]).alias(name))
 
 
-def _small(vocabulary: DataFrame, most: int = 100_000) -> bool:
-    """Whether a vocabulary may be broadcast: it is counted."""
-    return vocabulary.count() <= most
+def _in_batches(rows: DataFrame, held: list, item: T.DataType, value: T.DataType, otherwise: object) -> Callable[[Column], Column]:
+    """A Spark function of arrays of items that gives arrays of values: the items of a batch are searched in one go."""
+    items, values = to_arrow_type(item), to_arrow_type(value)
+    shared = rows.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in held if r[0] is not None))
+
+    @F.arrow_udf(T.ArrayType(value))
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pa.array([k for k, _ in shared.value], items)
+        made = pa.array([*(v for _, v in shared.value), otherwise], values)  # the last is for what isn't known
+        for lists in parts:
+            flat = lists.flatten()  # without what is under a null
+            at = pc.fill_null(pc.index_in(flat.cast(items), known), len(known))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), made.take(at))
+
+    return of
 
 
 def encode_by_map(tokens: Column, ids: dict[str, int]) -> Column:
@@ -75,7 +101,7 @@ def encode_by_map(tokens: Column, ids: dict[str, int]) -> Column:
 
 def decode(rows: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     """(key, tokens array): the reverse; unknown ids give <unk>."""
-    return _looked_up(rows, vocabulary.select("id", "token"), key, ids, "id", "token", F.lit("<unk>"), "tokens", _small(vocabulary))
+    return _looked_up(rows, vocabulary.select("id", "token"), key, ids, "id", "token", "<unk>", "tokens")
 
 
 def speaker_map(codes: DataFrame, code: str = "code") -> DataFrame:

@@ -219,6 +219,20 @@ def test_v_encode_decode(spark):
     assert {r["k"]: r["ids"] for r in by_map.collect()} == {1: [7, 6, 3], 2: [], 3: [8]}
 
 
+def test_v_encode_in_batches_is_the_join(spark, monkeypatch):
+    """Without a shuffle up to a bound; the same beyond it."""
+    r = random.Random(4)
+    v = spark.createDataFrame([(i, f"t{i % 40}", "phoneme") for i in range(50)], "id long, token string, kind string")
+    texts = spark.createDataFrame([(i % 90, None if i % 17 == 0 else [r.choice([f"t{r.randrange(60)}", "", None]) for _ in range(r.randrange(6))]) for i in range(400)], "k int, tokens array<string>")
+    coded = vocab.encode(texts, v, "k")
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    back = vocab.decode(coded, v, "k")
+    got = [rows(coded), rows(back)]
+    monkeypatch.setattr(vocab, "MOST_HELD", 3)
+    assert [rows(vocab.encode(texts, v, "k")), rows(vocab.decode(vocab.encode(texts, v, "k"), v, "k"))] == got
+    assert max(i for _, ids in got[0] for i in ids) >= 40  # the later of two ids of a token
+
+
 def test_j4_zip_drops_what_is_over(spark):
     r = spark.createDataFrame([("k", 10), ("k", 20), ("k", 30)], "k string, start int")
     e = spark.createDataFrame([("k", "x", 2), ("k", "y", None)], "k string, e string, n int")
