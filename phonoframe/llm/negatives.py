@@ -22,6 +22,8 @@ from .common import cut, small
 REFERENCES, REFERENCE_ROWS = 16, 2048
 #: Rows of a tile, anchors of a block, tiles of a slice (all that one task reads for one block) at most.
 TILE, BLOCK, SLICE = 1000, 4096, 4096
+#: Rows that are worth a slice of their own.
+LEAST_SLICE = 8000
 #: Tiles that a task holds at once, outside Spark's heap.
 TILES_AT_ONCE = 16
 #: Anchors whose bounds are held at once.
@@ -249,10 +251,14 @@ def searched(anchors: DataFrame, tiles: DataFrame, same_label: bool, most: int,
     return dealt.mapInArrow(streamed, FOUND)
 
 
-def slices_for(blocks: int | Column, tiles: int, parallel: int) -> Column:
-    """Slices of the tiles for each block, so that there are tasks enough and none reads more than SLICE tiles."""
-    tiles = max(1, tiles)
-    return F.least(F.lit(tiles), F.greatest(F.lit(-(-tiles // SLICE)), F.ceil(F.lit(2.0 * parallel) / blocks))).cast("int")
+def slices_for(blocks: int | Column, tiles: int | Column, rows: int | Column, parallel: int) -> Column:
+    """Slices of the tiles for each block: so that there are tasks enough, that none reads more than SLICE tiles, and few rows make one slice.
+
+    What slices find is merged, and each may find as many rows as are wanted in the end.
+    """
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    wanted = F.least(F.ceil(lit(rows) / LEAST_SLICE), F.ceil(F.lit(2.0 * parallel) / lit(blocks)))
+    return F.greatest(F.lit(1), F.ceil(lit(tiles) / SLICE), wanted).cast("int")
 
 
 def first_of(found: DataFrame, most: int) -> DataFrame:
@@ -285,13 +291,15 @@ def mine_negatives(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
             yield pa.array(angles_to(matrix(v, max([1, *map(len, v)])), shared.value).tolist(), pa.list_(pa.float64()))
 
     anchors = cut(rows.filter(F.pmod("id", F.lit(every)) == 0).withColumn("angles", angles("q")))
-    parallel, n_tiles, n_anchors = int(spark.conf.get("spark.sql.shuffle.partitions")), tiles.count(), anchors.count()
+    parallel, n_anchors = int(spark.conf.get("spark.sql.shuffle.partitions")), anchors.count()
+    of_label = cut(tiles.groupBy("label").agg(F.count(F.lit(1)).alias("tiles"), F.sum("n").alias("rows")))
+    n_tiles, n_rows = (x or 0 for x in of_label.agg(F.sum("tiles"), F.sum("rows")).head())
 
     def dealt(anchors: DataFrame, sized: DataFrame | None, windows: tuple[Column, Column], same: bool, most: int) -> DataFrame:
         """``sized``: (label, blocks, slices) if anchors meet the tiles of their label alone; else all meet all, in blocks."""
         if sized is None:
             blocks = max(1, -(-n_anchors // BLOCK))
-            group, sizes = [], {"blocks": F.lit(blocks), "slices": slices_for(F.lit(blocks), n_tiles, parallel)}
+            group, sizes = [], {"blocks": F.lit(blocks), "slices": slices_for(blocks, n_tiles, n_rows, parallel)}
             own, theirs = anchors.withColumns(sizes), tiles.withColumns(sizes)
         else:
             group, own, theirs = ["label"], anchors.join(sized, "label"), tiles.join(sized, "label")
@@ -304,7 +312,8 @@ def mine_negatives(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
     limit = (1 << 62) - 1
     everything = (F.array(F.lit(-limit).cast("long")), F.array(F.lit(limit).cast("long")))
     blocks = anchors.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = small(cut(blocks.withColumn("slices", slices_for(F.col("blocks"), n_tiles, parallel))))
+    blocks = blocks.join(small(of_label), "label").select("label", "blocks", slices_for(F.col("blocks"), F.col("tiles"), F.col("rows"), parallel).alias("slices"))
+    blocks = small(cut(blocks))
     liked = cut(first_of(dealt(anchors, blocks, everything, True, positives), positives))
     listed = liked.groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("score").cast("decimal(38,0)").alias("p")))).alias("ps"))
     with_windows = cut(anchors.join(listed, "id").withColumns({
