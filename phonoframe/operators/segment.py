@@ -1,6 +1,6 @@
 """Segmenting time series by silence, and work on single clips.
 
-Frames are rows (key, frame_idx, t_ms, mean_sq); a key is one recording, whose rows one task can order.
+Frames are rows (key, frame_idx, t_ms, mean_sq); a key is one recording, which may be of any length.
 """
 
 from __future__ import annotations
@@ -17,19 +17,57 @@ THRESHOLDS, LEAST_SILENCES = [-45, -40, -35, -30], [300, 200, 150]
 NEAR_ENOUGH, PAD_MS, TRIM_DB, PEAK_DB = 2, 100, 30, -3.0
 
 
+#: Frames that a task orders at once.
+CHUNK = 4096
+
+
 def level_db(mean_square: Column) -> Column:
     """Null for digital silence."""
     return F.when(mean_square > 0, 10 * F.log10(mean_square))
 
 
+def united(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Both under one another, dealt by keys anew.
+
+    Spark 4.1 takes a union of two tables that are dealt alike for one that is dealt so, which isn't true where it reads one of them in fewer parts;
+    what groups by the keys after that would find a key twice.
+    """
+    return one.unionByName(other, allowMissingColumns=True).repartition(*keys)
+
+
+def silent_runs(frames: DataFrame, keys: list[str], silent: list[Column], frame_ms: int = 10) -> DataFrame:
+    """(keys, t, start, end): the runs of frames for which the t-th of ``silent`` holds, frames that follow each other in order being neighbours.
+
+    A recording is cut to chunks of CHUNK frames, which are looked at alone. Runs inside a chunk are whole; those that touch its first or last frame,
+    two at most, are put together where they meet the next chunk's. So a task orders one chunk, or two rows of each chunk of a recording.
+    """
+    chunk = F.floor(F.col("frame_idx") / CHUNK).alias("_chunk")
+    w = W.Window.partitionBy(*keys, "_chunk")
+    o = w.orderBy("frame_idx")
+    rows = frames.select(*keys, chunk, "frame_idx", "t_ms", *[F.coalesce(s, F.lit(False)).cast("int").alias(f"_s{i}") for i, s in enumerate(silent)])
+    # a run: place among all frames of the chunk less place among its silent ones
+    rows = rows.select(*keys, "_chunk", "t_ms", F.row_number().over(o).alias("_n"), F.count(F.lit(1)).over(w).alias("_all"), *[f"_s{i}" for i in range(len(silent))], *[F.sum(f"_s{i}").over(o.rowsBetween(W.Window.unboundedPreceding, 0)).alias(f"_c{i}") for i in range(len(silent))])
+    at = F.array(*[F.when(F.col(f"_s{i}") == 1, F.struct(F.lit(i).alias("t"), (F.col("_n") - F.col(f"_c{i}")).alias("island"))) for i in range(len(silent))])
+    each = rows.select(*keys, "_chunk", "t_ms", "_n", "_all", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("x"))
+    runs = each.groupBy(*keys, "_chunk", F.col("x.t").alias("t"), F.col("x.island").alias("_island")).agg(F.min("t_ms").alias("start"), (F.max("t_ms") + frame_ms).alias("end"), (F.min("_n") == 1).alias("_leads"), (F.max("_n") == F.max("_all")).alias("_trails")).drop("_island")
+    inside = runs.filter(~F.col("_leads") & ~F.col("_trails")).select(*keys, "t", "start", "end")
+    # every chunk has a row here, so that a chunk without silence at its edges lies between those beside it
+    chunks = frames.select(*keys, chunk).distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(silent) - 1))))
+    own = W.Window.partitionBy(*keys, "t")
+    edges = united(runs.filter(F.col("_leads") | F.col("_trails")), chunks, [*keys, "t"]).withColumn("_c", F.dense_rank().over(own.orderBy("_chunk"))).filter("start is not null")
+    o = own.orderBy("_c", "start")
+    goes_on = F.col("_leads") & F.lag("_trails").over(o) & (F.lag("_c").over(o) == F.col("_c") - 1)
+    edges = edges.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    edges = edges.withColumn("_run", F.sum("_new").over(o.rowsBetween(W.Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(*keys, "t", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return united(inside, joined, keys)
+
+
 def silences(frames: DataFrame, key: str, threshold: Column, least_ms: int, frame_ms: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """(key, ``by``, start, end): runs of frames at or under the threshold, of at least ``least_ms``."""
-    w = W.Window.partitionBy(key, *by).orderBy("frame_idx")
     level = level_db(F.col("mean_sq"))
-    rows = frames.withColumn("_silent", (level.isNull() | (level <= threshold)).cast("int"))
-    rows = rows.withColumn("_island", F.row_number().over(w) - F.sum("_silent").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    runs = rows.filter("_silent = 1").groupBy(key, *by, "_island").agg(F.min("t_ms").alias("start"), (F.max("t_ms") + frame_ms).alias("end"))
-    return runs.filter(F.col("end") - F.col("start") >= least_ms).drop("_island")
+    runs = silent_runs(frames, [key, *by], [level.isNull() | (level <= threshold)], frame_ms)
+    return runs.filter(F.col("end") - F.col("start") >= least_ms).drop("t")
 
 
 def regions(silent: DataFrame, durations: DataFrame, key: str, by: tuple[str, ...] = (), unterminated: str = "ref") -> DataFrame:
@@ -45,22 +83,16 @@ def regions(silent: DataFrame, durations: DataFrame, key: str, by: tuple[str, ..
     if unterminated == "silent":
         tails = tails.filter(F.coalesce("_open", F.lit(0)) == 0)
     tail = tails.select(key, *by, F.coalesce("_last", F.lit(0)).alias("_from"), F.col("duration").alias("_to"))
-    return inner.unionByName(tail).filter("_to > _from").select(key, *by, F.col("_from").alias("start"), F.col("_to").alias("end"))
+    return united(inner.filter("_to > _from"), tail.filter("_to > _from"), [key, *by]).select(key, *by, F.col("_from").alias("start"), F.col("_to").alias("end"))
 
 
 def grid_regions(frames: DataFrame, key: str, frame_ms: int = 10) -> DataFrame:
-    """(key, idx, start, end): the regions at every grid point, from one sort of each recording's frames.
+    """(key, idx, start, end): the regions at every grid point, from one sort of each chunk of frames.
 
     All thresholds are counted in one window; the least silences are applied to the silent runs, not to frames.
     """
-    w = W.Window.partitionBy(key).orderBy("frame_idx")
     level = level_db(F.col("mean_sq"))
-    silent = [(level.isNull() | (level <= db)).cast("int") for db in THRESHOLDS]
-    # a run of silence at a threshold: place among all frames less place among its silent ones
-    rows = frames.select(key, "t_ms", F.row_number().over(w).alias("_n"), *[s.alias(f"_s{i}") for i, s in enumerate(silent)], *[F.sum(s).over(w.rowsBetween(W.Window.unboundedPreceding, 0)).alias(f"_c{i}") for i, s in enumerate(silent)])
-    at = F.array(*[F.when(F.col(f"_s{i}") == 1, F.struct(F.lit(i).alias("t"), (F.col("_n") - F.col(f"_c{i}")).alias("island"))) for i in range(len(THRESHOLDS))])
-    each = rows.select(key, "t_ms", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("x")).select(key, "t_ms", "x.t", "x.island")
-    runs = each.groupBy(key, "t", "island").agg(F.min("t_ms").alias("start"), (F.max("t_ms") + frame_ms).alias("end"))
+    runs = silent_runs(frames, [key], [level.isNull() | (level <= db) for db in THRESHOLDS], frame_ms)
     points = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.lit(ms).alias("least")) for i, ms in enumerate(LEAST_SILENCES)]))
     idx = F.col("t") * len(LEAST_SILENCES) + F.col("_p.m")
     runs = runs.withColumn("_p", points).filter(F.col("end") - F.col("start") >= F.col("_p.least")).select(key, idx.alias("idx"), "start", "end")

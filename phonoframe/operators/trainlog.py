@@ -16,19 +16,24 @@ POINTS, WIDEST, WINDOW, IMPROVEMENT = 1000, 50, 1000, 0.01
 # Fixed values in what follows: how a log writes steps and metrics.
 
 
+def parsed(line: str, average: bool = True) -> tuple[Column, Column, Column]:
+    """The step that a line opens, or null; the name of its metric, or nothing; its value."""
+    step = F.regexp_extract(line, r"GLOBAL_STEP:\s*(\d+)", 1)
+    name = r"\| > ((?:avg_)?loss_\w+):\s*([\d.]+)" if average else r"\| > (loss_\w+):\s*([\d.]+)"
+    return F.when(step != "", step.cast("long")), F.regexp_extract(line, name, 1), F.regexp_extract(line, name, 2).try_cast("double")
+
+
 def records(lines: DataFrame, average: bool = True) -> DataFrame:
     """(run, rec, step, name, value) of (run, line_no, line).
 
     A GLOBAL_STEP line opens a record; of its lines ``| > name: value`` with loss_ names (avg_loss_ ones too if ``average``) the last of a name counts. What
     comes before the first step is lost, and an exponent is cut off.
     """
-    step = F.regexp_extract("line", r"GLOBAL_STEP:\s*(\d+)", 1)
-    name = r"\| > ((?:avg_)?loss_\w+):\s*([\d.]+)" if average else r"\| > (loss_\w+):\s*([\d.]+)"
+    step, name, value = parsed("line", average)
     w = W.Window.partitionBy("run").orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = lines.withColumn("_step", F.when(step != "", step.cast("long")))
+    rows = lines.select("run", "line_no", step.alias("_step"), name.alias("name"), value.alias("value")).filter("_step is not null or name <> ''")
     rows = rows.withColumns({"rec": F.count("_step").over(w), "step": F.last("_step", ignorenulls=True).over(w)}).filter("rec > 0 and _step is null")
-    rows = rows.select("run", "rec", "step", "line_no", F.regexp_extract("line", name, 1).alias("name"), F.regexp_extract("line", name, 2).try_cast("double").alias("value"))
-    return rows.filter("name <> ''").groupBy("run", "rec", "step", "name").agg(F.max_by("value", "line_no").alias("value"))
+    return rows.groupBy("run", "rec", "step", "name").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def wide(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -64,11 +69,16 @@ def subsample(rows: DataFrame, points: int = POINTS) -> DataFrame:
 def moving_average(series: DataFrame, widest: int = WIDEST) -> DataFrame:
     """(run, name, k, value): trailing means over min(widest, n div 5) points of series of over 20, without the first ones."""
     w = W.Window.partitionBy("run", "name")
-    s = series.withColumns({"_n": F.count(F.lit(1)).over(w), "_last": F.collect_list(F.coalesce("value", F.lit(0.0))).over(w.orderBy("k").rowsBetween(1 - widest, 0))})
-    s = s.withColumn("_w", F.when(F.col("_n") > 20, F.least(F.lit(widest), F.floor(F.col("_n") / 5))).otherwise(1).cast("int"))
-    s = s.filter(F.col("k") >= F.col("_w") - 1)
-    total = F.aggregate(F.slice("_last", F.size("_last") - F.col("_w") + 1, F.col("_w")), F.lit(0.0), lambda a, v: a + v)
-    return s.select("run", "name", "k", (total / F.col("_w")).alias("value"))
+    value = F.coalesce("value", F.lit(0.0))
+    # widths are 1, 4 and up to the widest; a long series has the widest, a frame of the window's own, and short ones look into a list of their few points
+    s = series.withColumn("_n", F.count(F.lit(1)).over(w))
+    width = F.when(F.col("_n") > 20, F.least(F.lit(widest), F.floor(F.col("_n") / 5))).otherwise(1).cast("int")
+    s = s.withColumns({"_w": width, "_v": value})
+    full = s.filter(F.col("_w") == widest).withColumn("_m", F.sum("_v").over(w.orderBy("k").rowsBetween(1 - widest, 0)))
+    few = s.filter(F.col("_w") < widest).withColumn("_last", F.collect_list("_v").over(w.orderBy("k").rowsBetween(2 - widest, 0)))
+    few = few.withColumn("_m", F.aggregate(F.slice("_last", F.greatest(F.lit(1), F.size("_last") - F.col("_w") + 1), F.col("_w")), F.lit(0.0), lambda a, v: a + v))
+    both = full.unionByName(few.drop("_last")).filter(F.col("k") >= F.col("_w") - 1)
+    return both.select("run", "name", "k", (F.col("_m") / F.col("_w")).alias("value"))
 
 
 def axis_limits(series: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 from ..functions import ipa
 from ..operators import align, segment, trainlog
 from ..sources import readers, sinks
+from ..streaming import logs
 from . import bindings as b
 
 Q: dict = {}
@@ -307,6 +308,18 @@ def l8(spark, sf):
     return x.select("run", "step", F.size("losses").cast("long").alias("n"), F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), "plateau")
 
 
+@query("l8_followed", SQL["l8_latest"])
+def l8f(spark, sf):
+    """The logs as they grow: a first part of each run's lines, then a second, then the rest, each taken in by a stream."""
+    top = sinks.scratch(spark)
+    lines = sinks.stored(readers.log_lines(log_files(spark, sf)))
+    for part in ("line_no < 7", "line_no >= 7 and line_no < 30", "line_no >= 30"):
+        lines.filter(part).write.mode("append").parquet(f"{top}/lines")
+        x = logs.run(spark, f"{top}/lines", f"{top}/followed", window=4)
+    total = F.aggregate(F.map_values("losses"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return x.select(F.col("run").cast("long").alias("run"), "step", F.size("losses").cast("long").alias("n"), F.round(total, 6).alias("total"), "plateau")
+
+
 @query("k8_step_report", f"""
   select run, step, count(*) as n_losses, round(sum(value), 6) as total, coalesce(any_value(plateau), false) as plateau, '2009-01-01T00:00:00Z' as timestamp, (select count(distinct event_type) from events e where e.user_id = r.run) as n_samples
   from ({RECORDS}) r semi join (select run, max(rec) as rec from ({RECORDS}) group by run) x on x.run = r.run and x.rec = r.rec left join ({PLATEAU}) using (run) where name like 'loss_%' group by 1, 2""")

@@ -187,6 +187,18 @@ def test_l6_l7(spark):
     assert {r["run"]: r["plateau"] for r in trainlog.plateaus(flat, window=10).collect()} == {"few": False, "flat": True, "falls": False}
 
 
+def test_l5_widths(spark):
+    """Short series have narrower means, up to the widest."""
+    r = random.Random(5)
+    series = {n: [r.choice([r.random(), None]) for _ in range(n)] for n in (1, 20, 21, 49, 249, 250, 400)}
+    df = spark.createDataFrame([(str(n), "m", k, v) for n, vs in series.items() for k, v in enumerate(vs)], "run string, name string, k long, value double")
+    want = {}
+    for n, vs in series.items():
+        w = min(50, n // 5) if n > 20 else 1
+        want |= {(str(n), k): sum(v or 0 for v in vs[k - w + 1 : k + 1]) / w for k in range(w - 1, n)}
+    assert {(x["run"], x["k"]): x["value"] for x in trainlog.moving_average(df).collect()} == pytest.approx(want)
+
+
 def test_l5_moving_average_of_a_large_level(spark):
     """Sums of a whole series would lose the small steps of later values."""
     df = spark.createDataFrame([("r", "m", i, 1e15 if i < 50 else float(i % 7)) for i in range(400)], "run string, name string, k long, value double")
@@ -205,6 +217,30 @@ def test_t3_grid_is_that_of_single_thresholds(spark):
     assert set(map(tuple, segment.grid_regions(df, "k").select("k", "idx", "start", "end").collect())) == want
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64, 10_000])
+def test_t1_chunks_of_a_recording_give_the_runs_of_the_whole(spark, monkeypatch, chunk):
+    """Series with long silences, with none, with single frames, and with frames that are missing."""
+    monkeypatch.setattr(segment, "CHUNK", chunk)
+    r = random.Random(chunk)
+    series = {k: [r.random() < share for _ in range(300)] for k, share in (("a", 0.5), ("b", 0.95), ("c", 0.05), ("d", 1.0), ("e", 0.0))} | {"f": [True], "g": [i // 100 != 1 for i in range(300)], None: [True] * 9}
+    frames = [(k, i, 10 * i, 1e-9 if s else 1.0) for k, xs in series.items() for i, s in enumerate(xs) if k != "b" or i % 5]
+    r.shuffle(frames)
+    want = set()
+    for k in series:
+        run = []
+        for _, i, t, level in [*sorted((f for f in frames if f[0] == k), key=lambda f: f[1]), (k, None, None, 1.0)]:
+            if level < 1:
+                run.append(t)
+            elif run:
+                want.add((k, run[0], run[-1] + 10))
+                run = []
+    df = spark.createDataFrame(frames, "k string, frame_idx long, t_ms long, mean_sq double")
+    got = [tuple(x) for x in segment.silences(df, "k", F.lit(-40), 0).select("k", "start", "end").collect()]
+    assert len(got) == len(want) and set(got) == want
+    longest = segment.silences(df, "k", F.lit(-40), 50).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {x["k"]: x["n"] for x in longest} == {k: n for k in series if (n := sum(w[0] == k and w[2] - w[1] >= 50 for w in want))}
+
+
 def test_v_encode_decode(spark):
     freq = spark.createDataFrame([("a", 5), ("b", 5), ("c", 1), ("d", 9)], "token string, count long")
     v = vocab.build_vocabulary(freq, spark.createDataFrame([("EN",), ("FR",)], "code string"))
