@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from .ranking import quantiles, small
 
 #: The sample rate and hop that frames are counted by.
@@ -57,6 +58,12 @@ def attach_durations(manifest: DataFrame, clips: DataFrame, key: str = "audio_id
     return manifest.drop("durations").join(found, key, "left").withColumn("durations", F.coalesce("_d", F.lit(""))).drop("_d")
 
 
+def write_with_durations(manifest: DataFrame, clips: DataFrame, path: str, key: str = "audio_id") -> DataFrame:
+    """Write ``attach_durations``; one row with total and updated, counted by the same job."""
+    rows, seen = sinks.observed(attach_durations(manifest, clips, key), total=F.count(F.lit(1)), updated=F.count_if(F.col("durations") != ""))
+    return sinks.written(rows, path, seen)
+
+
 def check_durations(manifest: DataFrame, clips: DataFrame, key: str = "audio_id", tokens: str = "tokens") -> DataFrame:
     """(key, expected, actual, matched) of the clips that have durations."""
     both = manifest.join(clips.select(key, "phones"), key)

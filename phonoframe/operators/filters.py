@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ipa
+from ..sources import sinks
 
 #: Clip lengths in seconds and the least text length.
 LEAST_SECONDS, MOST_SECONDS, LEAST_TEXT = 0.3, 15.0, 3
@@ -49,8 +50,20 @@ def plausibility(duration_ms: Column, text: Column, least_ms: float, most_ms: fl
     return F.when(duration_ms.isNull(), "audio_error").when(n < least_text, "ipa_too_short").when(duration_ms < n * least_ms, "too_short").when(duration_ms > n * most_ms, "too_long")
 
 
+def _corpus_steps(splits: list[str] | None) -> tuple[Column, dict[str, Column]]:
+    """What makes a row usable, and how many rows are left after each step."""
+    s, t, d = in_splits(splits), F.coalesce(transcribed("ipa_audio_universal"), F.lit(False)), in_duration()
+    return s & t & d, {"loaded": F.count(F.lit(1)), "in_split": F.count_if(s), "transcribed": F.count_if(s & t), "in_duration": F.count_if(s & t & d)}
+
+
 def load_corpus(rows: DataFrame, splits: list[str] | None) -> tuple[DataFrame, DataFrame]:
     """The usable rows of a corpus table, and one row with how many were left after each step."""
-    s, t, d = in_splits(splits), F.coalesce(transcribed("ipa_audio_universal"), F.lit(False)), in_duration()
-    counts = rows.agg(F.count(F.lit(1)).alias("loaded"), F.count_if(s).alias("in_split"), F.count_if(s & t).alias("transcribed"), F.count_if(s & t & d).alias("in_duration"))
-    return rows.filter(s & t & d), counts
+    usable, counts = _corpus_steps(splits)
+    return rows.filter(usable), rows.agg(*[c.alias(name) for name, c in counts.items()])
+
+
+def write_corpus(rows: DataFrame, splits: list[str] | None, path: str) -> DataFrame:
+    """Write the usable rows of a corpus table; one row with how many were left after each step, counted by the same job."""
+    usable, counts = _corpus_steps(splits)
+    rows, seen = sinks.observed(rows, **counts)
+    return sinks.written(rows.filter(usable), path, seen)

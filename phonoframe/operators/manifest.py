@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ipa
+from ..sources import sinks
 from . import filters, splits, vocab
 
 
@@ -81,12 +82,30 @@ def generate(rows: DataFrame, clips: DataFrame, key: str = "segment_key", text:
     """(audio_file, text, speaker_name, split): kept clips with tokens, normalised and split by language."""
     good = kept(rows, clips, key).withColumn("text", ipa.normalize_ipa(F.col(text)))
     good = good.filter(filters.has_tokens(ipa.tokenize(F.col("text"), normalize=False)))
-    done = splits.stratified(good, language, key)
+    done = splits.stratified(sinks.stored(good), language, key)
     return done.select(F.concat(F.lit("wavs/"), key, F.lit(".wav")).alias("audio_file"), "text", F.col(language).alias("speaker_name"), "split")
 
 
+def _corpus_texts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", ipa.normalize_ipa(ipa.join_phones(F.col("ipa_audio_universal")))).withColumn("split", splits.by_column(F.col("split")))
+
+
+def _corpus_named(made: DataFrame) -> DataFrame:
+    made = made.filter("split is not null").filter(_spoken())
+    return made.select(F.format_string("wavs/cv_%s_%s.wav", "locale", "audio_id").alias("audio_file"), "text", F.upper("locale").alias("speaker_name"), "split")
+
+
+def _spoken() -> Column:
+    return filters.has_tokens(ipa.tokenize(F.col("text"), normalize=False))
+
+
 def corpus_manifest(rows: DataFrame) -> DataFrame:
     """(audio_file, text, speaker_name, split) of a corpus table with its own splits."""
-    made = rows.withColumn("text", ipa.normalize_ipa(ipa.join_phones(F.col("ipa_audio_universal")))).withColumn("split", splits.by_column(F.col("split"))).filter("split is not null")
-    made = made.filter(filters.has_tokens(ipa.tokenize(F.col("text"), normalize=False)))
-    return made.select(F.format_string("wavs/cv_%s_%s.wav", "locale", "audio_id").alias("audio_file"), "text", F.upper("locale").alias("speaker_name"), "split")
+    return _corpus_named(_corpus_texts(rows))
+
+
+def write_corpus_manifest(rows: DataFrame, path: str) -> DataFrame:
+    """Write ``corpus_manifest``; one row with loaded, in_split, train and val, counted by the same job."""
+    good = F.col("split").isNotNull() & _spoken()
+    made, seen = sinks.observed(_corpus_texts(rows), loaded=F.count(F.lit(1)), in_split=F.count_if(F.col("split").isNotNull()), train=F.count_if(good & (F.col("split") == "train")), val=F.count_if(good & (F.col("split") == "val")))
+    return sinks.written(_corpus_named(made), path, seen)

@@ -77,6 +77,25 @@ def languages_by_unique(by_language: DataFrame, k: int = 20) -> DataFrame:
     return each.orderBy(F.desc("unique_tokens"), "language_code").limit(k)
 
 
+def language_sketches(entries: DataFrame, *keep: str, lg_registers: int = 12) -> DataFrame:
+    """(``keep`` columns, language_code, entries, tokens, sketch): of each language's tokens how many there are, and a sketch of which.
+
+    A batch of a growing corpus is added by a union with what is kept of the ones before, see ``merged_sketches``; texts aren't read again. A sketch has a few
+    kilobytes, whatever its tokens are.
+    """
+    rows = entries.select(*keep, "language_code", ipa.tokenize(F.col("ipa")).alias("_t"))
+    per = rows.groupBy(*keep, "language_code").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.greatest(F.size("_t"), F.lit(0))).cast("long").alias("tokens"))
+    each = rows.select(*keep, "language_code", F.explode("_t").alias("token")).groupBy(*keep, "language_code").agg(F.hll_sketch_agg("token", lg_registers).alias("sketch"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keep, "language_code"]]
+    return per.alias("a").join(each.alias("b"), same, "left").select("a.*", "b.sketch")
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, entries, tokens, unique_tokens, sketch): batches, languages or both put together; unique_tokens is within about 2 % of the exact number."""
+    both = sketches.groupBy(*keys).agg(F.sum("entries").alias("entries"), F.sum("tokens").alias("tokens"), F.hll_union_agg("sketch").alias("sketch"))
+    return both.select(*keys, "entries", "tokens", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0).cast("long")).alias("unique_tokens"), "sketch")
+
+
 def classified(totals: DataFrame) -> DataFrame:
     """Every distinct token with its fine class."""
     return totals.withColumn("_c", ipa.fine_category(F.col("token"))).select("token", "count", "_c.cat", "_c.subcat")

@@ -64,6 +64,12 @@ def s2(spark, sf):
     return filters.load_corpus(corpus(spark, sf), ["train", "dev"])[1]
 
 
+@query("s2_written_steps", SQL["s2_corpus_steps"])
+def s2w(spark, sf):
+    """The same, counted while the usable rows are written."""
+    return filters.write_corpus(corpus(spark, sf), ["train", "dev"], sinks.scratch(spark))
+
+
 @query("p2_split", f"select audio_id, split from ({CORPUS}) where {USABLE}")
 def p2(spark, sf):
     return corpus(spark, sf).filter(filters.in_splits(["train", "dev"])).select("audio_id", "split")
@@ -308,6 +314,11 @@ def x3c(spark, sf):
     return manifest.corpus_manifest(corpus(spark, sf)).groupBy("split", "speaker_name").agg(F.count(F.lit(1)).alias("clips"))
 
 
+@query("x3_written_counts", f"select count(*) as loaded, count(split)::bigint as in_split, count_if(split = 'train' and i <> '')::bigint as train, count_if(split = 'val' and i <> '')::bigint as val from (select case split when 'train' then 'train' when 'dev' then 'val' end as split, ipa_audio_universal as i from ({CORPUS}))")
+def x3w(spark, sf):
+    return manifest.write_corpus_manifest(corpus(spark, sf), sinks.scratch(spark))
+
+
 # -- S9 and C: customers as a catalog
 
 @query("s9_recordings", f"select recording_id, language_code, audio_filename from ({b.RECORDINGS}) where recording_type = 'word-list' and not downloaded and language_code = 'EN'")

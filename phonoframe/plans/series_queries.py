@@ -393,6 +393,12 @@ def j6(spark, sf):
     return align.attach_durations(m, clips(spark, sf))
 
 
+@query("j6_written_counts", f"select count(*) as total, count(durations)::bigint as updated from conversations left join ({CLIPS}) on audio_id = conv_id || '_' || turn")
+def j6w(spark, sf):
+    m = b.table(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("audio_id"), "role")
+    return align.write_with_durations(m, clips(spark, sf), sinks.scratch(spark))
+
+
 @query("j7_check_durations", f"select audio_id, len(t)::int as expected, len(phones)::int as actual, len(t) = len(phones) as matched from (select conv_id || '_' || turn as id, {b.sql_tokens('text')} as t from conversations) join ({CLIPS}) on audio_id = id")
 def j7(spark, sf):
     m = b.table(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("audio_id"), ipa.tokenize(F.col("text")).alias("tokens"))

@@ -268,6 +268,18 @@ def g7(spark, sf):
     return stats.languages_by_unique(by_language(spark, sf))
 
 
+@query("g7_merged_sketches", f"select language_code, entries, tokens, unique_tokens from (select upper(lang) as language_code, count(*) as entries from documents group by 1) join (select language_code, sum(count)::bigint as tokens, count(*) as unique_tokens from ({b.BY_LANGUAGE}) group by 1) using (language_code)")
+def g7m(spark, sf):
+    """Each source as a batch of its own; so few tokens are counted exactly by a sketch."""
+    e = b.table(spark, sf, "documents").select("source", F.upper("lang").alias("language_code"), F.col("text").alias("ipa"))
+    return stats.merged_sketches(stats.language_sketches(e, "source"), "language_code").drop("sketch")
+
+
+@query("g1_merged_sketches", f"select (select count(*) from documents) as entries, sum(count)::bigint as tokens, count(*) as unique_tokens from ({b.TOTALS})")
+def g1m(spark, sf):
+    return stats.merged_sketches(stats.language_sketches(b.texts(spark, sf))).drop("sketch")
+
+
 PLACES = "select unnest(range({n})) as place, unnest([{c}]) as cat, unnest([{s}]) as subcat".format(n=len(ipa.CLASSES), c=_listed([c for c, _ in ipa.CLASSES]), s=_listed([s for _, s in ipa.CLASSES]))
 SUMMARY = f"select place::int as place, cat, subcat, unique_tokens, count, 100.0 * count / {ALL} as pct, {RATING} as rating from (select cat, subcat, count(*) as unique_tokens, sum(count)::bigint as count from ({CLASSIFIED}) group by 1, 2) join ({PLACES}) using (cat, subcat)"
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
@@ -54,6 +55,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``rows``, and aggregates of them that Spark takes while something else is made of them, for ``written``."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen
+
+
+def written(rows: DataFrame, path: str, seen: Observation) -> DataFrame:
+    """Write ``rows``; one row with what was observed on the way, so that nothing is read twice. The rows must come of the observed ones."""
+    rows.write.mode("overwrite").parquet(path)
+    got = seen.get
+    return rows.sparkSession.createDataFrame([tuple(got.values())], T.StructType([T.StructField(name, T.LongType()) for name in got]))
+
+
 def escaped(text: Column) -> Column:
     r"""\ | " and line feeds with a backslash before them."""
     return F.replace(F.regexp_replace(text, r'([\\|"])', r"\\$1"), F.lit("\n"), F.lit(r"\n"))

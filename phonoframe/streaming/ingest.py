@@ -160,9 +160,15 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
         latest = sinks.stored(latest.join(known, ["url", "sha256"], "left_anti"))
         is_list = F.col("url").rlike(word_lists)
         is_language = F.col("url").rlike(LANGUAGE_PAGE) & ~is_list
-        store.merge("languages", languages_of(latest.filter(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
-        store.merge("recordings", recordings_of(latest.filter(is_language)), recordings)
-        store.merge("entries", entries_of(latest.filter(is_list)), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"))
+        kinds = latest.agg(F.count(F.lit(1)).alias("pages"), F.count_if(is_list).alias("lists"), F.count_if(is_language).alias("languages")).head()
+        if not kinds["pages"]:
+            return
+        if kinds["pages"] > kinds["lists"] + kinds["languages"]:
+            store.merge("languages", languages_of(latest.filter(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
+        if kinds["languages"]:
+            store.merge("recordings", recordings_of(latest.filter(is_language)), recordings)
+        if kinds["lists"]:
+            store.merge("entries", entries_of(latest.filter(is_list)), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"))
         # last, so that a batch which ended early is parsed again
         store.merge("pages", latest.select("url", "sha256"), lambda old, new: new if old is None else catalog.upsert(old, new, ["url"]))
 

@@ -383,3 +383,40 @@ def test_s8_blocks_of_a_long_file(spark, monkeypatch):
     whole = rows(readers.pcm_frames(w))
     monkeypatch.setattr(readers, "FRAMES_AT_ONCE", 7)
     assert rows(readers.pcm_frames(w)) == whole and len(whole) == 124
+
+
+def jobs(spark, work):
+    """How many Spark jobs some work takes."""
+    sc = spark.sparkContext
+    group = f"counted-{random.random()}"
+    sc.setJobGroup(group, "")
+    work()
+    found = sc.statusTracker().getJobIdsForGroup(group)
+    sc.setJobGroup("none", "")
+    return len(found)
+
+
+def test_s2_rows_and_counts_by_one_job(spark, tmp_path):
+    rows = [(i, ["train", "dev", "test", None][i % 4], "" if i % 5 == 0 else "a", "200" if i % 3 == 0 else "700") for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, split string, ipa_audio_universal string, duration_ms string")
+    usable, counts = filters.load_corpus(df, ["train", "dev"])
+    want = counts.first()
+    got = []
+    assert jobs(spark, lambda: got.append(filters.write_corpus(df, ["train", "dev"], str(tmp_path / "x")))) == 1
+    assert got[0].first() == want and spark.read.parquet(str(tmp_path / "x")).count() == usable.count() == want["in_duration"]
+    assert filters.write_corpus(df.limit(0), None, str(tmp_path / "y")).first()["loaded"] == 0
+
+
+def test_g7_sketches_of_batches(spark):
+    """The union of five batches is within 2 % of the exact number, and is that of all at once."""
+    r = random.Random(6)
+    letters = [chr(c) + mark for c in range(0x4E00, 0x4E00 + 9000) for mark in ("", "\u0301")]
+    batches = [(b, lang, " ".join(r.choices(letters, k=3000))) for b in range(5) for lang, n in (("EN", 6), ("FR", 1)) for _ in range(n)] + [(0, "NO", None), (0, "NO", "")]
+    df = spark.createDataFrame(batches, "batch int, language_code string, ipa string")
+    exact = {x["language_code"]: (x["tokens"], x["unique_tokens"]) for x in stats.language_tokens(df).groupBy("language_code").agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("unique_tokens")).collect()}
+    one = {x["language_code"]: x for x in stats.merged_sketches(stats.language_sketches(df, "batch"), "language_code").collect()}
+    two = {x["language_code"]: x for x in stats.merged_sketches(stats.language_sketches(df), "language_code").collect()}
+    for lang, (tokens, unique) in exact.items():
+        assert one[lang]["tokens"] == tokens and abs(one[lang]["unique_tokens"] - unique) <= 0.02 * unique
+        assert one[lang]["unique_tokens"] == pytest.approx(two[lang]["unique_tokens"], rel=0.01)
+    assert (one["NO"]["entries"], one["NO"]["tokens"], one["NO"]["unique_tokens"]) == (2, 0, 0)
