@@ -51,15 +51,19 @@ def mark_downloaded(recordings: DataFrame, remote: DataFrame, local: DataFrame)
 
 
 def audit(tables: dict[str, DataFrame], unique: list[tuple[str, list[str]]], references: list[tuple[str, str, str, str]], required: list[tuple[str, str]]) -> DataFrame:
-    """(kind, table, columns, violations): repeated keys, orphans and nulls; zeros too."""
+    """(kind, table, columns, violations): repeated keys, orphans and nulls; zeros too.
+
+    References are counted by key before they are joined, so that each key moves once from each task however many rows refer to it.
+    """
     row = lambda kind, table, columns: [F.lit(kind).alias("kind"), F.lit(table).alias("table"), F.lit(columns).alias("columns")]
     found = []
     for t, keys in unique:
         twice = tables[t].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         found.append(twice.agg(F.count_if(F.col("n") > 1).alias("violations")).select(*row("unique", t, ",".join(keys)), "violations"))
     for t, column, other, key in references:
-        orphans = tables[t].filter(F.col(column).isNotNull()).join(tables[other].select(F.col(key).alias(column)).distinct(), column, "left_anti")
-        found.append(orphans.agg(F.count(F.lit(1)).alias("violations")).select(*row("reference", t, column), "violations"))
+        referring = tables[t].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+        orphans = referring.join(tables[other].select(F.col(key).alias(column)), column, "left_anti")
+        found.append(orphans.agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("violations")).select(*row("reference", t, column), "violations"))
     for t, column in required:
         found.append(tables[t].agg(F.count_if(F.col(column).isNull()).alias("violations")).select(*row("required", t, column), "violations"))
     return reduce(DataFrame.unionByName, found)
