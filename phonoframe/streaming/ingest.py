@@ -28,13 +28,11 @@ def buckets_for(rows: int) -> int:
 class Catalog:
     """Tables as Parquet partitioned by bucket, below a shared folder; a merge overwrites the partitions that it changes.
 
-    New rows of those buckets are written aside first; a run that ends between that and the overwriting is taken up again by the next one. One writer at a time.
+    New rows of those buckets are written aside first; a run that ends between that and the overwriting is taken up again by the next one that writes. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, top: str):
         self.spark, self.top = spark, top
-        for table in KEYS:
-            self._take_up(table)
 
     def _rows(self, table: str, buckets: int) -> str:
         return f"{self.top}/{table}/buckets={buckets}"
@@ -48,8 +46,8 @@ class Catalog:
         whole = [int(n) for n in found if sinks.exists(self.spark, f"{self._rows(table, int(n))}/_SUCCESS")]
         return max(whole, default=None)
 
-    def _take_up(self, table: str) -> None:
-        """What was written aside and not put in place yet is put there; what wasn't written whole goes, and so does what a larger layout replaced."""
+    def take_up(self, table: str) -> None:
+        """For who writes: what was written aside and not put in place yet is put there; what wasn't written whole goes, and so does what a larger layout replaced."""
         aside, now = self._aside(table), self.buckets(table)
         if now is not None and sinks.exists(self.spark, f"{aside}/_SUCCESS"):
             self._put(table, now)
@@ -87,6 +85,7 @@ class Catalog:
         n = new.count()
         if not n:
             return
+        self.take_up(table)
         now = self.buckets(table)
         if now is None:
             return self._lay_out(table, put(None, new), buckets_for(n))
@@ -145,6 +144,8 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
     a batch is run again, as happens after a crash or where the stream's checkpoint is lost.
     """
     store = Catalog(spark, top)
+    for table in KEYS:
+        store.take_up(table)
     schema = spark.read.parquet(pages_dir).schema
 
     def recordings(old: DataFrame | None, new: DataFrame) -> DataFrame:

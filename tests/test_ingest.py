@@ -131,6 +131,10 @@ def test_a_merge_that_is_cut_off_is_taken_up(spark, tmp_path, monkeypatch, when)
     monkeypatch.undo()
     if when == "before":
         (tmp_path / "entries/aside/_SUCCESS").unlink()
-    rows = ingest.Catalog(spark, str(tmp_path)).read("entries")
+    store = ingest.Catalog(spark, str(tmp_path))
+    assert store.read("entries").count() == 1000  # one that reads leaves all as it is
+    assert (tmp_path / "entries/aside").exists()
+    store.take_up("entries")
+    rows = store.read("entries")
     assert rows.count() == 1000 and rows.join(new, rows.columns, "left_semi").count() == (100 if when == "after" else 0)
     assert not (tmp_path / "entries/aside").exists()
