@@ -8,10 +8,11 @@ in a memory of bounded size for each worker process.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
-import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -67,6 +68,7 @@ class Vocabulary:
                 self.token[i] = to_bytes(t)
         for t, i in self.special.items():
             self.token[i] = t.encode()
+        self.length = [len(t) for t in self.token]
         self.byte_id = [0] * 256
         for c, b in letters.items():
             self.byte_id[b] = ids[c]
@@ -129,7 +131,7 @@ class Vocabulary:
             special = set(self.special.values())
             for i, t in enumerate(self.token):
                 if len(t) > 1 and i not in special:  # single bytes are tokens everywhere
-                    self._automaton.add_word(t.decode("latin-1"), (len(t), i))
+                    self._automaton.add_word(t.decode("latin-1"), (len(t) - 1, i))
             self._automaton.make_automaton()
         return self._automaton
 
@@ -161,37 +163,43 @@ class Vocabulary:
             else:
                 return True
 
+    @functools.cached_property
+    def shorter(self) -> list[int]:
+        """Of each token the longest other token that it begins with; -1 for single bytes."""
+        special = set(self.special.values())
+        known = {t: i for i, t in enumerate(self.token) if t and i not in special}
+        return [-1 if i in special else next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), -1) for i, t in enumerate(self.token)]
+
     def encode_pre_token(self, data: bytes) -> list[int]:
+        """The longest token at each place is kept, and the next shorter ones follow from it, so that memory follows the length."""
         n = len(data)
+        token_at = [self.byte_id[b] for b in data]
         if n == 1:
-            return [self.byte_id[data[0]]]
-        ends = [[(1, self.byte_id[b])] for b in data]  # tokens that start here, shortest first
-        for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
-            ends[end - size + 1].append((size, token))
+            return token_at
+        for end, (less, token) in self.automaton.iter(data.decode("latin-1")):
+            token_at[end - less] = token  # a later end is that of a longer token
+        size, shorter, known = self.length, self.shorter, self._known
         out: list[int] = []
-        place: list[int] = []  # index among the tokens of its start
-        starts: list[int] = []
         dead = bytearray(n + 1)
-        at, option = 0, len(ends[0]) - 1
-        while at < n:
-            last = out[-1] if out else -1
-            here = ends[at]
-            while option >= 0:
-                size, token = here[option]
-                if not dead[at + size] and (last < 0 or self.may_follow(last, token)):
-                    break
-                option -= 1
-            if option >= 0:
+        at, last, token = 0, -1, token_at[0]
+        while True:
+            while token >= 0:
+                if not dead[at + size[token]]:
+                    fits = last < 0 or known.get((last, token))
+                    if fits or (fits is None and self.may_follow(last, token)):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                place.append(option)
-                starts.append(at)
-                at += size
-                option = len(ends[at]) - 1 if at < n else -1
+                at += size[token]
+                if at == n:
+                    return out
+                last, token = token, token_at[at]
             else:
                 dead[at] = 1
-                out.pop()
-                option, at = place.pop() - 1, starts.pop()
-        return out
+                taken = out.pop()
+                at -= size[taken]
+                last, token = out[-1] if out else -1, shorter[taken]
 
     # -- whole texts
 
@@ -309,7 +317,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
 
 def _id_bytes(v: Vocabulary) -> Callable[[str], bytes]:
-    return lambda piece: struct.pack(f"<{len(ids := v.encode(piece))}I", *ids)
+    return lambda piece: array("I", v.encode(piece)).tobytes()
 
 
 def encoded_and_decoded(docs: DataFrame, path: str, text: str = "text") -> Column:

@@ -148,3 +148,20 @@ def test_lost_tasks_are_done_again_alike(spark):
     items = spark.createDataFrame([(i, 200 + i * 37 % 900) for i in range(300)], "k int, length int")
     a, b = (hashlib.sha256(str(sorted(map(tuple, packing.pack(items, block_items=100).collect()))).encode()).hexdigest() for _ in range(2))
     assert a == b
+
+
+def test_megabytes_in_one_pre_token():
+    """Ten megabytes of one letter take memory for their length, and time that grows with it."""
+    import resource
+    import time
+
+    v = bpe.Vocabulary(bpe.vocabulary_source(PATH))
+    assert len(v.encode_pre_token(b"a" * 1000)) == v.count_pre_token(b"a" * 1000) == 250
+    start = time.process_time()
+    ids = v.encode_pre_token(b"a" * 1_000_000)
+    once = time.process_time() - start
+    assert set(ids) == {ids[0]} and len(ids) == 250_000
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    assert len(v.encode_pre_token(b"a" * 10_000_000)) == 2_500_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+    assert time.process_time() - start < 40 * max(once, 0.2)
