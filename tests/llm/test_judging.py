@@ -199,7 +199,7 @@ def test_a_rule_without_tokens_is_always_tried(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         c.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     want = c.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, SF).select(*want.columns)
