@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,14 +11,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, cut, over_texts, small, whole
+from .common import MOST_BROADCAST, cut, each_salt, over_texts, salt, salts_seen, small, whole
 from .simhash import components
 
-#: Independent bits of a text: each of BLOCKS runs of 16 is a bucket's key, CHECK longs more are compared in a bucket.
+#: A fingerprint has so many runs of 16 bits whose nibbles make keys, and CHECK longs more that are compared in a bucket.
 BLOCKS, CHECK = 64, 2
 #: Of the 64 * CHECK bits so many may differ. Texts of 0.8 similarity differ in about 20, others in about 64.
 MOST_BITS = 38
-#: Shingles and texts of a group that are verified together; larger groups are cut to parts, and all pairs of parts meet.
+#: Unlike rows that share a bucket by chance, at most, on average: keys get longer with the table.
+CHANCE_ROWS = 64
+#: Rows of a bucket that are compared in one task; a bucket with more is cut to parts.
+BUCKET_ROWS = 4096
+#: Shingles and texts of a group that are verified together; larger groups are cut to parts.
 PART_SHINGLES, PART_TEXTS = 1 << 18, 1024
 _ODD = np.random.default_rng(11).integers(0, 2**63, BLOCKS // 4 + CHECK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -44,14 +48,45 @@ def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
 
 
-def forest(check: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) of every row to the first one that pairs within ``most`` bits connect it with, inside groups of equal ``group`` (sorted)."""
+def key_nibbles(n: int) -> np.ndarray:
+    """Which nibbles of a fingerprint make each of its keys in a table of ``n`` rows.
+
+    Four nibbles and 64 keys do for some millions of rows; each nibble more takes twice the keys, as two texts of similarity 0.8
+    agree in a nibble about every second time. So recall stays, and rows of a bucket that share it by chance stay few.
+    """
+    more = next(k for k in range(5) if n >> (16 + 4 * k) < CHANCE_ROWS or k == 4)
+    width, keys, all_ = 4 + more, BLOCKS << more, np.arange(4 * BLOCKS)
+    if not more:
+        return all_.reshape(keys, width)
+    rng, each = np.random.default_rng(13), len(all_) // width
+    return np.concatenate([rng.permutation(all_)[: each * width].reshape(each, width) for _ in range(-(-keys // each))])[:keys]
+
+
+def block_keys(fp: np.ndarray, nibbles: np.ndarray) -> np.ndarray:
+    """Long keys of each fingerprint (rows of longs), one for each row of ``nibbles``."""
+    octets = np.ascontiguousarray(fp[:, : BLOCKS // 4]).view(np.uint8)
+    each = np.stack([octets & 15, octets >> 4], axis=2).reshape(len(fp), -1)
+    keys = np.broadcast_to(np.arange(len(nibbles), dtype=np.int64), (len(fp), len(nibbles))).copy()
+    for column in nibbles.T:
+        keys = (keys << 4) | each[:, column]
+    return keys
+
+
+def forest(check: np.ndarray, group: np.ndarray, most: int, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of every row to the first one that pairs within ``most`` bits connect it with, inside groups of equal ``group`` (sorted).
+
+    ``top`` names for each row the first one that it is known to be connected with.
+    """
     n = len(group)
-    top, a = np.arange(n), np.arange(n)
-    last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
-    end = last[np.searchsorted(last, a)]
+    a = np.arange(n)
+    top = a.copy() if top is None else top.copy()
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[:n])
+    size = np.diff(np.append(first, n))
+    start, end = np.repeat(first, size), np.repeat(first + size - 1, size)
     for d in itertools.count(1):
         a = a[a + d <= end[a]]
+        if d & (d - 1) == 0 and len(a):  # groups that are connected need no more pairs
+            a = a[np.repeat(np.logical_or.reduceat(top != start, first), size)[a]]
         if not len(a):
             other = np.flatnonzero(top != np.arange(n))
             return other, top[other]
@@ -68,54 +103,125 @@ def forest(check: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray,
                     top = top[top]
 
 
+def in_parts(members: DataFrame, most_n: int, most_rows: int, compare: Callable[[pd.DataFrame], pd.DataFrame], fill: Callable[[DataFrame], DataFrame] = lambda m: m) -> DataFrame:
+    """(a, b): links that connect in each group of ``members`` (group, row, n; stored) all that like pairs of it connect.
+
+    Groups with over ``most_rows`` rows or ``most_n`` in the sum of n are cut to parts. Every part meets the group's first row as
+    well; rows that aren't connected with that one afterwards meet all other parts, in lots of a part's size. So a group of copies takes
+    time in proportion to its size, and all pairs of a group meet where its rows are unlike. ``fill`` adds what ``compare``
+    needs; that gets row, label (equal for rows that are known to be connected) and guest (pairs without one need no look), and returns a and b.
+    """
+    parts = F.greatest(F.ceil(F.sum("n") / most_n), F.ceil(F.count(F.lit(1)) / most_rows)).cast("long")
+    large = small(cut(members.groupBy("group").agg(parts.alias("parts"), F.min("row").alias("lead")).filter("parts > 1")))
+    several = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = members.join(large, "group", "left").withColumn("part", F.pmod(F.xxhash64("row"), several))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    at = F.when(F.col("row") == F.col("lead"), upto(F.col("parts"))).otherwise(F.array("part"))
+    met = fill(dealt.withColumn("at", at).withColumn("label", F.col("row")).withColumn("guest", F.lit(True))).withColumn("place", F.explode("at"))
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        return compare(pdf).assign(large=pdf["parts"].notna().any())
+
+    links = cut(met.groupBy("group", "place").applyInPandas(first, "a long, b long, large boolean"))
+    found = links.select("a", "b")
+    if large.isEmpty():
+        return found
+    known = small(components(links.filter("large").select("a", "b")))
+    labelled = dealt.filter("parts is not null").join(known, F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "row")).drop("node", "root")
+    labelled = cut(labelled)
+    leads = small(cut(labelled.filter("row = lead").select("group", F.col("label").alias("top"))))
+    labelled = labelled.join(leads, "group").withColumn("guest", F.col("label") != F.col("top"))
+    lots = small(cut(labelled.filter("guest").groupBy("group").agg(parts.alias("lots"))))
+    if lots.isEmpty():
+        return found
+    here = F.transform(upto(F.col("lots")), lambda lot: F.struct(F.col("part").alias("place"), lot.alias("lot"), F.lit(False).alias("guest")))
+    own_lot = F.pmod(F.xxhash64("row", F.lit(1)), F.col("lots"))
+    there = F.transform(F.filter(upto(F.col("parts")), lambda q: q != F.col("part")), lambda q: F.struct(q.alias("place"), own_lot.alias("lot"), F.lit(True).alias("guest")))
+    again = labelled.join(lots, "group").withColumn("at", F.when(F.col("guest"), F.concat(here, there)).otherwise(here)).drop("guest")
+    again = fill(again).withColumn("at", F.explode("at")).withColumn("guest", F.col("at.guest"))
+    again = again.withColumn("place", F.col("at.place")).withColumn("lot", F.col("at.lot"))
+    return found.unionByName(again.groupBy("group", "place", "lot").applyInPandas(compare, "a long, b long"))
+
+
 def candidates(prints: DataFrame) -> DataFrame:
-    """(a long, b long): links that connect all rows of ``prints`` (row, fp) that share a block and nearly all of the other bits."""
+    """(a long, b long): links that connect all rows of ``prints`` (row, fp; stored) that share a key and nearly all of the other bits."""
+    names = [f"c{i}" for i in range(CHECK)]
+    columns = "".join(f", {c} long" for c in names)
+    nibbles = key_nibbles(prints.count())
 
     def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            if len(pdf):
-                fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
-                blocks = np.ascontiguousarray(fp[:, : BLOCKS // 4]).view(np.uint16).astype(np.int32) + (np.arange(BLOCKS, dtype=np.int32) << 16)
-                check = np.repeat(fp[:, BLOCKS // 4 :].view(np.int64), BLOCKS, axis=0)
-                yield pd.DataFrame({"bucket": blocks.ravel(), "row": np.repeat(pdf["row"].to_numpy(), BLOCKS)} | {f"c{i}": check[:, i] for i in range(CHECK)})
+            for k in range(0, len(pdf), 256):
+                lot = pdf.iloc[k : k + 256]
+                fp = np.frombuffer(b"".join(lot["fp"]), np.uint64).reshape(len(lot), -1)
+                check = np.repeat(fp[:, BLOCKS // 4 :].view(np.int64), len(nibbles), axis=0)
+                yield pd.DataFrame({"bucket": block_keys(fp, nibbles).ravel(), "row": np.repeat(lot["row"].to_numpy(), len(nibbles))} | {c: check[:, i] for i, c in enumerate(names)})
+
+    def bits(pdf: pd.DataFrame) -> np.ndarray:
+        return np.stack([pdf[c].to_numpy().view(np.uint64) for c in names], axis=1)
+
+    def linked(row: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.maximum(row[x], row[y]), "b": np.minimum(row[x], row[y])})
+
+    def handed_back(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": pdf["row"], "b": pdf["row"], "hot": pdf["bucket"].astype("Int64")} | {c: pdf[c].astype("Int64") for c in names})
 
     def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held, large = None, -1
         for pdf in itertools.chain(parts, [None]):
             if pdf is not None:
-                if not len(pdf):
-                    continue
-                held.append(pdf)
-                if pdf["bucket"].iloc[-1] == held[0]["bucket"].iloc[0]:
-                    continue
-            if not held:
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if held is None or not len(held):
                 continue
-            ready, held = pd.concat(held, ignore_index=True), []
-            bucket = ready["bucket"].to_numpy()
-            at = len(ready) if pdf is None else int(np.searchsorted(bucket, bucket[-1]))
-            row = ready["row"].to_numpy()
-            check = np.stack([ready[f"c{i}"].to_numpy().view(np.uint64) for i in range(CHECK)], axis=1)
-            x, y = forest(check[:at], bucket[:at], MOST_BITS)
-            if len(x):
-                yield pd.DataFrame({"a": np.maximum(row[x], row[y]), "b": np.minimum(row[x], row[y])})
-            if at < len(ready):
-                held = [ready.iloc[at:]]
-
-    columns = "".join(f", c{i} long" for i in range(CHECK))
-    dealt = prints.mapInPandas(keyed, f"bucket int, row long{columns}").repartition("bucket").sortWithinPartitions("bucket", "row")
+            bucket = held["bucket"].to_numpy()
+            at = len(held) if pdf is None else int(np.searchsorted(bucket, bucket[-1]))
+            if at:
+                ready, b = held.iloc[:at], bucket[:at]
+                edge = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+                size = np.diff(np.append(edge, at))
+                big = np.repeat((size > BUCKET_ROWS) | (b[edge] == large), size)
+                x, y = forest(bits(ready)[~big], b[~big], MOST_BITS)
+                done = linked(ready["row"].to_numpy()[~big], x, y)
+                yield done.assign(**{c: pd.array([None] * len(done), "Int64") for c in ("hot", *names)})
+                if big.any():
+                    yield handed_back(ready[big])
+                held = held.iloc[at:]
+            if len(held) > BUCKET_ROWS:  # the last bucket is large already: let its rows go
+                large = bucket[-1]
+                yield handed_back(held)
+                held = None
+
+    def paired(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf["row"].to_numpy()
+        _, at, of = np.unique(pdf["label"].to_numpy(), return_index=True, return_inverse=True)
+        return linked(row, *forest(bits(pdf), np.zeros(len(row), np.int8), MOST_BITS, at[of]))
+
+    # rows of one fingerprint are linked without a comparison, and one of them stands for them
+    one = cut(prints.groupBy("fp").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), salts_seen(salt("row")).alias("salts")))
+    again = one.filter("n > 1").select("fp", F.col("row").alias("b"), each_salt(F.col("salts")).alias("salt"))
+    equal = prints.withColumn("salt", salt("row")).join(again, ["fp", "salt"]).filter("row != b").select(F.col("row").alias("a"), "b")
+    dealt = one.select("row", "fp").mapInPandas(keyed, f"bucket long, row long{columns}").repartition("bucket").sortWithinPartitions("bucket", "row")
+    found = cut(dealt.mapInPandas(compared, f"a long, b long, hot long{columns}"))
+    links = found.filter("hot is null").select("a", "b")
+    hot = found.filter("hot is not null").select(F.col("hot").alias("group"), F.col("a").alias("row"), F.lit(1).alias("n"), *names)
+    if not hot.isEmpty():
+        links = links.unionByName(in_parts(hot, BUCKET_ROWS, BUCKET_ROWS, paired))
     # a row has one link for each of its buckets at most: what it links to is linked to the least of that instead
-    ends = dealt.mapInPandas(compared, "a long, b long").groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("ends"))
-    return ends.select("m", F.explode(F.array_append("ends", F.col("a"))).alias("a")).filter("a != m").select("a", F.col("m").alias("b")).distinct()
+    ends = links.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("ends"))
+    return ends.select("m", F.explode(F.array_append("ends", F.col("a"))).alias("a")).filter("a != m").select("a", F.col("m").alias("b")).unionByName(equal).distinct()
+
 
+def verified(rows: np.ndarray, sets: list[np.ndarray], similarity: float, label: np.ndarray, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that connect what pairs of ``sets`` with a Jaccard similarity of ``similarity`` and more connect.
 
-def verified(rows: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) that connect what pairs of ``sets`` with a Jaccard similarity of ``similarity`` and more connect."""
+    Rows of one ``label`` are connected already; pairs without a ``guest`` need no look.
+    """
     n, sizes = len(sets), np.array([len(s) for s in sets])
     ids, at = np.unique(np.concatenate(sets), return_inverse=True)
     edges, owner = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(n), sizes)
-    top, has = np.arange(n), np.zeros(len(ids), bool)
+    top, has = np.unique(label, return_inverse=True)[1], np.zeros(len(ids), bool)
     a, b = [], []
-    for i in range(n):
+    for i in np.flatnonzero(guest):
         if (top == top[i]).all():
             break
         mine = at[edges[i] : edges[i + 1]]
@@ -137,7 +243,7 @@ def near_groups(docs: DataFrame, row: str, text: str = "text", words: int = 5, s
     """(row, root): the rows of ``docs`` that links of ``similarity`` and more connect with another; root is the least of them.
 
     ``row`` is a long that no two rows share. Similarity is the Jaccard one of the sets of word shingles; texts without a word,
-    null ones too, are equal. SimHash only fetches: rows that share one of BLOCKS blocks and differ in MOST_BITS of
+    null ones too, are equal. SimHash only fetches: rows that share one of the keys and differ in MOST_BITS of
     the other bits at most come into one group, and inside a group every pair of rows that isn't connected yet is verified.
     """
 
@@ -149,21 +255,20 @@ def near_groups(docs: DataFrame, row: str, text: str = "text", words: int = 5, s
     shingled = over_texts("array<long>", lambda: lambda texts: [shingle_set(t, words).view(np.int64) for t in texts])
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = verified(pdf["row"].to_numpy(), [np.asarray(s, np.int64) for s in pdf["shingles"]], similarity)
+        sets = [np.asarray(s, np.int64) for s in pdf["shingles"]]
+        a, b = verified(pdf["row"].to_numpy(), sets, similarity, pdf["label"].to_numpy(), pdf["guest"].to_numpy(bool))
         return pd.DataFrame({"a": a, "b": b})
 
+    def with_sets(members: DataFrame) -> DataFrame:
+        members = members.withColumnRenamed("row", "_member")
+        members = F.broadcast(members) if few else members
+        texts = docs.select(F.col(row).alias("row"), whole(text).alias("_text")).join(members, F.col("row") == F.col("_member"))
+        return texts.withColumn("shingles", shingled("_text")).drop("_text", "_member")
+
     prints = cut(docs.select(F.col(row).alias("row"), printed(whole(text)).alias("p")).select("row", "p.fp", "p.n"))
     groups = components(candidates(prints.select("row", "fp")))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sized = cut(groups.join(prints.select("row", "n"), groups["node"] == F.col("row")).select("row", "root", "n"))
-    parts = F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count(F.lit(1)) / PART_TEXTS))
-    large = cut(sized.groupBy("root").agg(parts.cast("long").alias("parts")).filter("parts > 1"))
-    members = sized.join(small(large), "root", "left").select(F.col("row").alias("_member"), "root", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
-    members = members.withColumn("part", F.pmod(F.xxhash64("_member"), F.col("parts")))
-    members = F.broadcast(members) if sized.count() <= MOST_BROADCAST else members
-    texts = docs.select(F.col(row).alias("row"), whole(text).alias("text")).join(members, F.col("row") == F.col("_member"))
-    sets = texts.select("row", "root", "parts", "part", shingled("text").alias("shingles"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    meet = sets.select("row", "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "shingles")
-    found = components(meet.groupBy("root", "i", "j").applyInPandas(linked, "a long, b long"))
+    sized = cut(groups.join(prints.select("row", "n"), groups["node"] == F.col("row")).select("row", F.col("root").alias("group"), "n"))
+    few = sized.count() <= MOST_BROADCAST
+    found = components(in_parts(sized, PART_SHINGLES, PART_TEXTS, linked, with_sets))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias(row), "root")

@@ -40,6 +40,7 @@ def copies(rng, sizes=(60, 150, 400)):
 
 @pytest.mark.parametrize("small_parts", [False, True])
 def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, small_parts):
+    """Small parts: large groups and hot buckets are cut, and some of their rows aren't like the first one."""
     rng = random.Random(2)
     base, texts = words(rng, 200), copies(rng)
     for i in range(40):  # one group of many copies
@@ -47,6 +48,12 @@ def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, small_parts):
     texts += ["", None, " ", "a b", "A  b", "alone"]
     if small_parts:
         monkeypatch.setattr(near, "PART_TEXTS", 7)
+        monkeypatch.setattr(near, "BUCKET_ROWS", 5)
+        chain = words(rng, 120)
+        for i in range(0, 60, 3):  # each is like the next, the last isn't like the first
+            texts.append(" ".join(words(rng, i) + chain[i:]))
+            chain = texts[-1].split()
+        texts += [t.upper() for t in texts[-20:]]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {r["uid"]: r["root"] for r in near.near_groups(df, "uid").collect()}
     assert got == brute(texts)
@@ -69,6 +76,38 @@ def test_most_pairs_of_the_least_similarity_are_fetched():
     assert total > 50 and found >= 0.95 * total
 
 
+@pytest.mark.parametrize("more", [1, 2, 4])
+def test_longer_keys_of_larger_tables_fetch_as_many(more):
+    rng = random.Random(9)
+    nibbles = near.key_nibbles(near.CHANCE_ROWS << (12 + 4 * more))
+    assert nibbles.shape == (near.BLOCKS << more, 4 + more)
+    assert all(len(set(k)) == 4 + more for k in nibbles.tolist())
+    found = total = 0
+    while total < 60:
+        n = rng.choice((80, 200, 500))
+        base = words(rng, n)
+        other = base[: n - round(n * 0.105)] + words(rng, round(n * 0.105))
+        if not 0.8 <= jaccard(" ".join(base), " ".join(other)) < 0.84:
+            continue
+        keys = near.block_keys(np.stack([near.long_fingerprint(near.shingle_set(" ".join(x))) for x in (base, other)]), nibbles)
+        total += 1
+        found += bool((keys[0] == keys[1]).any())
+    assert found >= 0.95 * total
+
+
+def test_keys_tell_blocks_apart():
+    fp = np.zeros((1, near.BLOCKS // 4 + near.CHECK), np.uint64)
+    for n in (0, 1 << 30, 1 << 40):
+        nibbles = near.key_nibbles(n)
+        assert len(np.unique(near.block_keys(fp, nibbles))) == len(nibbles)
+
+
+def test_connected_rows_take_no_pairs():
+    n = 200_000
+    x, y = near.forest(np.zeros((n, 2), np.uint64), np.zeros(n, np.int64), 1)
+    assert len(x) == n - 1 and not y.any()
+
+
 def test_forest_connects_what_pairs_connect():
     rng = np.random.default_rng(3)
     for _ in range(50):
