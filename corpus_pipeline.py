@@ -7,15 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.llm import exact_dedup, near, packing, quality, repeats
-from phonoframe.llm.common import columns_of, cut, new_table, remove_table, small, whole, with_rows
+from phonoframe.llm.common import columns_of, cut, new_table, remove_table, settings, small, whole, with_rows
 
 #: Near duplicates: shingles of so many words, a Jaccard similarity of so much at least.
 WORDS, SIMILARITY = 5, 0.8
 
 
-def small_batches(spark: SparkSession) -> None:
-    """The pipeline's session gives Python few rows at once, so that executors hold few whole texts outside Spark's heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+#: Python gets few rows at once while stages are written, so that executors hold few whole texts outside Spark's heap.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -24,8 +23,10 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the rules learned from labels; a null text fails."""
-    small_batches(spark)
+    """Documents that pass the base rules and the rules learned from labels; a null text fails.
+
+    Each row is judged by its text alone: repeated rows, rows with one doc_id or none stay or go as their texts do. Without labels the base rules decide.
+    """
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, rules).filter("_quality.kept").drop("_quality")
 
@@ -35,7 +36,6 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text counts as empty.
     """
-    small_batches(spark)
     docs = with_rows(docs)
     texts = docs.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     rows = cut(texts.select("row", F.col("doc_id").alias("of"), F.unhex(F.sha2(whole(), 256)).alias("digest")))
@@ -51,7 +51,6 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without a word, null ones too, are equal.
     """
-    small_batches(spark)
     docs = with_rows(docs)
     groups = small(cut(near.near_groups(docs.select("row", F.col("doc.text").alias("text")), "row", words=WORDS, similarity=SIMILARITY)))
     named = cut(docs.select("row", F.col("doc.doc_id").alias("of")).join(groups, "row"))
@@ -64,7 +63,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null. Rows equal in key and text lose their whole text if it has 200 bytes.
     """
-    small_batches(spark)
     rest = F.struct(*(columns_of(docs, "doc_id", "text") or [F.lit(0).alias("_")])).alias("rest")
     done = repeats.remove_repeats(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), rest), "id", "body", as_text=True)
     less = F.col("n_removed") > 0
@@ -76,8 +74,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    small_batches(spark)
+    """The pieces of all documents and their places in sequences of 2048 tokens.
+
+    A null text counts as empty and gives one piece with the end's id alone; rows that repeat a doc_id, null too, give pieces each. Other columns go.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -99,7 +99,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             places.append(new_table(spark))
-            docs.write.parquet(places[-1])
+            with settings(spark, SMALL_BATCHES):
+                docs.write.parquet(places[-1])
             docs = spark.read.parquet(places[-1])
             if i:
                 remove_table(spark, places[-2])
