@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 from pyspark.sql.types import DataType
 
 from . import fuse
-from .common import TEXT_BYTES, columns_of, cut, each_salt, give_back, salt, salts_seen, slices, text_slices, whole
+from .common import TEXT_BYTES, columns_of, cut, each_salt, give_back, salt, salts_seen, slices, text_slices, with_rows
 
 THRESHOLD = 200
 #: Columns that the operator adds.
@@ -164,13 +164,11 @@ def _blocks(parts: list[tuple[int, int, bytes]], threshold: int) -> Blocks:
     return Blocks(text[of], first - starts[of] + base[of], size, _mix(ranks[a]), first, a, sums, joined)
 
 
-def row_key(docs: DataFrame, key: str, text: str) -> Column:
-    """The key where it is unique and not null, else a hash of key and text.
-
-    Rows equal in key and text then share what is found for them, which is the same for both.
-    """
-    odd = docs.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1))
-    return F.xxhash64(key, text) if docs.schema[key].dataType.typeName() != "long" or not odd.isEmpty() else F.col(key)
+def unique_longs(docs: DataFrame, key: str) -> bool:
+    """Whether the key is a long that is null nowhere and names one row each."""
+    if docs.schema[key].dataType.typeName() != "long":
+        return False
+    return docs.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).isEmpty()
 
 
 def _probe(salt: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -342,10 +340,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", thr
     ``kept`` is what is left of the text's UTF-8 bytes when every byte is removed that some ``threshold``-byte
     string covers which also starts anywhere else, in the same text or another. Matches never go
     over the end of a text; overlaps count. As a text ``kept`` lacks characters that a cut halves. n_spans counts the maximal removed runs. A null text
-    counts as empty. Equal rows count as different places. Columns of ``docs`` with the names of new ones are replaced.
+    counts as empty. Equal rows count as different places. Columns of ``docs`` with the names of new ones are replaced. A key that isn't a long, is null
+    or repeated doesn't name rows: these are stored then and named by file and place.
     """
-    uid = row_key(docs, key, text)
-    rows = docs.select(uid.alias("uid"), whole(text).alias("text"))
+    if unique_longs(docs, key):
+        named = docs.select(F.col(key).alias("_uid"), F.struct(*columns_of(docs, *NEW)).alias("_row"))
+    else:
+        stored = cut(docs.select(F.struct(*columns_of(docs, *NEW)).alias("doc")))
+        named = with_rows(stored).select(F.col("row").alias("_uid"), F.col("doc").alias("_row"))
+    rows = named.select(F.col("_uid").alias("uid"), F.coalesce(F.col("_row")[text], F.lit("")).alias("text"))
     spans = repeated_spans(rows, threshold).groupBy("uid").agg(F.collect_list("first").alias("_first"), F.collect_list("size").alias("_size"))
     returns = f"kept {'string' if as_text else 'binary'}, n_removed long, n_spans long"
     kind = to_arrow_type(DataType.fromDDL(returns))
@@ -360,8 +363,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", thr
             yield pa.concat_arrays(out) if out else pa.array([], kind)
             give_back()
 
-    carried = docs.select(uid.alias("_uid"), F.struct(*columns_of(docs, *NEW)).alias("_row"))
-    joined = carried.join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left")
+    joined = named.join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left")
     joined = joined.withColumn("_r", without(F.when(F.col("_first").isNotNull(), F.col("_row")[text]), F.col("_first"), F.col("_size")))
     left = F.coalesce(F.col("_row")[text], F.lit(""))
     return joined.select(

@@ -191,6 +191,16 @@ def test_repeats_without_rows_and_with_equal_keys(spark):
     assert sorted((r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(df).collect()) == [(5, 0), (10, 0), (300, 300), (300, 300)]
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_repeats_know_rows_by_place_where_keys_dont(spark, kind):
+    texts = [*repeated_texts(8)[:20], None, "", "tail " * 90, "tail " * 90]
+    keys = [None if i % 5 == 0 else i % 7 for i in range(len(texts))]
+    df = spark.createDataFrame([(None if k is None else str(k) if kind == "string" else k, t, i, b"x") for i, (k, t) in enumerate(zip(keys, texts, strict=True))], f"doc_id {kind}, text string, row int, kept binary")
+    got = repeats.remove_repeats(df).collect()
+    assert {r["row"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got} == brute_repeats(texts)
+    assert len(got) == len(texts) and all(r["doc_id"] == (None if keys[r["row"]] is None else (str if kind == "string" else int)(keys[r["row"]])) for r in got)
+
+
 @pytest.mark.parametrize("weak", ["anchors", "all"])
 def test_repeats_when_hashes_collide(spark, monkeypatch, weak):
     """Only digests and ranks decide: with hashes of a few values the result is the same."""

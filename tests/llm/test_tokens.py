@@ -41,6 +41,15 @@ def test_packing_refuses_ids_out_of_order():
         packing.Encoder(json.dumps(spec).encode())
 
 
+def test_packing_leaves_tokens_that_no_merge_makes_to_the_library():
+    spec = json.loads(bpe.vocabulary_source(PATH))
+    spec["model"]["vocab"]["qzqzqz"] = max(spec["model"]["vocab"].values()) + 1
+    source = json.dumps(spec)
+    encoder, own = packing.Encoder(source.encode()), Tokenizer.from_str(source)
+    for text in ("qzqzqz", "a qzqzqz, qzqzqzqzqz", *odd(50)):
+        assert encoder.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_a_worker_holds_one_operators_memory(monkeypatch):
     monkeypatch.setattr(bpe, "_LOADED", {})
     a = bpe.once(("counts", "held"), dict)
