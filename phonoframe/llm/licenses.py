@@ -194,6 +194,28 @@ class Scanner:
                     yield self.names[i], a, min(a + size, len(s))
 
 
+#: Bytes of templates that may go to every task.
+MOST_TEMPLATES = 8 << 20
+
+
+def templates_from(table: DataFrame, name: str = "license", text: str = "text") -> dict[str, str]:
+    """The templates of a caller's table, for ``scan_licenses``: every row is one, several of a license are named license, license#2 and so on, by their texts' order.
+
+    Rows without a name or a word are refused, as nothing could be found by them; repeated rows count once. Their size is asked for before they are read.
+    """
+    rows = table.select(F.col(name).alias("name"), F.col(text).alias("text")).distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_TEMPLATES:
+        raise ValueError(f"templates of {size} bytes in all can't go to every task")
+    out: dict[str, str] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["name"] or "", r["text"] or "")):
+        if not r["name"] or not words_of(r["text"] or ""):
+            raise ValueError(f"a template needs a name and words: {r['name']}")
+        k = 1 + sum(n == r["name"] or n.startswith(r["name"] + "#") for n in out)
+        out[r["name"] if k == 1 else f"{r['name']}#{k}"] = r["text"]
+    return out
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """(key, license, place, first_word, n_words, containment): every place of every row that holds a template.
 
@@ -205,7 +227,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     with the code.
     """
     templates = TEMPLATES if templates is None else templates
-    if sum(map(len, templates.values())) > 8 << 20:
+    if sum(map(len, templates.values())) > MOST_TEMPLATES:
         raise ValueError("templates of over 8 MB in all can't go to every task")
     shared = docs.sparkSession.sparkContext.broadcast(templates)
 

@@ -29,7 +29,7 @@ class Rule:
     anywhere: bool = False
 
     def __post_init__(self):
-        plain = re.sub(r"\\(.)", r"\1", re.sub(r"\[[^\]]*\]", " ", self.pattern))
+        plain = re.sub(r"\\(.)", r"\1", re.sub(r"\[[^\]]*\]|\\b", " ", self.pattern))
         for t in self.tokens:
             if not re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", plain.lower()):
                 raise ValueError(f"rule {self.name}: {t} is no literal token of {self.pattern}")
@@ -62,6 +62,46 @@ PATTERN_RULES = (
 )
 
 
+#: Rules of a list that the driver holds; judging keeps an index of them, which is small beside any crawl.
+MOST_RULES = 1_000_000
+
+
+def rules_from(lists: DataFrame) -> tuple[tuple[Rule, ...], tuple[Rule, ...]]:
+    """(host rules, pattern rules) of a caller's table (host, path, pattern, verdict), for ``judge_urls``.
+
+    A row with a host is a rule for it and its subdomains and for how paths start (null or empty: with /); one with a pattern, which is a regular expression over the
+    lower-cased URL, blocks what it is found in. A pattern's literal tokens are the runs of a-z and 0-9 that every match must have, found in patterns without
+    groups, classes, choices and repetitions; a pattern without one is tried on every URL. Repeated rows count once; of host rules that differ in the verdict alone, and rows with neither
+    or with another verdict than allow and block, the list is refused. Hosts are lower-cased. Rules are ordered by what they say, so that the list's order doesn't matter.
+    """
+    rows = lists.select("host", "path", "pattern", "verdict").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
+    hosts: dict[tuple[str, str], str] = {}
+    patterns = set()
+    for r in rows:
+        if bool(r["host"]) == bool(r["pattern"]) or r["verdict"] not in ("allow", "block") or (r["pattern"] and r["verdict"] != "block"):
+            raise ValueError(f"no rule: {r}")
+        if r["pattern"]:
+            patterns.add(r["pattern"])
+        elif hosts.setdefault((r["host"].lower(), r["path"] or "/"), r["verdict"]) != r["verdict"]:
+            raise ValueError(f"two verdicts: {r}")
+    found = tuple(Rule.of_host(h, p, v) for (h, p), v in sorted(hosts.items()))
+    return found, tuple(Rule(p, "block", p, literal_tokens(p), True) for p in sorted(patterns))
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The tokens that every match of a pattern has as tokens of the URL; fewer where that isn't plain to see.
+
+    Only patterns of literal letters, digits, escaped punctuation and such punctuation as means itself are looked into, with ``\\b`` or the ends of the URL beside a token.
+    """
+    if not re.fullmatch(r"(?:\^|\\b)?(?:[a-z0-9/:_=&%~-]|\\[^A-Za-z0-9])+(?:\$|\\b)?", pattern):
+        return ()
+    plain = re.sub(r"\\([^A-Za-z0-9])", r"\1", re.sub(r"^(\^|\\b)|(\$|\\b)$", " ", pattern))
+    # a run at an open end may be a part of a longer token
+    return tuple(dict.fromkeys(re.findall(r"(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])", plain)))
+
+
 def host(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty without one."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
@@ -82,8 +122,13 @@ def rule_index(spark: SparkSession, rules: list[tuple[int, Rule]], urls: DataFra
     that rules have.
     """
     described = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.anywhere, t) for i, r in rules for t in r.tokens], "id int, name string, verdict string, pattern string, anywhere boolean, token string")
-    wanted = F.array(*[F.lit(t) for t in sorted({t for _, r in rules for t in r.tokens})])
-    counts = urls.select(F.explode(F.array_intersect("tokens", wanted)).alias("token")).groupBy("token").count()
+    wanted = sorted({t for _, r in rules for t in r.tokens})
+    if len(wanted) <= CONSTANT_RULES:
+        each = urls.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, wanted)))).alias("token"))
+    else:
+        listed = described.select("token").distinct()
+        each = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(listed) if len(wanted) <= MOST_SENT else listed, "token", "left_semi")
+    counts = each.groupBy("token").count()
     rarest = W.Window.partitionBy("id").orderBy(F.coalesce("count", F.lit(0)), "token")
     placed = described.join(counts, "token", "left").withColumn("place", F.row_number().over(rarest)).filter("place = 1")
     return placed.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "name", "verdict", "pattern", "anywhere"))).alias("rules"))
@@ -91,6 +136,8 @@ def rule_index(spark: SparkSession, rules: list[tuple[int, Rule]], urls: DataFra
 
 #: Up to so many rules, patterns are constants of the plan, compiled once; more are read from the index.
 CONSTANT_RULES = 200
+#: Up to so many rules or tokens of rules, lists of them are sent to all tasks; more are joined.
+MOST_SENT = 100_000
 
 
 def _fits(rules: tuple[Rule, ...], place: Column, lowered: Column) -> Column:
@@ -116,7 +163,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", host_ru
     first_pattern = len(host_rules)
     urls = pages.select(F.coalesce(url, F.lit("")).alias("url")).distinct().withColumn("tokens", tokens(F.col("url")))
     index = rule_index(spark, [x for x in enumerate(rules) if x[1].tokens], urls)
-    index = F.broadcast(index) if len(rules) <= 100_000 else index
+    index = F.broadcast(index) if len(rules) <= MOST_SENT else index
     found = urls.select("url", F.explode("tokens").alias("token")).join(index, "token").select("url", F.explode("rules").alias("r"))
     always = [(i, r) for i, r in enumerate(rules) if not r.tokens]
     if always:

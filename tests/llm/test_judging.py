@@ -196,6 +196,56 @@ def test_a_rule_without_tokens_is_always_tried(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+LISTS = "host string, path string, pattern string, verdict string"
+
+
+@pytest.mark.parametrize("constants", [0, 200])
+def test_rules_of_a_callers_table(spark, monkeypatch, constants):
+    monkeypatch.setattr(urls, "CONSTANT_RULES", constants)
+    rows = [("Example.com", "/en/", None, "block"), ("example.com", "/en/", None, "block"), ("www.example.com", "/en/", "", "allow"), ("org", None, None, "block")]
+    rows += [(None, None, r"\bfree-bets\b", "block"), ("", None, "x[0-9]+y", "block"), *[(f"h{i}.net", "/p", None, "block") for i in range(250)]]
+    hosts, patterns = urls.rules_from(spark.createDataFrame(rows, LISTS))
+    assert len(hosts) == 253 and [r.tokens for r in patterns] == [("free", "bets"), ()]
+    seen = {"http://a.example.com/en/x": "block", "http://www.example.com/en/": "allow", "http://h7.net/pq": "block", "http://h7.net/q": "allow", "http://b.org/": "block", "http://c.io/free-bets": "block", "http://c.io/free-betsy": "allow", "http://c.io/x12y": "block"}
+    df = spark.createDataFrame(list(enumerate(seen)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, host_rules=hosts, pattern_rules=patterns).collect()}
+    assert got == dict(enumerate(seen.values()))
+
+
+@pytest.mark.parametrize("row", [(None, None, None, "block"), ("a.com", "/", "x", "block"), ("a.com", "/", None, "deny"), (None, None, "x", "allow")])
+def test_rows_that_are_no_rule_are_refused(spark, row):
+    with pytest.raises(ValueError, match="no rule"):
+        urls.rules_from(spark.createDataFrame([row], LISTS))
+
+
+def test_every_match_has_the_tokens_of_its_pattern():
+    rng = random.Random(3)
+    part = lambda k: "".join(rng.choices(["a", "b", "1", "-", "/", "_", r"\.", r"\b", "^", "$", "[ab]", "a+", "|"], [6, 6, 3, 3, 3, 1, 2, 1, 1, 1, 1, 1, 1], k=k))
+    some = 0
+    for _ in range(100_000):
+        pattern, url = part(rng.randint(1, 5)), "".join(rng.choices("ab1-/_.", k=rng.randint(0, 12)))
+        tokens = urls.literal_tokens(pattern)
+        if tokens and re.search(pattern, url):
+            some += 1
+            assert set(tokens) <= set(re.findall("[a-z0-9]+", url)), (pattern, url)
+    assert some > 20
+
+
+def test_templates_of_a_callers_table(spark, monkeypatch):
+    rows = [("own", "one two three four five six seven"), ("own", "you may look at this text and at nothing else"), ("own", "one two three four five six seven"), ("b", "a b c d e f g h i")]
+    table = spark.createDataFrame(rows, "license string, text string")
+    templates = licenses.templates_from(table)
+    assert templates == {"b": rows[3][1], "own": rows[0][1], "own#2": rows[1][1]}
+    docs = spark.createDataFrame([(1, "x " + rows[1][1] + " y"), (2, "x")], DOCS)
+    assert [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, templates).collect()] == [(1, "own#2")]
+    for bad in [(None, "a b"), ("c", None), ("c", " ! ")]:
+        with pytest.raises(ValueError, match="name and words"):
+            licenses.templates_from(spark.createDataFrame([bad], "license string, text string"))
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 10)
+    with pytest.raises(ValueError, match="every task"):
+        licenses.templates_from(table)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, name):
     c = duckdb.connect()

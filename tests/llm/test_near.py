@@ -95,6 +95,12 @@ def test_longer_keys_of_larger_tables_fetch_as_many(more):
     assert found >= 0.95 * total
 
 
+def test_rows_that_share_a_key_by_chance_stay_few():
+    for power in range(8, 38):
+        keys, width = near.key_nibbles(1 << power).shape
+        assert (1 << power) >> (4 * width) < near.CHANCE_ROWS and keys <= 16 * near.BLOCKS
+
+
 def test_keys_tell_blocks_apart():
     fp = np.zeros((1, near.BLOCKS // 4 + near.CHECK), np.uint64)
     for n in (0, 1 << 30, 1 << 40):
