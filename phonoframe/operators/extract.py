@@ -5,18 +5,24 @@ A page's cells are rows (page_id, table_idx, row_idx, col_idx, tag, text, href).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Characters that show a phonetic transcription, and what headers say.
 IPA_CLASS = r"[\x{190}-\x{1FF}\x{250}-\x{2FF}\x{300}-\x{36F}\x{1D00}-\x{1DBF}\x{2070}-\x{209F}]"
 ENTRY_HEADERS = ["entry", "#", "no.", "no"]
 RECORDING_TYPES = "word-list|sentence|story|conversation|narrative"
+#: Pages go to Python in pieces of so many characters, as Spark's batches are of a number of rows, whatever these weigh.
+PIECE = 1024
+#: A task holds so many rows of pieces as strings at once, and about so many characters of what it found.
+PIECES_AT_ONCE, FOUND_AT_ONCE = 1000, 1 << 20
 
 
 class _Walk(HTMLParser):
@@ -80,39 +86,62 @@ def _walked(html: str | None) -> _Walk:
     return w
 
 
-def markup_errors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, error) of the pages whose markup ends the parser early; what comes before that is in ``cells`` and ``links``."""
+def _pieces(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, _pos, _piece): the pieces of each page, one after the other; pages without a character have none."""
+    return pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("_pos", "_piece"))
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            found = [(k, e) for k, h in zip(pdf[key], pdf[html], strict=True) if (e := _walked(h).error)]
-            yield pd.DataFrame(found, columns=[key, "error"])
 
-    return pages.select(key, html).mapInPandas(walk, f"{key} {pages.schema[key].dataType.simpleString()}, error string")
+def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str]]:
+    """The key and markup of each page; one page is held at a time."""
+    key, held = None, []
+    for batch in parts:
+        for start in range(0, batch.num_rows, PIECES_AT_ONCE):
+            for k, pos, piece in zip(*[c.to_pylist() for c in batch.slice(start, PIECES_AT_ONCE).columns], strict=True):
+                if pos == 0 and held:
+                    yield key, "".join(held)
+                    held = []
+                key = k
+                held.append(piece)
+    if held:
+        yield key, "".join(held)
 
 
-def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, table_idx, row_idx, col_idx, tag, text, href); a page without tables has no row."""
+def _found(pages: DataFrame, key: str, html: str, columns: str, found: Callable[[_Walk], list[tuple]]) -> DataFrame:
+    """(key, ``columns``): what ``found`` takes from the walk over each page."""
+    schema = f"{key} {pages.schema[key].dataType.simpleString()}, {columns}"
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(k, *c[:4], "".join(c[4]), c[5]) for k, h in zip(pdf[key], pdf[html], strict=True) for c in _walked(h).cells]
-            yield pd.DataFrame(rows, columns=[key, "table_idx", "row_idx", "col_idx", "tag", "text", "href"])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(walk, f"{key} {kind}, table_idx int, row_idx int, col_idx int, tag string, text string, href string")
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for k, markup in _whole(parts):
+            for row in found(_walked(markup)):
+                rows.append((k, *row))
+                held += 64 + sum(len(x) for x in row if isinstance(x, str))
+                if held > FOUND_AT_ONCE:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
+    return _pieces(pages, key, html).mapInArrow(walk, schema)
 
-def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, href, text) of every link in document order."""
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(k, c[0], c[1], "".join(c[2])) for k, h in zip(pdf[key], pdf[html], strict=True) for c in _walked(h).links]
-            yield pd.DataFrame(rows, columns=[key, "pos", "href", "text"])
+def markup_errors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, error) of the pages whose markup ends the parser early; what comes before that is in ``cells`` and ``links``."""
+    return _found(pages, key, html, "error string", lambda w: [(w.error,)] if w.error else [])
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(walk, f"{key} {kind}, pos int, href string, text string")
+
+def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, table_idx, row_idx, col_idx, tag, text, href); a page without tables has no row."""
+    return _found(pages, key, html, "table_idx int, row_idx int, col_idx int, tag string, text string, href string", lambda w: [(*c[:4], "".join(c[4]), c[5]) for c in w.cells])
+
+
+def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, pos, href, text) of every link in document order."""
+    return _found(pages, key, html, "pos int, href string, text string", lambda w: [(c[0], c[1], "".join(c[2])) for c in w.links])
 
 
 def language_index(found: DataFrame, base: str, key: str = "page_id") -> DataFrame:

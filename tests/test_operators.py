@@ -420,3 +420,14 @@ def test_g7_sketches_of_batches(spark):
         assert one[lang]["tokens"] == tokens and abs(one[lang]["unique_tokens"] - unique) <= 0.02 * unique
         assert one[lang]["unique_tokens"] == pytest.approx(two[lang]["unique_tokens"], rel=0.01)
     assert (one["NO"]["entries"], one["NO"]["tokens"], one["NO"]["unique_tokens"]) == (2, 0, 0)
+
+
+def test_pages_reach_python_in_pieces(spark):
+    """A batch of rows has a bounded size whatever pages weigh; keys may be repeated, characters beyond 16 bits stay whole."""
+    table = lambda text, n: "<table><tr><td>1</td><td>" + text * n + "</td></tr></table>"
+    df = spark.createDataFrame([(1, table("\U0001d11e x\n", 3000)), (1, table("a", 10)), (2, None), (3, ""), (4, "<a href='u'>" + "y " * 4000 + "</a>")], "page_id long, html string").coalesce(1)
+    sizes = extract._pieces(df, "page_id", "html").select(F.max(F.length("_piece")).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    assert sizes["most"] == extract.PIECE and sizes["n"] > 15
+    got = [(r["page_id"], r["col_idx"], r["text"]) for r in extract.cells(df).collect()]
+    assert got == [(1, 0, "1"), (1, 1, ("\U0001d11e x\n" * 3000).strip()), (1, 0, "1"), (1, 1, "a" * 10)]
+    assert [r["text"] for r in extract.links(df).collect()] == [("y " * 4000).strip()]
