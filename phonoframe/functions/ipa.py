@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,9 @@ REPLACED_FROM, REPLACED_TO = "g:'͜", "ɡːˈ͡"
 _MARKS = r"[\p{M}&&[^͜͡]]*"
 _MODIFIERS = r"[ʰ-ˇˉ-ˋˍ-ˏ˒-˿]*"
 TOKEN = rf"(?U)[\p{{L}}\p{{So}}\p{{Nd}}]{_MARKS}(?:[͜͡][\p{{L}}\p{{So}}]{_MARKS})*{_MODIFIERS}|[ˈˌ]|[ːˑ]|[.]|\p{{M}}+|\S"
+#: A token of several characters: a base with what follows it, or marks alone.
+SEVERAL = rf"(?U)[\p{{L}}\p{{So}}\p{{Nd}}](?=[\p{{M}}ʰ-ˇˉ-ˋˍ-ˏ˒-˿]){_MARKS}(?:[͜͡][\p{{L}}\p{{So}}]{_MARKS})*{_MODIFIERS}|\p{{M}}{{2,}}"
+WORD_END = r"(?U)\s+"
 
 # Sounds by class.
 VOWELS = "i y ɨ ʉ ɯ u ɪ ʏ ʊ e ø ɘ ɵ ɤ o ə ɛ œ ɜ ɞ ʌ ɔ æ ɐ a ɶ ɑ ɒ".split()
@@ -59,11 +63,27 @@ def _named(*parts: str, start: bool = False, mark: bool = False) -> str:
 TONE, TONE_MARK, TILDE = _named("TONE"), _named("TONE", mark=True), _named("COMBINING TILDE", start=True)
 
 
-@F.pandas_udf(T.StringType())
-def nfd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Bytes of text, about, that a task holds as Python strings at once; one text at least.
+TEXT_BYTES = 1 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about TEXT_BYTES."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and held + n > TEXT_BYTES:
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield texts.slice(start)
+
+
+@F.arrow_udf(T.StringType())
+def nfd(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode canonical decomposition; Spark has no function for it."""
     for texts in parts:
-        yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+        done = [pa.array([None if t is None else unicodedata.normalize("NFD", t) for t in some.to_pylist()], pa.string()) for some in _slices(texts)]
+        yield pa.concat_arrays(done)
 
 
 def decomposed(text: Column) -> Column:
@@ -71,6 +91,13 @@ def decomposed(text: Column) -> Column:
     return F.coalesce(nfd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+def _replaced(text: Column, old: str, new: str) -> Column:
+    """Each character of ``old`` as that of ``new``, or as nothing; one search for each of a few is faster than ``translate``, which looks up every character of a text."""
+    for i, c in enumerate(old):
+        text = F.replace(text, F.lit(c), F.lit(new[i : i + 1]))
+    return text
+
+
 #: White space as Unicode has it.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -81,7 +108,7 @@ def strip(text: Column) -> Column:
 
 def normalize_ipa(text: Column) -> Column:
     """Delete brackets and slashes, decompose, replace look-alikes, strip."""
-    return strip(F.translate(decomposed(F.translate(text, STRIPPED, "")), REPLACED_FROM, REPLACED_TO))
+    return strip(_replaced(decomposed(_replaced(text, STRIPPED, "")), REPLACED_FROM, REPLACED_TO))
 
 
 def tokenize(text: Column, normalize: bool = True) -> Column:
@@ -89,6 +116,12 @@ def tokenize(text: Column, normalize: bool = True) -> Column:
     return F.regexp_extract_all(normalize_ipa(text) if normalize else text, F.lit(TOKEN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without a list of them; null for null. Tokens of several characters become one, all others are one."""
+    one = F.regexp_replace(normalize_ipa(text), SEVERAL, "x")
+    return F.length(F.regexp_replace(one, WORD_END, ""))
+
+
 def join_phones(phones: Column) -> Column:
     """White-space separated phones in one string."""
     return F.regexp_replace(F.coalesce(phones, F.lit("")), r"(?U)\s+", "")

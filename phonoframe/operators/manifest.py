@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions import ipa
 from ..sources import sinks
-from . import filters, splits, vocab
+from . import filters, splits, stats, vocab
 
 
 def export(entries: DataFrame, recordings: DataFrame, languages: DataFrame, segments: DataFrame, language: str | None = None) -> DataFrame:
@@ -68,9 +68,8 @@ def combined_corpus(first: DataFrame, second: DataFrame, min_count: int = 2) ->
     The vocabulary is that of all texts and speakers together, and so are the speakers' numbers.
     """
     both = combine(first, second)
-    tokens = both.select(F.explode(ipa.tokenize(F.col("text"))).alias("token"))
     codes = both.select(F.upper("speaker_name").alias("code"))
-    return both, vocab.build_vocabulary(vocab.token_frequency(tokens), codes, min_count), vocab.speaker_map(codes)
+    return both, vocab.build_vocabulary(stats.token_counts(both, text="text"), codes, min_count), vocab.speaker_map(codes)
 
 
 def combine(first: DataFrame, second: DataFrame) -> DataFrame:

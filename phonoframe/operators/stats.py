@@ -15,9 +15,15 @@ def token_table(entries: DataFrame, *keep: str, text: str = "ipa") -> DataFrame:
     return entries.select(*keep, F.explode(ipa.tokenize(F.col(text))).alias("token"))
 
 
+def token_counts(entries: DataFrame, *keep: str, text: str = "ipa") -> DataFrame:
+    """(``keep`` columns, token, count): as ``token_table``, counted. No token goes beyond white space, so that words are counted first and each distinct one is split to tokens once."""
+    words = entries.select(*keep, F.explode(F.split(F.col(text), ipa.WORD_END)).alias("_word")).filter("_word <> ''").groupBy(*keep, "_word").agg(F.count(F.lit(1)).alias("_n"))
+    return words.select(*keep, "_n", F.explode(ipa.tokenize(F.col("_word"))).alias("token")).groupBy(*keep, "token").agg(F.sum("_n").alias("count"))
+
+
 def language_tokens(entries: DataFrame) -> DataFrame:
     """(language_code, token, count): the table that every report starts from; distinct tokens are few."""
-    return token_table(entries, "language_code").groupBy("language_code", "token").agg(F.count(F.lit(1)).alias("count"))
+    return token_counts(entries, "language_code")
 
 
 def token_totals(by_language: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def hapax(totals: DataFrame) -> DataFrame:
 
 def length_histogram(entries: DataFrame, shown: int = 20) -> DataFrame:
     """(bucket, count, pct): the least observed lengths, and one bucket for all over ``shown``, if there are any."""
-    lengths = entries.select(F.size(ipa.tokenize(F.col("ipa"))).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("count"))
+    lengths = entries.select(ipa.token_count(F.col("ipa")).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("count"))
     total = F.broadcast(lengths.agg(F.sum("count").alias("_all")))
     least = lengths.orderBy("length").limit(shown).select(F.col("length").cast("string").alias("bucket"), "count")
     longer = lengths.filter(F.col("length") > shown).agg(F.sum("count").alias("count")).filter("count is not null").select(F.lit(f"{shown + 1}+").alias("bucket"), "count")
@@ -83,11 +89,10 @@ def language_sketches(entries: DataFrame, *keep: str, lg_registers: int = 12) ->
     A batch of a growing corpus is added by a union with what is kept of the ones before, see ``merged_sketches``; texts aren't read again. A sketch has a few
     kilobytes, whatever its tokens are.
     """
-    rows = entries.select(*keep, "language_code", ipa.tokenize(F.col("ipa")).alias("_t"))
-    per = rows.groupBy(*keep, "language_code").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.greatest(F.size("_t"), F.lit(0))).cast("long").alias("tokens"))
-    each = rows.select(*keep, "language_code", F.explode("_t").alias("token")).groupBy(*keep, "language_code").agg(F.hll_sketch_agg("token", lg_registers).alias("sketch"))
+    per = entries.groupBy(*keep, "language_code").agg(F.count(F.lit(1)).alias("entries"))
+    each = token_counts(entries, *keep, "language_code").groupBy(*keep, "language_code").agg(F.sum("count").alias("tokens"), F.hll_sketch_agg("token", lg_registers).alias("sketch"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keep, "language_code"]]
-    return per.alias("a").join(each.alias("b"), same, "left").select("a.*", "b.sketch")
+    return per.alias("a").join(each.alias("b"), same, "left").select("a.*", F.coalesce("b.tokens", F.lit(0).cast("long")).alias("tokens"), "b.sketch")
 
 
 def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:

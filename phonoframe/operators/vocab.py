@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources import sinks
+
 #: The special tokens with ids 0 to 5.
 SPECIALS = ["<pad>", "<sos>", "<eos>", "<unk>", "<blank>", "<sil>"]
 UNKNOWN_ID = SPECIALS.index("<unk>")
@@ -28,11 +30,11 @@ def token_frequency(tokens: DataFrame) -> DataFrame:
 def build_vocabulary(frequency: DataFrame, codes: DataFrame, min_count: int = 2) -> DataFrame:
     """(id, token, kind): specials, phonemes by falling count then token, sorted language codes.
 
-    ``frequency`` is (token, count) and ``codes`` (code); both are aggregates, so the rankings are small.
+    ``frequency`` is (token, count) and ``codes`` (code); both are aggregates, so the rankings are small. What is kept of the first is stored, as it is read twice.
     """
     spark = frequency.sparkSession
     specials = spark.createDataFrame([(i, t, "special") for i, t in enumerate(SPECIALS)], "id long, token string, kind string")
-    kept = frequency.filter(F.col("count") >= min_count)
+    kept = sinks.stored(frequency.filter(F.col("count") >= min_count))
     phonemes = kept.select((F.row_number().over(W.Window.orderBy(F.desc("count"), "token")) + len(SPECIALS) - 1).cast("long").alias("id"), "token", F.lit("phoneme").alias("kind"))
     n = phonemes.agg(F.count(F.lit(1)).alias("n"))
     langs = codes.select(F.col("code").alias("token")).distinct()

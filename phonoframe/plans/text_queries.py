@@ -167,7 +167,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("v1_token_frequency", b.TOTALS)
 def v1(spark, sf):
-    return vocab.token_frequency(stats.token_table(b.texts(spark, sf)))
+    return stats.token_counts(b.texts(spark, sf))
 
 
 @query("v2_vocabulary", VOCABULARY)
@@ -182,7 +182,7 @@ def v3(spark, sf):
 
 @query("v3_top_tokens", f"select token, count, 100.0 * count / (select sum(count) from ({b.TOTALS})) as pct from ({b.TOTALS}) order by count desc, token limit 20")
 def v3_top(spark, sf):
-    return stats.top_tokens(totals(spark, sf), 20).select("token", "count", "pct")
+    return stats.top_tokens(sinks.stored(totals(spark, sf)), 20).select("token", "count", "pct")
 
 
 #: A vocabulary of documents applied to the benchmark's texts: some of their tokens are unknown to it.
@@ -195,19 +195,20 @@ def _items(spark, sf):
     return b.table(spark, sf, "benchmark").select("item_id", ipa.tokenize(F.col("text")).alias("tokens"))
 
 
-def _thinned(spark, sf):
-    return vocabulary(spark, sf).filter("id % 4 <> 1 or id < 6")
+def _thinned(vocabulary):
+    return vocabulary.filter("id % 4 <> 1 or id < 6")
 
 
 @query("v4_encode", f"select item_id, array_to_string(ids, ' ') as ids from ({SQL_ENCODED})")
 def v4(spark, sf):
-    return vocab.encode(_items(spark, sf), _thinned(spark, sf), "item_id").select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return vocab.encode(_items(spark, sf), _thinned(vocabulary(spark, sf)), "item_id").select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("v5_decode", f"select item_id, string_agg(coalesce(v.token, '<unk>'), ' ' order by pos) as tokens from (select item_id, unnest(ids) as id, unnest(range(len(ids))) as pos from ({SQL_ENCODED})) x left join ({VOCABULARY}) v on v.id = x.id group by item_id")
 def v5(spark, sf):
-    coded = vocab.encode(_items(spark, sf), _thinned(spark, sf), "item_id")
-    return vocab.decode(coded, vocabulary(spark, sf), "item_id").select("item_id", F.array_join("tokens", " ").alias("tokens"))
+    v = sinks.stored(vocabulary(spark, sf))
+    coded = vocab.encode(_items(spark, sf), _thinned(v), "item_id")
+    return vocab.decode(coded, v, "item_id").select("item_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("v6_speaker_map", f"select code as speaker, row_number() over (order by code) - 1 as speaker_id from ({CODES})")
@@ -237,13 +238,13 @@ def g2(spark, sf):
 
 @query("g3_top_tokens", f"select token, count, 100.0 * count / {ALL} as pct, {SQL_COARSE} as category, {SQL_POINTS.format(p=chr(39) + 'U+' + chr(39), s=' ')} as code_points from ({b.TOTALS}) order by count desc, token limit 50")
 def g3(spark, sf):
-    return stats.top_tokens(totals(spark, sf))
+    return stats.top_tokens(sinks.stored(totals(spark, sf)))
 
 
 @query("g4_rare_tokens", f"select token, count, {SQL_POINTS.format(p=chr(39) + 'U+' + chr(39), s=' ')} as code_points, (select count(*) from ({b.TOTALS}) where count <= 1000) as rare_total from ({b.TOTALS}) where count <= 1000 order by count, token limit 50")
 def g4(spark, sf):
     """These texts have few tokens, so that rare means up to 1,000 here."""
-    return stats.rare_tokens(totals(spark, sf), 1000)
+    return stats.rare_tokens(sinks.stored(totals(spark, sf)), 1000)
 
 
 @query("g5_hapax", f"select count(*) filter (count = 1) as hapax, count(*) filter (count <= 10) as up_to_10 from ({b.TOTALS})")
@@ -296,7 +297,7 @@ RANKED = f"select *, row_number() over (partition by cat, subcat order by count
   select cat, subcat, place::int as place, token, count, 100.0 * count / {ALL} as pct, {SQL_NOTES} as notes from ({NOTED} ({RANKED})) where place <= 10
   union all select cat, subcat, 11, '...', null, null, '+' || count(*) || ' more tokens' from ({RANKED}) where place > 10 group by 1, 2""")
 def g9(spark, sf):
-    return stats.category_inventory(totals(spark, sf), 10)
+    return stats.category_inventory(sinks.stored(totals(spark, sf)), 10)
 
 
 @query("g10_under_represented", f"select cat, subcat, count(*) as unique_tokens, sum(count)::bigint as count, case when sum(count) < 100 then 'Unlikely to work correctly' when sum(count) < 500 then 'May produce inconsistent results' else 'Usable with caution' end as recommendation from ({CLASSIFIED}) group by 1, 2 having sum(count) < 1000000 and cat not in ('boundary', 'other', 'modifier')")

@@ -1,11 +1,14 @@
+import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from phonoframe.functions import ipa
+from phonoframe.operators import stats
 
 
 def one(spark, value, f, kind="string"):
@@ -67,3 +70,34 @@ def test_n1_white_space_inside_takes_linear_time(spark):
     inside = "a" + " " * 500_000 + "b"
     assert one(spark, "\u2003\xa0\n" + inside + "\u3000\x85 ", ipa.strip) == inside
     assert one(spark, "\u200b\x1cx\x1f", ipa.strip) == "\u200b\x1cx\x1f"
+
+
+ODD = "abgzé:'\u0303\u0300\u035c\u0361ːˈˌʰʷ˞.[]/() \t\u00a0\u2000\u3000-1٣ñ한ɐ◌©\n\u1e8d\u0345"
+
+
+def odd_texts(n):
+    rng = random.Random(3)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 25))) for _ in range(n)] + [None, "", " ", "\u0303", "a" * 5000]
+
+
+def test_tokens_are_counted_without_a_list(spark):
+    df = spark.createDataFrame([(t,) for t in odd_texts(2000)], "t string")
+    assert df.filter(~ipa.token_count(F.col("t")).eqNullSafe(F.size(ipa.tokenize(F.col("t"))))).count() == 0
+
+
+def test_words_are_counted_before_tokens(spark):
+    """Equal to a count of each token, and each distinct word meets the token grammar once."""
+    df = spark.createDataFrame([(f"L{i % 3}", t) for i, t in enumerate(odd_texts(2000))], "language_code string, ipa string")
+    want = stats.token_table(df, "language_code").groupBy("language_code", "token").agg(F.count(F.lit(1)).alias("count"))
+    got = stats.language_tokens(df)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("_word")  # plans are written from the top
+
+
+def test_decomposition_works_on_slices(monkeypatch):
+    """A batch of long texts isn't held as Python strings at once."""
+    monkeypatch.setattr(ipa, "TEXT_BYTES", 100)
+    texts = pa.array(["é" * 60, None, "", "a", "b" * 90, "c" * 300])
+    some = list(ipa._slices(texts))
+    assert pa.concat_arrays(some).equals(texts) and [len(s) for s in some] == [1, 4, 1]
