@@ -59,6 +59,13 @@ def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return found.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """(name string, content) of the small files that ``sinks.write_packs`` put into few."""
+    each = whole_files(spark, path, "*.txt").select(F.explode(F.split("content", "\x03")).alias("x")).filter("x <> ''")
+    parts = F.split("x", "\x02", 2)
+    return each.select(parts[0].alias("name"), parts[1].alias("content"))
+
+
 def log_lines(files: DataFrame) -> DataFrame:
     """(run, line_no, line) of (run, content), without colour codes."""
     clean = F.regexp_replace("content", r"\x1b\[[0-9;]*m", "")

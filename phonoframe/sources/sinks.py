@@ -143,6 +143,23 @@ def dictionary_lines(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.filter("kind = 'phoneme'").select("id", F.concat_ws("\t", "token", "token").alias("value"))
 
 
+#: Bytes, about, of a file that holds many small ones; each is read as a whole.
+PACK_BYTES = 4 << 20
+
+
+def write_packs(rows: DataFrame, path: str, name: str, content: str) -> None:
+    """Many small files (name, content) in few larger ones, read again by ``readers.packed``: their number follows the bytes, not the names.
+
+    A content with the separator, the character 3, or a name with that or the character 2 is refused.
+    """
+    size = rows.agg(F.sum(F.octet_length(content))).first()[0] or 0
+    key, text = F.col(name).cast("string"), F.col(content)
+    odd = text.contains("\x03") | key.contains("\x03") | key.contains("\x02")
+    line = F.when(odd, F.raise_error(F.lit("a separator is in a packed file's name or content"))).otherwise(F.concat(key, F.lit("\x02"), text))
+    packs = rows.select(F.pmod(F.xxhash64(name), F.lit(max(1, -(-size // PACK_BYTES)))).alias("pack"), line.alias("value"))
+    packs.repartition("pack").write.mode("overwrite").partitionBy("pack").option("lineSep", "\x03").text(path)
+
+
 def write_duration_records(clips: DataFrame, path: str, buckets: int = 16) -> None:
     """(audio_id, phones, durations, total_frames) in folders by a hash of the id, not one file a clip."""
     clips.withColumn("bucket", F.pmod(F.xxhash64("audio_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)

@@ -431,3 +431,14 @@ def test_pages_reach_python_in_pieces(spark):
     got = [(r["page_id"], r["col_idx"], r["text"]) for r in extract.cells(df).collect()]
     assert got == [(1, 0, "1"), (1, 1, ("\U0001d11e x\n" * 3000).strip()), (1, 0, "1"), (1, 1, "a" * 10)]
     assert [r["text"] for r in extract.links(df).collect()] == [("y " * 4000).strip()]
+
+
+def test_small_files_are_packed(spark):
+    """Their number doesn't follow that of the names; a separator in a content is refused."""
+    want = [(f"n{i}", f"line {i}\n\x02\r\n" * (i % 3)) for i in range(3000)]
+    path = sinks.scratch(spark)
+    sinks.write_packs(spark.createDataFrame(want, "name string, content string"), path, "name", "content")
+    assert readers.listing(spark, path, "*.txt").count() == 1
+    assert sorted(map(tuple, readers.packed(spark, path).collect())) == sorted(want)
+    with pytest.raises(Exception, match="separator"):
+        sinks.write_packs(spark.createDataFrame([("a", "x\x03y")], "name string, content string"), sinks.scratch(spark), "name", "content")
