@@ -51,8 +51,10 @@ def remove_table(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Few rows at once go to Python, so that executors hold few whole texts outside Spark's heap.
+ROWS_TO_PYTHON = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: How cuts run: shuffle files go as soon as a cut is written, and few rows at once go to Python.
-CUT_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+CUT_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ROWS_TO_PYTHON
 #: So many rows of a small side may be broadcast; more are joined.
 MOST_BROADCAST = 500_000
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, over_texts, whole
+from .common import ROWS_TO_PYTHON, columns_of, cut, over_texts, settings, whole
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -169,7 +169,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     wanted = cut(wanted.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))
     wanted = F.broadcast(wanted) if wanted.count() <= 2 * sample else wanted
     rows = docs.select(key, text).join(wanted, key).select(key, "label", statistics(docs, text).alias("s")).select(key, "label", "s.*")
-    rows = rows.filter(~base_failed()).groupBy(key).agg(F.min(F.struct("label", *[feature(f).alias(f) for f in FEATURES])).alias("x")).select("x.*").toPandas()
+    rows = rows.filter(~base_failed()).groupBy(key).agg(F.min(F.struct("label", *[feature(f).alias(f) for f in FEATURES])).alias("x")).select("x.*")
+    with settings(docs.sparkSession, ROWS_TO_PYTHON):  # whole texts go to Python here
+        rows = rows.toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")  # the order in which rows come doesn't matter
     return learn_rules({f: rows[f].to_numpy(float) for f in FEATURES}, (rows["label"] == 0).to_numpy(bool), **options)
 

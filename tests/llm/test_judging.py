@@ -287,3 +287,22 @@ def test_licenses(spark):
             want = set(licenses.shingles(licenses.words_of(licenses.TEMPLATES[r["license"]])).tolist())
             assert abs(len(part & want) / len(want) - r["containment"]) < 1e-9
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_rules_are_learned_from_small_batches(spark, monkeypatch):
+    """Learning is a job of its own: few whole texts go to Python at once there too, and the session's setting is as it was."""
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "toPandas", _noted(kind.toPandas, lambda: seen.append(spark.conf.get(name))))
+    docs = spark.createDataFrame([(i, "word " * 60) for i in range(20)], "doc_id long, text string")
+    quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+    assert seen == ["1000"] and spark.conf.get(name) == before
+
+
+def _noted(f, note):
+    def of(*args, **kwargs):
+        note()
+        return f(*args, **kwargs)
+
+    return of
