@@ -55,3 +55,21 @@ def test_what_is_kept_does_not_grow():
 def test_no_lines(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/lines")
     assert logs.run(spark, f"{tmp_path}/lines", f"{tmp_path}/top").filter(F.col("run").isNotNull()).count() == 0
+
+
+def test_many_batches_are_folded(spark, tmp_path, monkeypatch):
+    """Every so many batches one holds all before it; no run meets Python."""
+    monkeypatch.setattr(logs, "FOLDED", 3)
+    lines = [x for run, seed, n in [("a", 1, 120), ("b", 2, 60), ("f", 6, 200)] for x in log(run, seed, n)]
+    for first in range(0, 200, 25):
+        part = [x for x in lines if first <= x[1] < first + 25]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lines")
+        got = shown(logs.run(spark, f"{tmp_path}/lines", f"{tmp_path}/top", files_per_batch=1, window=2))
+        assert got == whole(spark, [x for x in lines if x[1] < first + 25], 2)
+    assert "Python" not in logs.parts(spark.read.parquet(f"{tmp_path}/lines"))._jdf.queryExecution().toString()
+
+
+def test_flat_as_an_expression(spark):
+    rows = [([4.0, 3.0, 2.0, 1.0], 4), ([1.0] * 4, 100), ([1.0], 1), ([0.0, 0.0], 2), ([5.0, 5.0, 5.0], 3), ([], 0), ([5.0, 4.9, 4.97], 3)]
+    got = spark.createDataFrame(rows, "v array<double>, n long").select("v", "n", logs._flat(F.col("v"), F.col("n"), 2, 0.01).alias("x")).collect()
+    assert [r["x"] for r in got] == [logs.flat(r["v"], r["n"], 2, 0.01) for r in got]
