@@ -22,6 +22,8 @@ TOKEN = rf"(?U)[\p{{L}}\p{{So}}\p{{Nd}}]{_MARKS}(?:[͜͡][\p{{L}}\p{{So}}]{_MARK
 #: A token of several characters: a base with what follows it, or marks alone.
 SEVERAL = rf"(?U)[\p{{L}}\p{{So}}\p{{Nd}}](?=[\p{{M}}ʰ-ˇˉ-ˋˍ-ˏ˒-˿]){_MARKS}(?:[͜͡][\p{{L}}\p{{So}}]{_MARKS})*{_MODIFIERS}|\p{{M}}{{2,}}"
 WORD_END = r"(?U)\s+"
+#: What lies between the first and the last character of a run of ASCII; no token of several characters goes in there, as all but its bases are beyond ASCII.
+INNER = r"(?<=[\x00-\x7F])[\x00-\x7F]+(?=[\x00-\x7F])"
 
 # Sounds by class.
 VOWELS = "i y ɨ ʉ ɯ u ɪ ʏ ʊ e ø ɘ ɵ ɤ o ə ɛ œ ɜ ɞ ʌ ɔ æ ɐ a ɶ ɑ ɒ".split()
@@ -106,9 +108,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def unbracketed(text: Column) -> Column:
+    return _replaced(text, STRIPPED, "")
+
+
+def _alike(text: Column) -> Column:
+    return _replaced(decomposed(text), REPLACED_FROM, REPLACED_TO)
+
+
 def normalize_ipa(text: Column) -> Column:
     """Delete brackets and slashes, decompose, replace look-alikes, strip."""
-    return strip(_replaced(decomposed(_replaced(text, STRIPPED, "")), REPLACED_FROM, REPLACED_TO))
+    return strip(_alike(unbracketed(text)))
 
 
 def tokenize(text: Column, normalize: bool = True) -> Column:
@@ -117,9 +127,23 @@ def tokenize(text: Column, normalize: bool = True) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """How many tokens a text has, without a list of them; null for null. Tokens of several characters become one, all others are one."""
-    one = F.regexp_replace(normalize_ipa(text), SEVERAL, "x")
-    return F.length(F.regexp_replace(one, WORD_END, ""))
+    """How many tokens a text has, without a list of them; null for null."""
+    return tokens_of_edges(unbracketed(text), edges(unbracketed(text)))
+
+
+def edges(text: Column) -> Column:
+    """A text with two characters at most of each run of ASCII, its first and last; these alone can be in a token of several characters."""
+    return F.regexp_replace(text, INNER, "")
+
+
+def tokens_of_edges(text: Column, short: Column) -> Column:
+    """How many tokens a text without brackets has, given its ``edges`` too, which alone are decomposed.
+
+    What the edges lack is a token each, but for white space; in the edges, tokens of several characters become one, all others are one.
+    """
+    length = lambda t, space: F.length(F.regexp_replace(t, space, ""))
+    space = r"[\t\n\x0B\f\r ]+"
+    return length(text, space) - length(short, space) + length(F.regexp_replace(_alike(short), SEVERAL, "x"), WORD_END)
 
 
 def join_phones(phones: Column) -> Column:

@@ -69,9 +69,15 @@ def hapax(totals: DataFrame) -> DataFrame:
     return totals.agg(F.count_if(F.col("count") == 1).alias("hapax"), F.count_if(F.col("count") <= 10).alias("up_to_10"))
 
 
+def token_lengths(entries: DataFrame, text: str = "ipa") -> DataFrame:
+    """(length): as ``ipa.token_count``, by steps, so that what several expressions take is made once."""
+    whole = entries.select(ipa.unbracketed(F.col(text)).alias("_t"))
+    return whole.select("_t", ipa.edges(F.col("_t")).alias("_e")).select(ipa.tokens_of_edges(F.col("_t"), F.col("_e")).alias("length"))
+
+
 def length_histogram(entries: DataFrame, shown: int = 20) -> DataFrame:
-    """(bucket, count, pct): the least observed lengths, and one bucket for all over ``shown``, if there are any."""
-    lengths = entries.select(ipa.token_count(F.col("ipa")).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("count"))
+    """(bucket, count, pct): the least observed lengths, and one bucket for all over ``shown``, if there are any. The lengths are stored, as three parts read them."""
+    lengths = sinks.stored(token_lengths(entries).groupBy("length").agg(F.count(F.lit(1)).alias("count")))
     total = F.broadcast(lengths.agg(F.sum("count").alias("_all")))
     least = lengths.orderBy("length").limit(shown).select(F.col("length").cast("string").alias("bucket"), "count")
     longer = lengths.filter(F.col("length") > shown).agg(F.sum("count").alias("count")).filter("count is not null").select(F.lit(f"{shown + 1}+").alias("bucket"), "count")

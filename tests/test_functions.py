@@ -85,6 +85,26 @@ def test_tokens_are_counted_without_a_list(spark):
     assert df.filter(~ipa.token_count(F.col("t")).eqNullSafe(F.size(ipa.tokenize(F.col("t"))))).count() == 0
 
 
+def test_tokens_are_counted_by_edges(spark):
+    """Any text, long runs of ASCII and marks at their ends; every length of a step is that of the list."""
+    rng = random.Random(5)
+    ends = ["e\u0301", "t\u0361s", "t\u035cs\u0303", "k\u02b0", ":\u0303", "'\u0301", "\u00e9", "\uac01", "\u00a0", "\u0303", "\u02c8a", "[", "/\u0301", " \u0301", "g\u0323\u0307", "\u1e9b\u0323", "\u212b", "\u2000"]
+    texts = ["".join(rng.choice([*ends, "abc", "x: y", "a b\tc\n", "q"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "ipa string")
+    want = df.select(F.size(ipa.tokenize(F.col("ipa"))).alias("length"))
+    got = stats.token_lengths(df)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert df.filter(~ipa.token_count(F.col("ipa")).eqNullSafe(F.size(ipa.tokenize(F.col("ipa"))))).count() == 0
+
+
+def test_lengths_are_made_once(spark):
+    """All parts of the histogram read stored lengths; texts meet Python once, as edges."""
+    df = spark.createDataFrame([("abcde fgh\u00e9",), ("",), (None,)], "ipa string")
+    plan = stats.length_histogram(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "nfd(" not in plan and "regexp_replace" not in plan
+    assert ipa.INNER in stats.token_lengths(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_words_are_counted_before_tokens(spark):
     """Equal to a count of each token, and each distinct word meets the token grammar once."""
     df = spark.createDataFrame([(f"L{i % 3}", t) for i, t in enumerate(odd_texts(2000))], "language_code string, ipa string")
