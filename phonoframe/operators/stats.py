@@ -129,8 +129,10 @@ def category_inventory(totals: DataFrame, k: int = 30) -> DataFrame:
 
 
 def under_represented(totals: DataFrame, least: int = 1000) -> DataFrame:
-    each = classified(totals).groupBy("cat", "subcat").agg(F.count(F.lit(1)).alias("unique_tokens"), F.sum("count").alias("count"))
-    return each.filter((F.col("count") < least) & ~F.col("cat").isin("boundary", "other", "modifier")).withColumn("recommendation", ipa.recommendation(F.col("count")))
+    """The classes with less than ``least`` tokens. Which classes are told of is looked at in their sums: Spark would push a filter by class down to each token of each word."""
+    told = F.bool_or(~F.col("cat").isin("boundary", "other", "modifier"))
+    each = classified(totals).groupBy("cat", "subcat").agg(F.count(F.lit(1)).alias("unique_tokens"), F.sum("count").alias("count"), told.alias("_told"))
+    return each.filter((F.col("count") < least) & F.col("_told")).drop("_told").withColumn("recommendation", ipa.recommendation(F.col("count")))
 
 
 def language_statistics(entries: DataFrame, by_language: DataFrame) -> DataFrame:

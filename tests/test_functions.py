@@ -115,6 +115,15 @@ def test_words_are_counted_before_tokens(spark):
     assert plan.index("regexp_extract_all") < plan.index("_word")  # plans are written from the top
 
 
+def test_classes_are_found_for_distinct_tokens_alone(spark):
+    """No filter by class goes below the counts of tokens."""
+    df = spark.createDataFrame([("L", "a\u0301b. -")], "language_code string, ipa string")
+    few = stats.under_represented(stats.token_totals(stats.language_tokens(df)))
+    assert {(r["cat"], r["subcat"], r["unique_tokens"], r["count"]) for r in few.collect()} == {("vowel", "oral", 1, 1), ("consonant", "plosive", 1, 1)}
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "suprasegmental" not in plan[plan.index("Aggregate [language_code") :]
+
+
 def test_decomposition_works_on_slices(monkeypatch):
     """A batch of long texts isn't held as Python strings at once."""
     monkeypatch.setattr(ipa, "TEXT_BYTES", 100)
