@@ -25,6 +25,12 @@ WORD_END = r"(?U)\s+"
 #: What lies between the first and the last character of a run of ASCII; no token of several characters goes in there, as all but its bases are beyond ASCII.
 INNER = r"(?<=[\x00-\x7F])[\x00-\x7F]+(?=[\x00-\x7F])"
 
+#: Longer words are cut to pieces of about so many characters, each split to tokens on its own.
+WORD_CHARS = 256
+#: Where no token and no decomposition goes across: before ASCII, a digit or a letter that modifies none, unless a tie bar is among the marks before it.
+_CUT = r"(?<![͜͡]\p{M}{0,30})(?<!\p{M}{31})(?=[\x00-\x7F\p{Nd}[\p{L}&&[^\p{Lm}]]])"
+PIECE = rf"(?s).{{1,{WORD_CHARS}}}(?:(?!{_CUT}).)*+"
+
 # Sounds by class.
 VOWELS = "i y ɨ ʉ ɯ u ɪ ʏ ʊ e ø ɘ ɵ ɤ o ə ɛ œ ɜ ɞ ʌ ɔ æ ɐ a ɶ ɑ ɒ".split()
 PLOSIVES = "p b t d ʈ ɖ c ɟ k ɡ q ɢ ʔ".split()
@@ -126,6 +132,11 @@ def tokenize(text: Column, normalize: bool = True) -> Column:
     return F.regexp_extract_all(normalize_ipa(text) if normalize else text, F.lit(TOKEN), F.lit(0))
 
 
+def pieces(word: Column) -> Column:
+    """A word as pieces whose tokens together are its own; a text without white space is one word, however long it is. Brackets go first, as tokens go on beyond them."""
+    return F.when(F.length(word) > WORD_CHARS, F.regexp_extract_all(unbracketed(word), F.lit(PIECE), F.lit(0))).otherwise(F.array(word))
+
+
 def token_count(text: Column) -> Column:
     """How many tokens a text has, without a list of them; null for null."""
     return tokens_of_edges(unbracketed(text), edges(unbracketed(text)))

@@ -16,9 +16,10 @@ def token_table(entries: DataFrame, *keep: str, text: str = "ipa") -> DataFrame:
 
 
 def token_counts(entries: DataFrame, *keep: str, text: str = "ipa") -> DataFrame:
-    """(``keep`` columns, token, count): as ``token_table``, counted. No token goes beyond white space, so that words are counted first and each distinct one is split to tokens once."""
+    """(``keep`` columns, token, count): as ``token_table``, counted. No token goes beyond white space, so that words are counted first and each distinct one is split to tokens once, long ones in pieces."""
     words = entries.select(*keep, F.explode(F.split(F.col(text), ipa.WORD_END)).alias("_word")).filter("_word <> ''").groupBy(*keep, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    return words.select(*keep, "_n", F.explode(ipa.tokenize(F.col("_word"))).alias("token")).groupBy(*keep, "token").agg(F.sum("_n").alias("count"))
+    cut = words.select(*keep, "_n", F.explode(ipa.pieces(F.col("_word"))).alias("_piece"))
+    return cut.select(*keep, "_n", F.explode(ipa.tokenize(F.col("_piece"))).alias("token")).groupBy(*keep, "token").agg(F.sum("_n").alias("count"))
 
 
 def language_tokens(entries: DataFrame) -> DataFrame:

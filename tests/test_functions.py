@@ -115,6 +115,30 @@ def test_words_are_counted_before_tokens(spark):
     assert plan.index("regexp_extract_all") < plan.index("_word")  # plans are written from the top
 
 
+def test_long_words_are_cut_where_no_token_is(spark):
+    """Texts without white space reach Python in pieces; what they hold is that of the whole text."""
+    rng = random.Random(7)
+    odd = ["".join(rng.choice(ODD.replace(" ", "").replace("\n", "") + "abcé한'") for _ in range(1500)) for _ in range(60)]
+    tied = ["a" * (ipa.WORD_CHARS - 2 + i) + m + "b" * 300 for i in range(4) for m in ("t\u0361", "t\u0361\u0301[", "t\u035c]", "\u0323\u0301", "\u02b0", "/\u0301", "\u0301" * 40 + "\u0361", "\u0361" + "\u0301" * 40)]
+    long = ["é" * 5000, "\u0e01\u0e34" * 3000, "e\u0301" * 3000, "-" * 3000, "٣" * 3000, "\U00020000" * 3000, "[" * 3000, "\u0301" * 3000]
+    df = spark.createDataFrame([("L", t) for t in [*odd, *tied, *long]], "language_code string, ipa string")
+    want = stats.token_table(df, "language_code").groupBy("language_code", "token").agg(F.count(F.lit(1)).alias("count"))
+    got = stats.language_tokens(df)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    cut = spark.createDataFrame([(t,) for t in long[:-1]], "t string").select(F.explode(ipa.pieces(F.col("t"))).alias("p"))
+    assert cut.filter(F.length("p") > ipa.WORD_CHARS + 1).count() == 0
+    assert "_piece" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_a_cut_is_before_starts_a_token():
+    """Of all characters: decomposed, one that may be cut before is no mark and no modifier, and no other than tie bars has one."""
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        kind, whole = unicodedata.category(c), unicodedata.normalize("NFD", c)
+        assert c in "\u035c\u0361" or not {"\u035c", "\u0361"} & set(whole)
+        if kind == "Nd" or kind[0] == "L" and kind != "Lm" or c < "\x80":
+            assert unicodedata.combining(whole[0]) == 0 and unicodedata.category(whole[0])[0] != "M" and not "\u02b0" <= whole[0] <= "\u02ff", hex(ord(c))
+
+
 def test_classes_are_found_for_distinct_tokens_alone(spark):
     """No filter by class goes below the counts of tokens."""
     df = spark.createDataFrame([("L", "a\u0301b. -")], "language_code string, ipa string")
