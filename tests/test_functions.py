@@ -130,6 +130,17 @@ def test_long_words_are_cut_where_no_token_is(spark):
     assert "_piece" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["n7_coarse_category", "n11_coverage_rating", "g11_language_statistics", "v1_token_frequency", "g7_merged_sketches"])
+def test_queries_cut_long_words(spark, tmp_path, name):
+    """A query on texts that are one long word each sends no word whole to the decomposition."""
+    from phonoframe.plans import registry
+
+    rows = [(i, "t\u0361s\u00e9a\u02d0" * 400 + "z" * i, "en", "web", 1) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert "_piece" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 0
+
+
 def test_what_a_cut_is_before_starts_a_token():
     """Of all characters: decomposed, one that may be cut before is no mark and no modifier, and no other than tie bars has one."""
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
