@@ -27,8 +27,8 @@ INNER = r"(?<=[\x00-\x7F])[\x00-\x7F]+(?=[\x00-\x7F])"
 
 #: Longer words are cut to pieces of about so many characters, each split to tokens on its own.
 WORD_CHARS = 256
-#: Where no token and no decomposition goes across: before ASCII, a digit or a letter that modifies none, unless a tie bar is among the marks before it.
-_CUT = r"(?<![͜͡]\p{M}{0,30})(?<!\p{M}{31})(?=[\x00-\x7F\p{Nd}[\p{L}&&[^\p{Lm}]]])"
+#: Where no token and no decomposition goes across: before all but marks, modifiers (U+0374 decomposes to one) and what Java's Unicode doesn't know yet, unless a tie bar is among the marks before it.
+_CUT = r"(?<![͜͡]\p{M}{0,30})(?<!\p{M}{31})(?=[^\p{M}\p{Cn}ʰ-ˇˉ-ˋˍ-ˏ˒-˿\x{374}])"
 PIECE = rf"(?s).{{1,{WORD_CHARS}}}(?:(?!{_CUT}).)*+"
 
 # Sounds by class.

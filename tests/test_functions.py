@@ -141,6 +141,31 @@ def test_queries_cut_long_words(spark, tmp_path, name):
     assert "_piece" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 0
 
 
+def test_words_without_letters_are_cut(spark):
+    """Symbols, dingbats, stress and length marks and punctuation beyond ASCII are cut too, with the tokens of the whole word; so are mixtures with marks, modifiers and tie bars."""
+    same = ["\u2701", "\u2200", "\u201c", "\u3002", "\u20ac", "\u02d0", "\u02c8", "\u02e5", "\U0001f600", "\ue000", "\u200d"]
+    short = [c for c in same if c != "\u02e5"]  # tone letters go with a base before them, they are not cut
+    rng = random.Random(11)
+    mixed = ["".join(rng.choice("\u2701\u201c\u20ac\u02d0\u02c8\u02b0\u0374\u0361\u035c\u0301\u0323\u3002[:'\u00a8\u0385") for _ in range(1500)) for _ in range(60)]
+    df = spark.createDataFrame([("L", t) for t in [*(c * 3000 for c in same), *mixed]], "language_code string, ipa string")
+    want = stats.token_table(df, "language_code").groupBy("language_code", "token").agg(F.count(F.lit(1)).alias("count"))
+    got = stats.language_tokens(df)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    cut = spark.createDataFrame([(c * 3000,) for c in short], "t string").select(F.explode(ipa.pieces(F.col("t"))).alias("p"))
+    assert cut.filter(F.length("p") > ipa.WORD_CHARS + 1).count() == 0
+
+
+def test_java_cuts_before_no_mark_and_no_modifier(spark):
+    """Of all characters: each before which Java cuts begins, decomposed, with none that a token before it takes or that order moves."""
+    points = spark.createDataFrame([(chr(i),) for i in [*range(1, 0xD800), *range(0xE000, 0x110000)]], "c string")
+    before = [r["c"] for r in points.filter(F.col("c").rlike("^" + ipa._CUT)).collect()]
+    assert len(before) > 250_000
+    for c in before:
+        first = unicodedata.normalize("NFD", c)[0]
+        assert unicodedata.combining(first) == 0 and unicodedata.category(first)[0] != "M", hex(ord(c))
+        assert not "\u02b0" <= first <= "\u02ff" or first in "\u02c8\u02cc\u02d0\u02d1", hex(ord(c))
+
+
 def test_what_a_cut_is_before_starts_a_token():
     """Of all characters: decomposed, one that may be cut before is no mark and no modifier, and no other than tie bars has one."""
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
