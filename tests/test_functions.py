@@ -141,6 +141,18 @@ def test_queries_cut_long_words(spark, tmp_path, name):
     assert "_piece" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["n7_coarse_category", "n11_coverage_rating"])
+def test_queries_cut_words_without_letters(spark, tmp_path, monkeypatch, name):
+    """No long word of symbols meets the decomposition whole; here that only looks at lengths, as these characters are decomposed already."""
+    from phonoframe.plans import registry
+
+    monkeypatch.setattr(ipa, "nfd", lambda text: F.when(F.length(text) > ipa.WORD_CHARS + 1, F.raise_error(F.lit("a long word"))).otherwise(text))
+    rows = [(i, "\u2701\u201c\u20ac" * 400, "en", "web", 1) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == {(c, "consonant") if name[1] == "7" else (c, 1200, "Good") for c in "\u2701\u201c\u20ac"}
+
+
 def test_words_without_letters_are_cut(spark):
     """Symbols, dingbats, stress and length marks and punctuation beyond ASCII are cut too, with the tokens of the whole word; so are mixtures with marks, modifiers and tie bars."""
     same = ["\u2701", "\u2200", "\u201c", "\u3002", "\u20ac", "\u02d0", "\u02c8", "\u02e5", "\U0001f600", "\ue000", "\u200d"]
