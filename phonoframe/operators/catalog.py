@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import places
+from .ranking import places, small
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def upsert_recordings(old: DataFrame, new: DataFrame, id_: str = "recording_id",
 
 def replace_of(old: DataFrame, new: DataFrame, owner: str = "recording_id") -> DataFrame:
     """``old`` less all rows of the owners in ``new``, and ``new``; an owner without new rows keeps its old ones."""
-    return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(small(new.select(owner).distinct()), owner, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def mark_downloaded(recordings: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:

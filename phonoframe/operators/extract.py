@@ -244,10 +244,9 @@ def recordings(rows: DataFrame, pages: DataFrame, key: str = "page_id") -> DataF
 
 def wordlist_table(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, table_idx): the table with most rows, with 50 more for each of rows 1 and 2 that begins with a number."""
-    w = W.Window.partitionBy(key, "table_idx", "row_idx").orderBy((F.col("tag") != "td").cast("int"), "col_idx")
-    marked = rows.withColumn("_first", (F.row_number().over(w) == 1) & (F.col("tag") == "td"))
-    bonus = F.sum(F.when(F.col("_first") & F.col("row_idx").isin(1, 2) & F.col("text").rlike(r"^\d+$"), 50).otherwise(0))
-    t = marked.groupBy(key, "table_idx").agg((F.max("row_idx") + 1).alias("n_rows"), bonus.alias("bonus"))
+    first = F.min(F.when(F.col("row_idx").isin(1, 2) & (F.col("tag") == "td"), F.struct("col_idx", F.col("text").rlike(r"^\d+$").alias("number"))))
+    lines = rows.groupBy(key, "table_idx", "row_idx").agg(first.alias("first"))
+    t = lines.groupBy(key, "table_idx").agg((F.max("row_idx") + 1).alias("n_rows"), F.sum(F.when(F.col("first.number"), 50).otherwise(0)).alias("bonus"))
     return t.groupBy(key).agg(F.max_by(F.struct("table_idx", "n_rows"), F.struct((F.col("n_rows") + F.col("bonus")).alias("a"), (-F.col("table_idx")).alias("b"))).alias("x")).filter("x.n_rows >= 2").select(key, "x.table_idx")
 
 
@@ -256,19 +255,24 @@ def column_roles(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
     ``rows`` are the cells of one table a page. Headers decide first, then what the first ten rows hold.
     """
+    return _roles(rows, [key])
+
+
+def _roles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The roles of the columns of each table by its keys; texts are summed up before anything moves."""
     h = F.lower("text")
     heads = rows.filter("row_idx = 0").select(
-        key, "col_idx", h.alias("h"),
+        *keys, "col_idx", h.alias("h"),
         F.when(h.isin(ENTRY_HEADERS), "entry").when(h.contains("transcription") | h.contains("phonetic"), "ipa").when(h.contains("english") | h.contains("gloss"), "english").when(h.contains("orthograph"), "ortho").when(h.contains("sound") | h.contains("phoneme"), "sound").alias("role"),
     )
     role = lambda r: F.max(F.when(F.col("role") == r, F.col("col_idx"))).alias(f"h_{r}")
-    named = heads.groupBy(key).agg((F.max("col_idx") + 1).alias("n_headers"), *[role(r) for r in ("entry", "ipa", "english", "ortho", "sound")], F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("heads"))
-    width = rows.filter("row_idx > 0").groupBy(key).agg((F.max(F.when(F.col("row_idx") <= 3, F.col("col_idx"))) + 1).alias("w3"), (F.max(F.when(F.col("row_idx") <= 5, F.col("col_idx"))) + 1).alias("w5"))
+    named = heads.groupBy(*keys).agg((F.max("col_idx") + 1).alias("n_headers"), *[role(r) for r in ("entry", "ipa", "english", "ortho", "sound")], F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("heads"))
+    width = rows.filter("row_idx > 0").groupBy(*keys).agg((F.max(F.when(F.col("row_idx") <= 3, F.col("col_idx"))) + 1).alias("w3"), (F.max(F.when(F.col("row_idx") <= 5, F.col("col_idx"))) + 1).alias("w5"))
     digits = F.col("text").rlike(r"^\d+$")
-    numbered = rows.filter((F.col("row_idx").between(1, 5)) & digits).groupBy(key).agg(F.min_by("col_idx", F.struct("row_idx", "col_idx")).alias("d_entry"))
-    score = rows.filter(F.col("row_idx").between(1, 10)).groupBy(key, "col_idx").agg(F.count_if(F.col("text").rlike(IPA_CLASS)).alias("ipa"), F.sum(F.length(F.regexp_replace("text", r"[\x00-\x7F]", ""))).alias("beyond"))
-    scores = score.groupBy(key).agg(F.max_by("col_idx", F.struct("ipa", (-F.col("col_idx")).alias("c"))).alias("s_ipa"), F.max("ipa").alias("s_most"), F.array_sort(F.collect_list(F.struct((-F.col("beyond")).alias("b"), "col_idx"))).alias("by_beyond"))
-    m = named.join(width, key, "left").join(numbered, key, "left").join(scores, key, "left")
+    numbered = rows.filter((F.col("row_idx").between(1, 5)) & digits).groupBy(*keys).agg(F.min_by("col_idx", F.struct("row_idx", "col_idx")).alias("d_entry"))
+    score = rows.filter(F.col("row_idx").between(1, 10)).groupBy(*keys, "col_idx").agg(F.count_if(F.col("text").rlike(IPA_CLASS)).alias("ipa"), F.sum(F.length(F.regexp_replace("text", r"[\x00-\x7F]", ""))).alias("beyond"))
+    scores = score.groupBy(*keys).agg(F.max_by("col_idx", F.struct("ipa", (-F.col("col_idx")).alias("c"))).alias("s_ipa"), F.max("ipa").alias("s_most"), F.array_sort(F.collect_list(F.struct((-F.col("beyond")).alias("b"), "col_idx"))).alias("by_beyond"))
+    m = named.join(width, keys, "left").join(numbered, keys, "left").join(scores, keys, "left")
     m = m.withColumn("n_cols", F.greatest("n_headers", F.coalesce("w3", F.lit(0))))
     m = m.withColumn("ipa1", F.coalesce("h_ipa", F.when(F.col("s_most") > 0, F.col("s_ipa"))))
     m = m.withColumn("entry_col", F.coalesce("h_entry", "d_entry"))
@@ -281,20 +285,20 @@ def column_roles(rows: DataFrame, key: str = "page_id") -> DataFrame:
     header = F.try_element_at(F.filter("heads", lambda x: (x["h"] != "") & ~x["h"].isin([*ENTRY_HEADERS, "english"]) & free(x["col_idx"])), F.lit(1))["col_idx"]
     ipa = F.coalesce("ipa1", F.when(F.col("n_cols") >= 3, most), header)
     merged = (F.col("n_headers") >= 4) & (F.coalesce("w5", F.lit(0)) == 2)
-    return m.select(key, "n_headers", "n_cols", merged.alias("merged"), "entry_col", ipa.alias("ipa_col"), "english_col", F.col("h_ortho").alias("ortho_col"), F.col("h_sound").alias("sound_col"))
+    return m.select(*keys, "n_headers", "n_cols", merged.alias("merged"), "entry_col", ipa.alias("ipa_col"), "english_col", F.col("h_ortho").alias("ortho_col"), F.col("h_sound").alias("sound_col"))
 
 
 def entries(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, row_idx, entry_number, ipa, english, orthography, sound_illustrated) of every word-list page.
 
-    Rows need two cells and a transcription or a gloss; where they have an entry text it begins with its number.
+    Rows need two cells and a transcription or a gloss; where they have an entry text it begins with its number. Texts move once, to the roles of their table.
     """
-    t = rows.join(wordlist_table(rows, key), [key, "table_idx"], "left_semi")
-    roles = column_roles(t, key)
-    data = t.filter("row_idx > 0").join(roles, key)
+    table = [key, "table_idx"]
+    roles = _roles(rows, table).join(wordlist_table(rows, key), table)
+    data = rows.filter("row_idx > 0").join(roles, table)
     at = lambda c: F.max(F.when(F.col("col_idx") == F.col(c), F.when(F.col("text") != "", F.col("text")))).alias(c.removesuffix("_col"))
     one = lambda i: F.max(F.when(F.col("col_idx") == i, F.col("text"))).alias(f"c{i}")
-    r = data.groupBy(key, "row_idx").agg(F.count(F.lit(1)).alias("n"), F.first("merged").alias("merged"), *[at(c) for c in ("entry_col", "ipa_col", "english_col", "ortho_col", "sound_col")], one(0), one(1)).filter("n >= 2")
+    r = data.groupBy(*table, "row_idx").agg(F.count(F.lit(1)).alias("n"), F.first("merged").alias("merged"), *[at(c) for c in ("entry_col", "ipa_col", "english_col", "ortho_col", "sound_col")], one(0), one(1)).filter("n >= 2")
     number = lambda c: F.when(F.col(c).rlike(r"^\d"), F.regexp_extract(c, r"^(\d+)", 1).try_cast("int"))
     stripped = lambda c: F.when(F.regexp_replace(c, r"(?U)^\s+|\s+$", "") != "", F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     plain = r.filter(~F.col("merged") & (F.col("entry").isNull() | F.col("entry").rlike(r"^\d"))).select(key, "row_idx", number("entry").alias("entry_number"), "ipa", "english", F.col("ortho").alias("orthography"), F.col("sound").alias("sound_illustrated"))

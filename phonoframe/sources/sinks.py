@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,44 @@ def remove(spark: SparkSession, place: str) -> None:
     fs.delete(path, True)
 
 
+def move(spark: SparkSession, place: str, to: str) -> None:
+    """A folder in place of another one, without a copy."""
+    path, fs = _path(spark, place)
+    remove(spark, to)
+    if not fs.rename(path, _path(spark, to)[0]):
+        raise OSError(f"{place} can't be moved to {to}")
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffled goes when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once in the shared folder, for what reads it several times."""
+    return _stored(df, scratch(df.sparkSession))
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """As ``stored``, but only inside; nothing that is read afterwards may come of it."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    try:
+        yield _stored(df, path)
+    finally:
+        remove(df.sparkSession, path)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    with shuffles_go(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ def buckets_for(rows: int) -> int:
 
 
 class Catalog:
-    """Tables as Parquet partitioned by bucket, below a shared folder; a merge overwrites the partitions that it changes.
+    """Tables as Parquet partitioned by bucket, below a shared folder; a merge replaces the partitions that it changes.
 
-    New rows of those buckets are written aside first; a run that ends between that and the overwriting is taken up again by the next one that writes. One writer at a time.
+    New rows of those buckets are written aside first and moved into place then; a run that ends before all are moved is taken up again by the next one that writes. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, top: str):
@@ -57,8 +58,9 @@ class Catalog:
                 sinks.remove(self.spark, f"{self.top}/{table}/{f}")
 
     def _put(self, table: str, buckets: int) -> None:
-        new = self.spark.read.parquet(self._aside(table)).repartition("_bucket")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self._rows(table, buckets))
+        for f in sinks.children(self.spark, self._aside(table)):
+            if f.startswith("_bucket="):
+                sinks.move(self.spark, f"{self._aside(table)}/{f}", f"{self._rows(table, buckets)}/{f}")
 
     def read(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
         """The table, or only its buckets among ``touched`` (_bucket), with _bucket then."""
@@ -79,20 +81,21 @@ class Catalog:
         touched = pages.select(_bucket(["url"], now).alias("_bucket")).distinct()
         return self.read("pages", touched).join(pages.select("url", "sha256"), ["url", "sha256"]).select("url", "sha256")
 
-    def merge(self, table: str, new: DataFrame, put: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-        """``put`` gets the old rows of the buckets that ``new`` falls into, and ``new``; other buckets stay as they are."""
-        new = sinks.stored(new)
-        n = new.count()
-        if not n:
-            return
-        self.take_up(table)
-        now = self.buckets(table)
-        if now is None:
-            return self._lay_out(table, put(None, new), buckets_for(n))
-        touched = sinks.stored(new.select(_bucket(KEYS[table], now).alias("_bucket")).distinct())
-        merged = put(self.read(table, touched).drop("_bucket"), new)
-        merged.withColumn("_bucket", _bucket(KEYS[table], now)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self._aside(table))
-        rows = self.spark.read.parquet(self._aside(table)).count() * now // touched.count()  # of the whole table, about
+    def merge(self, table: str, new: DataFrame, put: Callable[[DataFrame | None, DataFrame], DataFrame], made: Callable[[], object] = lambda: None) -> None:
+        """``put`` gets the old rows of the buckets that ``new`` falls into, and ``new``; other buckets stay as they are. ``made`` is called when ``new`` is stored and what it comes of may go."""
+        with sinks.held(new) as new:
+            made()
+            n = new.count()
+            if not n:
+                return
+            self.take_up(table)
+            now = self.buckets(table)
+            if now is None:
+                return self._lay_out(table, put(None, new), buckets_for(n))
+            with sinks.held(new.select(_bucket(KEYS[table], now).alias("_bucket")).distinct()) as touched:
+                merged = put(self.read(table, touched).drop("_bucket"), new)
+                merged.withColumn("_bucket", _bucket(KEYS[table], now)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self._aside(table))
+                rows = self.spark.read.parquet(self._aside(table)).count() * now // touched.count()  # of the whole table, about
         self._put(table, now)
         sinks.remove(self.spark, self._aside(table))
         if buckets_for(rows) >= 4 * now:  # the table is sixteen times as large as when it was laid out
@@ -117,20 +120,12 @@ def languages_of(pages: DataFrame) -> DataFrame:
     return made.join(first, "code").select("code", "name", F.concat("base", "url").alias("url"))
 
 
-def recordings_of(pages: DataFrame) -> DataFrame:
-    """Recordings with their language's code from the language pages among ``pages``."""
-    named = pages.select(F.col("url").alias("page_id"), "url", "html")
-    made = extract.recordings(sinks.stored(extract.cells(named)), named)
+def recordings_of(pages: DataFrame, cells: DataFrame) -> DataFrame:
+    """Recordings with their language's code from the language pages ``pages`` (url), whose cells by url are ``cells``."""
+    made = extract.recordings(cells.withColumnRenamed("url", "page_id"), pages.select(F.col("url").alias("page_id"), "url"))
     return made.select(F.upper(F.regexp_extract("page_id", LANGUAGE_PAGE, 1)).alias("language_code"), *[c for c in made.columns if c not in ("page_id", "row_idx")])
 
 
-def entries_of(pages: DataFrame) -> DataFrame:
-    """Entries with the address of their page from the word lists among ``pages``."""
-    named = pages.select(F.regexp_replace("url", "#.*$", "").alias("page_id"), "html")
-    made = extract.entries(sinks.stored(extract.cells(named)))
-    return made.select(F.col("page_id").alias("wordlist_url"), *[c for c in made.columns if c != "page_id"])
-
-
 #: Addresses of the pages that list a language's recordings; pages that link to them by ../Language/ are indexes.
 LANGUAGE_PAGE = r"(?i)/Language/([^/]+)/[^/]+\.html?$"
 
@@ -141,7 +136,8 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
     Of the pages with one address in a batch the last counts: by the file's time, then its path, then the place in it. A page whose digest is that of
     what was taken in last from its address is dropped before anything is parsed. Languages and recordings are upserted (recordings keep their ids), the entries of a word list are replaced; a word list without rows keeps what it had. Entries know
     their page, so that it doesn't matter whether its recording comes before or after. All of this gives the same tables if
-    a batch is run again, as happens after a crash or where the stream's checkpoint is lost.
+    a batch is run again, as happens after a crash or where the stream's checkpoint is lost. Pages aren't stored once more: what counts is known by file
+    and place, and is read again there; cells and entries go as soon as what comes of them is written.
     """
     store = Catalog(spark, top)
     for table in KEYS:
@@ -156,26 +152,32 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
     def batch(pages: DataFrame, number: int) -> None:
         order = F.struct("_time", "_path", "_index")
         digest = F.sha2(F.coalesce("html", F.lit("")), 256)  # a page without content is as an empty one
-        latest = sinks.stored(pages.filter("url is not null").groupBy("url").agg(F.max_by("html", order).alias("html")).withColumn("sha256", digest))
+        latest = sinks.stored(pages.filter("url is not null").groupBy("url").agg(F.max_by(F.struct("_path", "_index", digest.alias("sha256")), order).alias("x")).select("url", "x.*"))
         known = ranking.small(sinks.stored(store.unchanged(latest)))
         latest = sinks.stored(latest.join(known, ["url", "sha256"], "left_anti"))
+        markup = lambda which: pages.select("_path", "_index", "html").join(ranking.small(latest.filter(which).select("url", "_path", "_index")), ["_path", "_index"]).select("url", "html")
         is_list = F.col("url").rlike(word_lists)
         is_language = F.col("url").rlike(LANGUAGE_PAGE) & ~is_list
         kinds = latest.agg(F.count(F.lit(1)).alias("pages"), F.count_if(is_list).alias("lists"), F.count_if(is_language).alias("languages")).head()
         if not kinds["pages"]:
             return
         if kinds["pages"] > kinds["lists"] + kinds["languages"]:
-            store.merge("languages", languages_of(latest.filter(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
+            store.merge("languages", languages_of(markup(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
         if kinds["languages"]:
-            store.merge("recordings", recordings_of(latest.filter(is_language)), recordings)
+            with sinks.held(extract.cells(markup(is_language), "url")) as cells:
+                store.merge("recordings", recordings_of(latest.filter(is_language), cells), recordings)
         if kinds["lists"]:
-            store.merge("entries", entries_of(latest.filter(is_list)), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"))
+            with ExitStack() as made:
+                pages_of_lists = markup(is_list).withColumn("wordlist_url", F.regexp_replace("url", "#.*$", ""))
+                cells = made.enter_context(sinks.held(extract.cells(pages_of_lists, "wordlist_url")))
+                store.merge("entries", extract.entries(cells, "wordlist_url"), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"), made.close)
         # last, so that a batch which ended early is parsed again
         store.merge("pages", latest.select("url", "sha256"), lambda old, new: new if old is None else catalog.upsert(old, new, ["url"]))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pages_dir)
     stream = stream.select("url", "html", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{top}/stream").trigger(availableNow=True).start().awaitTermination()
+    with sinks.shuffles_go(spark):
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{top}/stream").trigger(availableNow=True).start().awaitTermination()
     return store
 
 
@@ -183,4 +185,5 @@ def exported(store: Catalog) -> DataFrame:
     """Every entry of the catalog beside its recording and language."""
     r = store.read("recordings").withColumn("wordlist_url", F.regexp_replace("wordlist_url", "#.*$", ""))
     languages = store.read("languages").select(F.col("code").alias("language_code"), F.col("name").alias("language_name"))
-    return store.read("entries").join(r.select("wordlist_url", "recording_id", "language_code", "audio_filename", "year", "sequence"), "wordlist_url").join(languages, "language_code", "left")
+    r = r.select("wordlist_url", "recording_id", "language_code", "audio_filename", "year", "sequence").join(languages, "language_code", "left")
+    return store.read("entries").join(r, "wordlist_url")

@@ -1,3 +1,6 @@
+import hashlib
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +141,15 @@ def test_a_merge_that_is_cut_off_is_taken_up(spark, tmp_path, monkeypatch, when)
     rows = store.read("entries")
     assert rows.count() == 1000 and rows.join(new, rows.columns, "left_semi").count() == (100 if when == "after" else 0)
     assert not (tmp_path / "entries/aside").exists()
+
+
+def test_pages_and_entries_are_not_left_in_the_shared_folder(spark, site):
+    """What a run stores on its way goes when what comes of it is written; a few small tables stay."""
+    size = lambda top: sum(f.stat().st_size for f in Path(top).rglob("*.parquet"))
+    words = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(8000)]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = size(shared)
+    site(word_list(A, *words[:4000]), word_list(B, *words[4000:]), language_page("AA", A), index("AA"))
+    store = site(word_list(A, *words[:3000]))
+    assert store.read("entries").count() == 7000
+    assert size(shared) - before < 0.2 * size(site.top / "in")
