@@ -50,12 +50,14 @@ def remove(spark: SparkSession, place: str) -> None:
     fs.delete(path, True)
 
 
-def move(spark: SparkSession, place: str, to: str) -> None:
-    """A folder in place of another one, without a copy."""
-    path, fs = _path(spark, place)
-    remove(spark, to)
-    if not fs.rename(path, _path(spark, to)[0]):
-        raise OSError(f"{place} can't be moved to {to}")
+def move(spark: SparkSession, names: list[str], place: str, to: str) -> None:
+    """Folders of one place to another, over those that have their names there, without a copy."""
+    path, (_, fs) = spark._jvm.org.apache.hadoop.fs.Path, _path(spark, place)
+    for name in names:
+        old = path(f"{to}/{name}")
+        fs.delete(old, True)
+        if not fs.rename(path(f"{place}/{name}"), old):
+            raise OSError(f"{place}/{name} can't be moved to {to}")
 
 
 @contextmanager

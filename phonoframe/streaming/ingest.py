@@ -58,9 +58,8 @@ class Catalog:
                 sinks.remove(self.spark, f"{self.top}/{table}/{f}")
 
     def _put(self, table: str, buckets: int) -> None:
-        for f in sinks.children(self.spark, self._aside(table)):
-            if f.startswith("_bucket="):
-                sinks.move(self.spark, f"{self._aside(table)}/{f}", f"{self._rows(table, buckets)}/{f}")
+        found = [f for f in sinks.children(self.spark, self._aside(table)) if f.startswith("_bucket=")]
+        sinks.move(self.spark, found, self._aside(table), self._rows(table, buckets))
 
     def read(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
         """The table, or only its buckets among ``touched`` (_bucket), with _bucket then."""
@@ -162,13 +161,14 @@ def ingest(spark: SparkSession, pages_dir: str, top: str, word_lists: str = r"(?
         if not kinds["pages"]:
             return
         if kinds["pages"] > kinds["lists"] + kinds["languages"]:
-            store.merge("languages", languages_of(markup(~is_list & ~is_language)), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
+            with sinks.held(markup(~is_list & ~is_language)) as indexes:
+                store.merge("languages", languages_of(indexes), lambda old, new: new if old is None else catalog.upsert(old, new, ["code"]))
         if kinds["languages"]:
             with sinks.held(extract.cells(markup(is_language), "url")) as cells:
                 store.merge("recordings", recordings_of(latest.filter(is_language), cells), recordings)
         if kinds["lists"]:
             with ExitStack() as made:
-                pages_of_lists = markup(is_list).withColumn("wordlist_url", F.regexp_replace("url", "#.*$", ""))
+                pages_of_lists = markup(is_list).repartition("url").withColumn("wordlist_url", F.regexp_replace("url", "#.*$", ""))
                 cells = made.enter_context(sinks.held(extract.cells(pages_of_lists, "wordlist_url")))
                 store.merge("entries", extract.entries(cells, "wordlist_url"), lambda old, new: new if old is None else catalog.replace_of(old, new, "wordlist_url"), made.close)
         # last, so that a batch which ended early is parsed again
